@@ -240,22 +240,6 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
     return common.ids_and_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
 
 
-def fit(x: np.ndarray) -> np.ndarray:
-        p = 1 / (1 + np.exp(-(x[0] * raw + x[1])))
-        return np.array([((p - y) * raw).mean() + 1e-3 * x[0], (p - y).mean()])
-
-    model.slope, model.shift = map(float, _adam(fit, np.array([1.0, float(np.log((share + 0.01) / (1.01 - share)))]), 400, 0.05))
-    return model
-
-
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> list:
-    """A bounded, repeatable sample of labelled texts from the rows open for training."""
-    open_ = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")).filter("doc_id is not null and label is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    few = open_.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    texts = common.ids_and_text(docs, id_col, text_col)
-    return texts.join(F.broadcast(few), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-
-
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     rows = training_rows(docs, labels, id_col, text_col, label_col, sample)
     return train([r.text for r in rows], [int(r.label) for r in rows])
