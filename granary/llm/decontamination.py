@@ -23,6 +23,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -197,8 +198,6 @@ def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col
 
 def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     """The rows of ``docs`` in which no item occurs, with all columns."""
-    import pandas as pd
-
     def clean(index: Index):
         @F.pandas_udf("boolean")
         def run(texts: pd.Series) -> pd.Series:

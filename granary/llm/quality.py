@@ -20,6 +20,7 @@ from __future__ import annotations
 from dataclasses import dataclass
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -271,8 +272,6 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
     """The rows of ``docs`` whose text is predicted good, with all columns."""
-    import pandas as pd
-
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         out, part, size = [], [], 0
