@@ -96,7 +96,8 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 22) -> t
         place = place[inside] - first
         value = _TABLE[place & (_WIDTH - 1), data[lo:hi][inside]]
         if int(size.max()) > _WIDTH:  # later stretches of a long word count differently
-            value = mix(value + (place >> 5).astype(np.uint64) * _M3)
+            late = np.flatnonzero(place >= _WIDTH)
+            value[late] = mix(value[late] + (place[late] // _WIDTH).astype(np.uint64) * _M3)
         begin = np.concatenate(([0], np.cumsum(size)[:-1]))
         out[at:to] = mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * _M3)
         at = to
