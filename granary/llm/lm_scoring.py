@@ -26,7 +26,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, counts
 
 ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Text a chunk holds; with it, what one Python worker keeps in memory.
@@ -36,33 +36,6 @@ _TOTAL = np.uint64(0x5DEECE66D1234567)
 SCHEMA = "doc_id long, n_tokens long, log_score double, mean_log_score double, n_backed_off long"
 
 
-def pack(values: np.ndarray) -> bytes:
-    """Non-negative integers as byte planes, the empty high planes left out."""
-    values = np.ascontiguousarray(values, dtype="<u8")
-    width = max(1, (int(values.max()).bit_length() + 7) // 8) if len(values) else 1
-    return bytes([width]) + values.view(np.uint8).reshape(-1, 8)[:, :width].T.tobytes()
-
-
-def unpack(data: bytes) -> np.ndarray:
-    width = data[0]
-    planes = np.frombuffer(data, dtype=np.uint8, offset=1).reshape(width, -1)
-    out = np.zeros((planes.shape[1], 8), dtype=np.uint8)
-    out[:, :width] = planes.T
-    return out.reshape(-1).view("<u8")
-
-
-def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Sorted distinct keys and their (weighted) counts."""
-    if weights is not None:
-        at = np.argsort(keys, kind="stable")
-        keys, weights = keys[at], weights[at]
-    else:
-        keys = np.sort(keys)
-    first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    counts = np.diff(np.append(first, len(keys))).astype(np.uint64) if weights is None else np.add.reduceat(weights, first) if len(first) else weights
-    return keys[first], counts
-
-
 def _grams(words: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
     """Hash of the n-gram that ends at each word, for each order; where a row has too few words before it, 0."""
     place = np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))
@@ -78,58 +51,22 @@ def _grams(words: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarra
 
 def _chunk_table(texts, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a chunk and their counts in it, with the number of tokens under ``_TOTAL``."""
-    keys, counts, tokens = [], [], 0
+    keys, sums, tokens = [], [], 0
     for lo in range(0, len(texts), 2000):
         words, offsets = common.hash_words(*common.text_bytes(texts[lo : lo + 2000]))
         tokens += len(words)
         for g in _grams(words, offsets, order):
-            k, c = tally(g[g != 0])
+            k, c = counts.tally(g[g != 0])
             keys.append(k)
-            counts.append(c)
-    k, c = tally(np.concatenate(keys), np.concatenate(counts)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+            sums.append(c)
+    k, c = counts.tally(np.concatenate(keys), np.concatenate(sums)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
     at = int(np.searchsorted(k, _TOTAL))
     return np.insert(k, at, _TOTAL), np.insert(c, at, np.uint64(tokens))
 
 
-def _bounds(buckets: int) -> np.ndarray:
-    """First hash of each bucket but the first."""
-    return np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
-
-
 def _request(order: int, buckets: int):
-    import pyarrow as pa
-
-    def run(table: pa.Table) -> pa.Table:
-        keys, counts = _chunk_table(table["text"], order)
-        edges = np.concatenate(([0], np.searchsorted(keys, _bounds(buckets), side="left"), [len(keys)]))
-        full = [b for b in range(buckets) if edges[b + 1] > edges[b]]
-        part = [slice(edges[b], edges[b + 1]) for b in full]
-        return pa.table({
-            "bucket": pa.array(full, pa.int32()),
-            "chunk": pa.array([table["chunk"][0].as_py()] * len(full), pa.int32()),
-            "first": pa.array([int(keys[s.start]) - 2**63 for s in part], pa.int64()),
-            "steps": pa.array([pack(np.diff(keys[s])) for s in part], pa.binary()),
-            "counts": pa.array([pack(counts[s]) for s in part], pa.binary()),
-        })
-
-    return run
-
-
-def _answer():
-    import pyarrow as pa
-
-    def run(table: pa.Table) -> pa.Table:
-        rows = table.to_pylist()
-        keys = []
-        for r in rows:
-            first, steps = np.uint64(r["first"] + 2**63), unpack(r["steps"])
-            keys.append(np.concatenate(([first], first + np.cumsum(steps, dtype=np.uint64))))
-        known, total = tally(np.concatenate(keys), np.concatenate([unpack(r["counts"]) for r in rows]))
-        return pa.table({
-            "chunk": table["chunk"],
-            "bucket": table["bucket"],
-            "totals": pa.array([pack(total[np.searchsorted(known, k)]) for k in keys], pa.binary()),
-        })
+    def run(table):
+        return counts.parts(*_chunk_table(table["text"], order), table["chunk"][0].as_py(), buckets)
 
     return run
 
@@ -141,21 +78,20 @@ def _score(order: int, alpha: float, min_count: int):
         out = {k: [] for k in ("doc_id", "n_tokens", "log_score", "n_backed_off")}
         if docs.num_rows:
             keys, _ = _chunk_table(docs["text"], order)
-            parts = sorted(zip(answers["bucket"].to_pylist(), answers["totals"].to_pylist(), strict=True))
-            totals = np.concatenate([unpack(t) for _, t in parts])
+            totals = counts.join(answers)
             tokens = int(totals[np.searchsorted(keys, _TOTAL)])
             for lo in range(0, docs.num_rows, 2000):
                 part = docs.slice(lo, 2000)
                 words, offsets = common.hash_words(*common.text_bytes(part["text"]))
                 n = np.diff(offsets)
-                counts = [np.where(g != 0, totals[np.minimum(np.searchsorted(keys, g), len(totals) - 1)], 0).astype(float) for g in _grams(words, offsets, order)]
-                score = np.log(np.maximum(counts[0], 1) / max(tokens, 1))
+                seen = [np.where(g != 0, totals[np.minimum(np.searchsorted(keys, g), len(totals) - 1)], 0).astype(float) for g in _grams(words, offsets, order)]
+                score = np.log(np.maximum(seen[0], 1) / max(tokens, 1))
                 backed = np.zeros(len(words), dtype=np.int64)
                 for k in range(1, order):
-                    history = np.concatenate(([0.0], counts[k - 1][:-1]))
-                    known = counts[k] >= min_count
-                    longer = np.log(np.maximum(counts[k], 1) / np.maximum(history, 1))
-                    possible = counts[k] > 0
+                    history = np.concatenate(([0.0], seen[k - 1][:-1]))
+                    known = seen[k] >= min_count
+                    longer = np.log(np.maximum(seen[k], 1) / np.maximum(history, 1))
+                    possible = seen[k] > 0
                     score = np.where(known, longer, np.where(possible, score + math.log(alpha), score))
                     backed = np.where(known, 0, backed + possible)
                 total = np.concatenate(([0.0], np.cumsum(score)))
@@ -180,9 +116,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     chunks = max(1, -(-size // chunk_bytes))
     buckets = chunks * 2
     dealt = docs.select("doc_id", F.lower("text").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
-    asked = dealt.groupBy("chunk").applyInArrow(_request(order, buckets), "bucket int, chunk int, first long, steps binary, counts binary")
-    answers = asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(), "chunk int, bucket int, totals binary")
-    told = answers.repartition(chunks, "chunk")
+    told = counts.answer(dealt.groupBy("chunk").applyInArrow(_request(order, buckets), counts.PARTS), buckets).repartition(chunks, "chunk")
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(order, alpha, min_count), SCHEMA)
 
 

@@ -15,10 +15,13 @@ Whole classes without all pairs of a bucket:
 1. Equal texts are one node (a partial aggregate), so copies never meet each other.
 2. In each bucket every node is paired with the bucket's least node (the least comes from a partial
    aggregate). Pairs are verified by the exact J_P of the whole texts; links make classes.
-3. Nodes of one bucket that are in different classes still are paired with the next few of them.
-4. What is in one bucket but not in one class after that is compared outright: the members of all but
-   the bucket's largest class with all members of other classes, those first dropped whose signatures
-   agree in under half of the registers (at J_P 0.8 less likely than 1e-9).
+3. Nodes in buckets that still hold several classes count their shingles among each other (``counts``). J_P(x, y) is at
+   most the part of x's weight that y shares, so a node whose own shingles nobody else has to over a fifth of its
+   weight has no link there and leaves.
+4. Nodes of one bucket that are in different classes still are paired with the next few of them.
+5. What is in one bucket but not in one class after that is compared outright: the members of all but the bucket's
+   largest class with all members of other classes, those pairs first dropped whose bound is too low or whose
+   signatures agree in under half of the registers (at J_P 0.8 less likely than 1e-9).
 
 So two texts that share a bucket are compared unless they already are in one class: no link between
 classes is lost behind a cap. At J_P 0.8 two texts share no bucket with probability under 4e-4.
@@ -34,7 +37,7 @@ import numpy as np
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from . import common
+from . import common, counts
 from .graph import components
 
 SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
@@ -179,6 +182,57 @@ def _verify(size: int, threshold: float):
     return run
 
 
+# --- bounds -----------------------------------------------------------------------------------------
+
+
+def _shingles_of(texts, size: int):
+    """(text number, hash, weight) of an Arrow column, in parts of bounded text."""
+    for lo in range(0, len(texts), 500):
+        words, offsets = common.hash_words(*common.text_bytes(texts[lo : lo + 500]))
+        doc, h, w = _weigh(*_shingles(words, offsets, size))
+        yield doc + lo, h, w
+
+
+def _ask(size: int, buckets: int):
+    def run(table):
+        got = [counts.tally(h) for _, h, _ in _shingles_of(table["text"], size)]
+        return counts.parts(*counts.tally(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got])), table["chunk"][0].as_py(), buckets)
+
+    return run
+
+
+def _bound(size: int):
+    import pyarrow as pa
+
+    def run(texts, answers):
+        n = texts.num_rows
+        total, shared, plain = np.zeros(n), np.zeros(n), np.ones(n, bool)
+        if n:
+            got = list(_shingles_of(texts["text"], size))
+            keys, _ = counts.tally(np.concatenate([h for _, h, _ in got]))
+            holders = counts.join(answers)
+            for doc, h, w in got:
+                total += np.bincount(doc, w, n)
+                shared += np.bincount(doc, np.where(holders[np.searchsorted(keys, h)] > 1, w, 0.0), n)
+                plain[doc[w > 1]] = False
+        return pa.table({"node": texts["node"], "total": pa.array(total), "shared": pa.array(shared), "plain": pa.array(plain)})
+
+    return run
+
+
+def shared_weights(texts: DataFrame, size: int) -> DataFrame:
+    """For each of these texts (``node``, ``text``): its weight, the weight of its shingles that some other of them has, and whether all weights are 1.
+
+    J_P(x, y) is at most the part of x's weight that y shares, so texts and pairs that cannot reach a threshold show
+    without a comparison.
+    """
+    _, size_ = common.total_bytes(texts)
+    chunks = max(1, -(-size_ // (16 << 20)))
+    dealt = texts.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
+    told = counts.answer(dealt.groupBy("chunk").applyInArrow(_ask(size, chunks), counts.PARTS), chunks).repartition(chunks, "chunk")
+    return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_bound(size), "node long, total double, shared double, plain boolean")
+
+
 # --- classes ---------------------------------------------------------------------------------------
 
 
@@ -200,47 +254,54 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     by_node = heads.withColumnRenamed("head", "doc_id")
     whole = texts.select("node", "doc_id", "text")
 
+    def text_of(nodes: DataFrame) -> DataFrame:
+        return nodes.distinct().join(by_node, "node").join(whole, ["node", "doc_id"]).select("node", F.lower("text").alias("text")).dropDuplicates(["node"])
+
     def links(pairs: DataFrame) -> DataFrame:
         pairs = common.cut(pairs)
-        need = pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))).distinct()
-        have = need.join(by_node, "node").join(whole, ["node", "doc_id"]).select("node", F.lower("text").alias("text")).dropDuplicates(["node"])
-        have = common.cut(have)
+        have = common.cut(text_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))))
         left, right = have.select(F.col("node").alias("a"), F.col("text").alias("text_a")), have.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return common.cut(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(size, threshold), "a long, b long"))
 
     # 2. every node with the least of its buckets
     found = links(_distinct_pairs(met.select(F.col("node").alias("a"), F.col("least").alias("b"))))
     label = components(found)
-    # 3. in buckets that still hold several classes, each node with the next ones of other classes
-    def open_buckets(label: DataFrame) -> DataFrame:
-        own = met.join(label, "node", "left").select("band", "key", "node", "least", "n", F.coalesce("label", "node").alias("label"))
+    def open_buckets(rows: DataFrame, label: DataFrame) -> DataFrame:
+        own = rows.join(label, "node", "left").withColumn("label", F.coalesce("label", "node"))
         mixed = own.groupBy("band", "key").agg(F.min("label").alias("lo"), F.max("label").alias("hi")).filter("lo <> hi").select("band", "key")
         return own.join(mixed, ["band", "key"])
 
-    many = common.cut(open_buckets(label))
-    part = F.when(F.col("n") <= SPREAD, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SPREAD)))
-    order = Window.partitionBy("band", "key", "part").orderBy(F.xxhash64("node", "band"), "node")
-    near = many.filter("node <> least").withColumn("part", part)
-    near = near.select("node", "label", F.array(*[F.struct(F.lead("node", k).over(order).alias("node"), F.lead("label", k).over(order).alias("label")) for k in range(1, NEXT + 1)]).alias("others"))
-    near = near.select("node", "label", F.explode(F.filter("others", lambda x: x["label"] != F.col("label"))).alias("other"))
-    pairs = _distinct_pairs(near.select(F.col("node").alias("a"), F.col("other.node").alias("b")))
-    tried = common.cut(pairs)
-    more = links(tried)
-    found = found.unionAll(more)
-    label = components(found)
-    # 4. the rest outright
-    rest = common.cut(open_buckets(label).join(signed.dropDuplicates(["node"]).select("node", "sig"), "node"))
-    if not rest.isEmpty():
-        share = rest.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
-        big = share.groupBy("band", "key").agg(F.max(F.struct("size", "label")).alias("top")).select("band", "key", F.col("top.label").alias("top"))
-        marked = rest.join(big, ["band", "key"])
-        minor = marked.filter("label <> top").select("band", "key", F.col("node").alias("a"), F.col("label").alias("la"), F.col("sig").alias("sa"))
-        other = marked.select("band", "key", F.col("node").alias("b"), F.col("label").alias("lb"), F.col("sig").alias("sb"), "top")
-        pairs = minor.join(other, ["band", "key"]).filter("la <> lb and (lb = top or a < b)").filter(F.expr(agreement("sa", "sb", bands * rows)) * 2 >= bands * rows)
-        pairs = _distinct_pairs(pairs).join(tried, ["a", "b"], "left_anti")
-        least_pairs = _distinct_pairs(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
-        found = found.unionAll(links(pairs.join(least_pairs, ["a", "b"], "left_anti")))
+    # 3. what shingles no other candidate has bound a text's similarity to all of them
+    left = common.cut(open_buckets(met, label))
+    if not left.isEmpty():
+        bound = shared_weights(text_of(left.select("node")), size).filter(F.col("shared") >= (threshold - 1e-9) * F.col("total"))
+        left = common.cut(left.drop("label").join(bound, "node"))
+        many = common.cut(open_buckets(left, label))
+        # 4. each node with the next ones of other classes
+        part = F.when(F.col("n") <= SPREAD, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SPREAD)))
+        order = Window.partitionBy("band", "key", "part").orderBy(F.xxhash64("node", "band"), "node")
+        near = many.filter("node <> least").withColumn("part", part)
+        near = near.select("node", "label", F.array(*[F.struct(F.lead("node", k).over(order).alias("node"), F.lead("label", k).over(order).alias("label")) for k in range(1, NEXT + 1)]).alias("others"))
+        near = near.select("node", "label", F.explode(F.filter("others", lambda x: x["label"] != F.col("label"))).alias("other"))
+        tried = common.cut(_distinct_pairs(near.select(F.col("node").alias("a"), F.col("other.node").alias("b"))))
+        found = found.unionAll(links(tried))
         label = components(found)
+        # 5. the rest outright
+        rest = common.cut(open_buckets(left, label).join(signed.dropDuplicates(["node"]).select("node", "sig"), "node"))
+        if not rest.isEmpty():
+            share = rest.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
+            big = share.groupBy("band", "key").agg(F.max(F.struct("size", "label")).alias("top")).select("band", "key", F.col("top.label").alias("top"))
+            marked = rest.join(big, ["band", "key"])
+            side = lambda k: [F.col(c).alias(c + "_" + k) for c in ("label", "sig", "total", "shared", "plain")]
+            minor = marked.filter("label <> top").select("band", "key", F.col("node").alias("a"), *side("a"))
+            other = marked.select("band", "key", F.col("node").alias("b"), *side("b"), "top")
+            pairs = minor.join(other, ["band", "key"]).filter("label_a <> label_b and (label_b = top or a < b)")
+            # Sets share at most what the smaller has in common with anyone.
+            pairs = pairs.filter(f"not (plain_a and plain_b) or least(shared_a, shared_b) >= {threshold - 1e-9} * (total_a + total_b - least(shared_a, shared_b))")
+            pairs = _distinct_pairs(pairs.filter(F.expr(agreement("sig_a", "sig_b", bands * rows)) * 2 >= bands * rows))
+            least_pairs = _distinct_pairs(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
+            found = found.unionAll(links(pairs.join(tried, ["a", "b"], "left_anti").join(least_pairs, ["a", "b"], "left_anti")))
+            label = components(found)
     named = label.join(heads, "node")
     least_id = named.groupBy("label").agg(F.min("head").alias("class_id"))
     of = named.join(least_id, "label").select("node", "class_id")
