@@ -7,6 +7,7 @@ UTF-8 form of a text; word hashes are 64-bit and depend on all of its bytes.
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -30,9 +31,14 @@ def shared_folder(spark: SparkSession) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Write ``df`` to the shared checkpoint folder and read it from there, so that its lineage ends."""
-    shared_folder(df.sparkSession)
-    return df.checkpoint()
+    """Write ``df`` as a table in the shared checkpoint folder and read it from there, so that its lineage ends.
+
+    Unlike ``checkpoint()``, which runs a plan's last stage twice, the rows are made once; and the written size tells
+    the optimizer which sides of later joins are small.
+    """
+    path = f"{shared_folder(df.sparkSession)}/cut-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:

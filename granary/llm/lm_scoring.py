@@ -49,19 +49,23 @@ def _grams(words: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarra
     return out
 
 
+def _words_of(texts) -> tuple[np.ndarray, np.ndarray]:
+    """Word hashes of a chunk and each text's first word, made in parts so that only hashes are held."""
+    hashes, starts, at = [np.zeros(0, np.uint64)], [], 0
+    for lo in range(0, len(texts), 1000):
+        words, offsets = common.hash_words(*common.text_bytes(texts[lo : lo + 1000]))
+        hashes.append(words)
+        starts.append(offsets[:-1] + at)
+        at += len(words)
+    return np.concatenate(hashes), np.concatenate([*starts, [at]]).astype(np.int64)
+
+
 def _chunk_table(texts, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a chunk and their counts in it, with the number of tokens under ``_TOTAL``."""
-    keys, sums, tokens = [], [], 0
-    for lo in range(0, len(texts), 2000):
-        words, offsets = common.hash_words(*common.text_bytes(texts[lo : lo + 2000]))
-        tokens += len(words)
-        for g in _grams(words, offsets, order):
-            k, c = counts.tally(g[g != 0])
-            keys.append(k)
-            sums.append(c)
-    k, c = counts.tally(np.concatenate(keys), np.concatenate(sums)) if keys else (np.zeros(0, np.uint64), np.zeros(0, np.uint64))
+    words, offsets = _words_of(texts)
+    k, c = counts.tally(np.concatenate([g[g != 0] for g in _grams(words, offsets, order)]))
     at = int(np.searchsorted(k, _TOTAL))
-    return np.insert(k, at, _TOTAL), np.insert(c, at, np.uint64(tokens))
+    return np.insert(k, at, _TOTAL), np.insert(c, at, np.uint64(len(words)))
 
 
 def _request(order: int, buckets: int):
@@ -71,40 +75,45 @@ def _request(order: int, buckets: int):
     return run
 
 
+def _corpus_counts(grams: np.ndarray, keys: np.ndarray, totals: np.ndarray) -> np.ndarray:
+    """Corpus count of each n-gram (0 for the key 0). Sorting first makes the look-ups run through the table in order."""
+    order = np.argsort(grams, kind="stable")
+    sorted_ = grams[order]
+    new = np.concatenate(([True], sorted_[1:] != sorted_[:-1])) if len(order) else np.zeros(0, bool)
+    distinct = sorted_[new]
+    found = np.where(distinct != 0, totals[np.minimum(np.searchsorted(keys, distinct), len(totals) - 1)], 0).astype(np.float64)
+    out = np.empty(len(grams))
+    out[order] = found[np.cumsum(new) - 1]
+    return out
+
+
 def _score(order: int, alpha: float, min_count: int):
     import pyarrow as pa
 
     def run(docs: pa.Table, answers: pa.Table) -> pa.Table:
-        out = {k: [] for k in ("doc_id", "n_tokens", "log_score", "n_backed_off")}
-        if docs.num_rows:
-            keys, _ = _chunk_table(docs["text"], order)
-            totals = counts.join(answers)
-            tokens = int(totals[np.searchsorted(keys, _TOTAL)])
-            for lo in range(0, docs.num_rows, 2000):
-                part = docs.slice(lo, 2000)
-                words, offsets = common.hash_words(*common.text_bytes(part["text"]))
-                n = np.diff(offsets)
-                seen = [np.where(g != 0, totals[np.minimum(np.searchsorted(keys, g), len(totals) - 1)], 0).astype(float) for g in _grams(words, offsets, order)]
-                score = np.log(np.maximum(seen[0], 1) / max(tokens, 1))
-                backed = np.zeros(len(words), dtype=np.int64)
-                for k in range(1, order):
-                    history = np.concatenate(([0.0], seen[k - 1][:-1]))
-                    known = seen[k] >= min_count
-                    longer = np.log(np.maximum(seen[k], 1) / np.maximum(history, 1))
-                    possible = seen[k] > 0
-                    score = np.where(known, longer, np.where(possible, score + math.log(alpha), score))
-                    backed = np.where(known, 0, backed + possible)
-                total = np.concatenate(([0.0], np.cumsum(score)))
-                sums = np.add.reduceat(np.append(score, 0.0), np.minimum(offsets[:-1], len(score))) if len(n) else total[:0]
-                out["doc_id"] += part["doc_id"].to_pylist()
-                out["n_tokens"] += n.tolist()
-                out["log_score"] += np.where(n > 0, sums, 0.0).tolist()
-                back = np.concatenate(([0], np.cumsum(backed > 0)))
-                out["n_backed_off"] += (back[offsets[1:]] - back[offsets[:-1]]).tolist()
-        mean = [s / n if n else None for s, n in zip(out["log_score"], out["n_tokens"], strict=True)]
-        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "log_score": pa.float64(), "n_backed_off": pa.int64()}
-        made = {k: pa.array(v, kinds[k]) for k, v in out.items()}
-        return pa.table({"doc_id": made["doc_id"], "n_tokens": made["n_tokens"], "log_score": made["log_score"], "mean_log_score": pa.array(mean, pa.float64()), "n_backed_off": made["n_backed_off"]})
+        kinds = {"doc_id": pa.int64(), "n_tokens": pa.int64(), "log_score": pa.float64(), "mean_log_score": pa.float64(), "n_backed_off": pa.int64()}
+        if not docs.num_rows:
+            return pa.table({k: pa.array([], t) for k, t in kinds.items()})
+        words, offsets = _words_of(docs["text"])
+        grams = _grams(words, offsets, order)
+        keys = counts.tally(np.concatenate([*[g[g != 0] for g in grams], [_TOTAL]]).astype(np.uint64))[0]
+        totals = counts.join(answers)
+        tokens = int(totals[np.searchsorted(keys, _TOTAL)])
+        seen = [_corpus_counts(g, keys, totals) for g in grams]
+        score = np.log(np.maximum(seen[0], 1) / max(tokens, 1))
+        backed = np.zeros(len(words), bool)
+        for k in range(1, order):
+            history = np.concatenate(([0.0], seen[k - 1][:-1]))
+            known = seen[k] >= min_count
+            possible = seen[k] > 0
+            longer = np.log(np.maximum(seen[k], 1) / np.maximum(history, 1))
+            score = np.where(known, longer, np.where(possible, score + math.log(alpha), score))
+            backed = np.where(known, False, backed | possible)
+        n = np.diff(offsets)
+        add = lambda v: np.where(n > 0, np.add.reduceat(np.append(v, 0.0), np.minimum(offsets[:-1], len(v))), 0.0)
+        total = add(score)
+        made = [docs["doc_id"].combine_chunks(), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0), pa.array(add(backed.astype(float)).astype(np.int64))]
+        return pa.table({k: v.cast(t) for (k, t), v in zip(kinds.items(), made, strict=True)})
 
     return run
 
