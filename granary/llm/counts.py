@@ -1,4 +1,7 @@
-"""Corpus-wide counts of 64-bit keys, by buckets of the hash.
+"""Corpus-wide counts of keys, by buckets of the key.
+
+Keys are the upper 56 bits of 64-bit hashes: a given key is met by chance by one of n others with probability n / 2**56
+(1e-7 for ten thousand million), and its count then holds both.
 
 A chunk (some tens of MB of text) counts its own keys first and sends each bucket one row: the sorted keys that fall
 into it and their counts, packed. A bucket adds the chunks' counts up and answers every chunk with the sums of the
@@ -11,9 +14,14 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+BITS = 56
 PARTS = "bucket int, chunk int, first long, steps binary, counts binary"
 
 
+def key(hashes: np.ndarray) -> np.ndarray:
+    return hashes >> np.uint64(64 - BITS)
+
+
 def pack(values: np.ndarray) -> bytes:
     """Non-negative integers as byte planes, the empty high planes left out."""
     values = np.ascontiguousarray(values, dtype="<u8")
@@ -43,7 +51,7 @@ def tally(keys: np.ndarray, weights: np.ndarray | None = None) -> tuple[np.ndarr
 
 def _bounds(buckets: int) -> np.ndarray:
     """First hash of each bucket but the first."""
-    return np.array([(b << 64) // buckets for b in range(1, buckets)], dtype=np.uint64)
+    return np.array([(b << BITS) // buckets for b in range(1, buckets)], dtype=np.uint64)
 
 
 def parts(keys: np.ndarray, sums: np.ndarray, chunk: int, buckets: int):
@@ -56,7 +64,7 @@ def parts(keys: np.ndarray, sums: np.ndarray, chunk: int, buckets: int):
     return pa.table({
         "bucket": pa.array(full, pa.int32()),
         "chunk": pa.array([chunk] * len(full), pa.int32()),
-        "first": pa.array([int(keys[s.start]) - 2**63 for s in part], pa.int64()),
+        "first": pa.array([int(keys[s.start]) for s in part], pa.int64()),
         "steps": pa.array([pack(np.diff(keys[s])) for s in part], pa.binary()),
         "counts": pa.array([pack(sums[s]) for s in part], pa.binary()),
     })
@@ -69,7 +77,7 @@ def _answer():
         rows = table.to_pylist()
         keys = []
         for r in rows:
-            first, steps = np.uint64(r["first"] + 2**63), unpack(r["steps"])
+            first, steps = np.uint64(r["first"]), unpack(r["steps"])
             keys.append(np.concatenate(([first], first + np.cumsum(steps, dtype=np.uint64))))
         known, total = tally(np.concatenate(keys), np.concatenate([unpack(r["counts"]) for r in rows]))
         return pa.table({

@@ -32,7 +32,7 @@ ORDER, ALPHA, MIN_COUNT = 3, 0.4, 2
 #: Text a chunk holds; with it, what one Python worker keeps in memory.
 CHUNK_BYTES = 16 << 20
 #: Stands for "a token" in the count table: its count is the number of tokens.
-_TOTAL = np.uint64(0x5DEECE66D1234567)
+_TOTAL = np.uint64(0x5DEECE66D12345)
 SCHEMA = "doc_id long, n_tokens long, log_score double, mean_log_score double, n_backed_off long"
 
 
@@ -42,7 +42,7 @@ def _grams(words: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarra
     out = []
     for n in range(1, order + 1):
         g = np.zeros(len(words), dtype=np.uint64)
-        rolled = common.roll(words, n)
+        rolled = np.maximum(counts.key(common.roll(words, n)), np.uint64(1))
         g[n - 1 :] = rolled if len(words) >= n else g[n - 1 :]
         g[place < n - 1] = 0
         out.append(g)

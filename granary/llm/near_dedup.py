@@ -6,9 +6,10 @@ weight is its number of occurrences. The similarity is the probability Jaccard o
 for texts that repeat no shingle it is the Jaccard index.
 
 Signature (Ertl, 2020): the occurrences of a shingle arrive as a Poisson process whose rate is its weight;
-each arrival falls into one of ``BANDS * ROWS`` registers, which keep the earliest arrival and its shingle;
+each arrival falls into one of the registers, which keep the earliest arrival and its shingle;
 a process ends early, once its next arrival is later than every register's. Registers of two texts agree
-with probability J_P. Each band of ``ROWS`` registers is a bucket key.
+with probability J_P. Each band of ``ROWS`` registers is a bucket key; ``REGISTERS`` there are in all, a byte of each
+is kept for estimates.
 
 Whole classes without all pairs of a bucket:
 
@@ -21,7 +22,7 @@ Whole classes without all pairs of a bucket:
 4. Nodes of one bucket that are in different classes still are paired with the next few of them.
 5. What is in one bucket but not in one class after that is compared outright: the members of all but the bucket's
    largest class with all members of other classes, those pairs first dropped whose bound is too low or whose
-   signatures agree in under half of the registers (at J_P 0.8 less likely than 1e-9).
+   signatures agree in under ``ALIKE`` of the registers.
 
 So two texts that share a bucket are compared unless they already are in one class: no link between
 classes is lost behind a cap. At J_P 0.8 two texts share no bucket with probability under 4e-4.
@@ -40,7 +41,9 @@ from pyspark.sql import functions as F
 from . import common, counts
 from .graph import components
 
-SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
+SHINGLE, BANDS, ROWS, REGISTERS, THRESHOLD = 5, 20, 5, 200, 0.8
+#: Share of equal registers under which a pair is not looked at; at J_P 0.8 a pair has it with probability 5e-5.
+ALIKE = 0.69
 NEXT, SPREAD = 3, 500
 _SLICE = 4 << 20
 
@@ -97,21 +100,21 @@ def signatures(words: np.ndarray, offsets: np.ndarray, registers: int, size: int
     return who.reshape(texts, registers)
 
 
-def _sign(bands: int, rows: int, size: int):
+def _sign(bands: int, rows: int, registers: int, size: int):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             for part in _slices(batch):
                 words, offsets = common.hash_words(*common.text_bytes(part.column(1)))
-                sig = signatures(words, offsets, bands * rows, size)
+                sig = signatures(words, offsets, registers, size)
                 keys = np.zeros((len(sig), bands), np.uint64)
                 for b in range(bands):
                     for r in range(rows):
                         keys[:, b] = common.mix(keys[:, b] * np.uint64(3) + sig[:, b * rows + r])
                 full = np.diff(offsets) > 0
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(full, bands, 0)))).astype(np.int32), keys[full].reshape(-1).view(np.int64))
-                short = (sig & np.uint64(0xFFFF)).astype("<u2")
+                short = (sig & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([s.tobytes() for s in short], pa.binary())], ["node", "bands", "sig"])
 
     return run
@@ -195,7 +198,7 @@ def _shingles_of(texts, size: int):
 
 def _ask(size: int, buckets: int):
     def run(table):
-        got = [counts.tally(h) for _, h, _ in _shingles_of(table["text"], size)]
+        got = [counts.tally(counts.key(h)) for _, h, _ in _shingles_of(table["text"], size)]
         return counts.parts(*counts.tally(np.concatenate([k for k, _ in got]), np.concatenate([c for _, c in got])), table["chunk"][0].as_py(), buckets)
 
     return run
@@ -209,11 +212,11 @@ def _bound(size: int):
         total, shared, plain = np.zeros(n), np.zeros(n), np.ones(n, bool)
         if n:
             got = list(_shingles_of(texts["text"], size))
-            keys, _ = counts.tally(np.concatenate([h for _, h, _ in got]))
+            keys, _ = counts.tally(counts.key(np.concatenate([h for _, h, _ in got])))
             holders = counts.join(answers)
             for doc, h, w in got:
                 total += np.bincount(doc, w, n)
-                shared += np.bincount(doc, np.where(holders[np.searchsorted(keys, h)] > 1, w, 0.0), n)
+                shared += np.bincount(doc, np.where(holders[np.searchsorted(keys, counts.key(h))] > 1, w, 0.0), n)
                 plain[doc[w > 1]] = False
         return pa.table({"node": texts["node"], "total": pa.array(total), "shared": pa.array(shared), "plain": pa.array(plain)})
 
@@ -246,7 +249,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     members = texts.select("doc_id", "node")
     # min_by keeps one text a node: equal texts, equal signatures. Long texts never go through this aggregate.
     heads = common.cut(members.groupBy("node").agg(F.min("doc_id").alias("head")))
-    signed = texts.select("node", F.lower("text").alias("text")).mapInArrow(_sign(bands, rows, size), "node long, bands array<long>, sig binary")
+    signed = texts.select("node", F.lower("text").alias("text")).mapInArrow(_sign(bands, rows, max(REGISTERS, bands * rows), size), "node long, bands array<long>, sig binary")
     signed = common.cut(signed)
     buckets = signed.select("node", F.posexplode("bands").alias("band", "key")).distinct()
     least = buckets.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -298,7 +301,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             pairs = minor.join(other, ["band", "key"]).filter("label_a <> label_b and (label_b = top or a < b)")
             # Sets share at most what the smaller has in common with anyone.
             pairs = pairs.filter(f"not (plain_a and plain_b) or least(shared_a, shared_b) >= {threshold - 1e-9} * (total_a + total_b - least(shared_a, shared_b))")
-            pairs = _distinct_pairs(pairs.filter(F.expr(agreement("sig_a", "sig_b", bands * rows)) * 2 >= bands * rows))
+            pairs = _distinct_pairs(pairs.filter(F.expr(agreement("sig_a", "sig_b")) >= F.lit(ALIKE) * F.length("sig_a")))
             least_pairs = _distinct_pairs(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
             found = found.unionAll(links(pairs.join(tried, ["a", "b"], "left_anti").join(least_pairs, ["a", "b"], "left_anti")))
             label = components(found)
@@ -309,9 +312,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     return members.join(of, "node").select("doc_id", "class_id", "node")
 
 
-def agreement(a: str, b: str, registers: int) -> str:
-    """SQL of how many 16-bit registers of two signatures are equal."""
-    return f"size(filter(sequence(0, {registers - 1}), i -> substring({a}, 2 * i + 1, 2) = substring({b}, 2 * i + 1, 2)))"
+def agreement(a: str, b: str) -> str:
+    """SQL of how many registers of two signatures (a byte each) are equal."""
+    return f"size(filter(sequence(1, length({a})), i -> substring({a}, i, 1) = substring({b}, i, 1)))"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
