@@ -7,6 +7,10 @@ t/(2-t) |B| <= |A| <= (2-t)/t |B|, so a template is compared only with units who
 bigrams lies in these bounds, and units outside every template's bounds are never compared.
 All of it is built-in functions without a shuffle or join: the templates are literals.
 
+Nothing is normalised that cannot match: a unit that reaches the threshold misses less than m + 1 of a template's
+bigrams (m follows from the threshold), so it holds one of any m + 1 of them and hence one of a word chosen from each. A
+text or unit without any of these words, for all templates together, is out (``needed_words``).
+
 Result: a row per document with its best template (highest Dice; ties: first name) at or over the
 threshold, that Dice, and the number of units that matched some template; documents without a match
 have nulls and 0. Defined cases: null, empty and one-word texts match nothing; repeated rows give a
@@ -52,6 +56,20 @@ def size_bounds(size: int, threshold: float) -> tuple[int, int]:
     return -int(-(low - 1e-9) // 1), int(high + 1e-9)
 
 
+def needed_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
+    """Words of which each unit that reaches the threshold holds at least one; long words and words in use first."""
+    chosen: set[str] = set()
+    common_letters = "etaoinshrdlcumwfgypbvkjxqz"  # by frequency: a word of rare letters is seldom a part of another
+    rare = lambda w: sum(2 + common_letters.find(c) / 4 if c in common_letters else 6.0 for c in w)
+    for bigrams in sets.values():
+        misses = len(bigrams) - size_bounds(len(bigrams), threshold)[0]
+        best = lambda b: max(b.split(" "), key=lambda w: (w in chosen, rare(w), w))
+        for b in sorted(bigrams, key=lambda b: (best(b) not in chosen, -rare(best(b)), b))[: misses + 1]:
+            chosen.add(best(b))
+    # A word that holds another chosen word is found with it.
+    return sorted(w for w in chosen if not any(v != w and v in w for v in chosen))
+
+
 def _words(unit: Column) -> Column:
     return F.split(F.trim(F.regexp_replace(F.lower(unit), r"[^\p{L}\p{N}]+", " ")), " ")
 
@@ -72,9 +90,15 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
     docs = common.ids_and_text(docs, id_col, text_col)
     # A unit with few or very many spaces cannot come within any template's bounds: distinct bigrams are at most
     # words - 1, and words are at most one more than half the characters.
-    lines = F.split(F.coalesce("text", F.lit("")), "\n")
+    words = needed_words(sets, threshold)
+    def hopeful(text: Column) -> Column:
+        low, out = F.lower(text), F.lit(False)
+        for w in words:
+            out = out | F.contains(low, F.lit(w))
+        return out
+    lines = F.split(F.when(hopeful(F.col("text")), F.col("text")).otherwise(""), "\n")
     units = F.when(F.size(lines) > 1, F.concat(lines, F.array("text"))).otherwise(lines)
-    units = F.filter(units, lambda u: F.length(u) >= 2 * least + 1)
+    units = F.filter(units, lambda u: (F.length(u) >= 2 * least + 1) & hopeful(u))
     def matches(unit: Column) -> Column:
         def compare(b: Column) -> Column:
             n = F.size(b)

@@ -4,7 +4,7 @@ A text's words are hashed into ``BUCKETS`` counts (feature hashing); a fixed Gau
 ``DIMS`` numbers, each divided by the root of the number of words and turned into a cell of ``2 ** BITS`` by the
 normal distribution function. The cell's place on a Hilbert curve (Skilling, 2004) is the text's key: texts with like
 words get near keys. The table is range-sorted by key (ties by hash of the id, so that many copies spread over
-ranges too) and each range is packed as one stream in curve order: ids of a text, then id 0, then the next text; a sequence
+ranges too; a sample by hash of the ids sets where ranges end) and each range is packed as one stream in curve order: ids of a text, then id 0, then the next text; a sequence
 ends at ``LENGTH`` ids. The last ids of a range, fewer than ``LENGTH``, become sequences of falling powers of two, so no
 sequence needs padding. Every text is tokenised once, whole, in the task that packs its range.
 
@@ -14,18 +14,20 @@ empty result; ties in the key fall to the hash of the id, then the id, then the
 
 from __future__ import annotations
 
+import bisect
 import json
 import zlib
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import common
 
 LENGTH, DIMS, BITS, BUCKETS = 1024, 3, 10, 256
-#: Text a range holds, about.
-RANGE_BYTES = 24 << 20
+#: Text a range holds, about; rows sampled for the ranges' ends, about.
+RANGE_BYTES, SAMPLE = 24 << 20, 8000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert_key long"
 _PLANES = np.random.default_rng(1891).standard_normal((BUCKETS, DIMS))
 
@@ -71,17 +73,31 @@ def curve_keys(column) -> np.ndarray:
     return hilbert(cells, BITS)
 
 
-def _key():
-    import pyarrow as pa
-
+def _in_parts(texts, f):
+    """``f`` of an Arrow column in parts of bounded text, as one array."""
     from .near_dedup import _slices
 
-    def run(batches):
-        for batch in batches:
-            for part in _slices(batch, 1):
-                yield pa.RecordBatch.from_arrays([part.column(0), part.column(1), pa.array(curve_keys(part.column(1)))], ["doc_id", "text", "hilbert_key"])
+    texts = texts.combine_chunks() if isinstance(texts, pa.ChunkedArray) else texts
+    return np.concatenate([np.zeros(0, np.int64), *[f(part.column(0)) for part in _slices(pa.RecordBatch.from_arrays([texts], ["text"]), 0)]])
 
-    return run
+
+def _key_udf():
+    @F.arrow_udf("long")
+    def key(texts: pa.Array) -> pa.Array:
+        return pa.array(_in_parts(texts, curve_keys), pa.int64())
+
+    return key
+
+
+def _range_udf(bounds: list[tuple[int, int]]):
+    """The number of bounds at or before (key, tie)."""
+
+    @F.arrow_udf("int")
+    def place(keys: pa.Array, ties: pa.Array) -> pa.Array:
+        pairs = zip(keys.to_pylist(), ties.to_pylist(), strict=True)
+        return pa.array([bisect.bisect_right(bounds, p) for p in pairs], pa.int32())
+
+    return place
 
 
 _loaded: dict = {}
@@ -155,7 +171,6 @@ class Packer:
 
 
 def _stream(path: str, length: int):
-    import pyarrow as pa
     from pyspark import TaskContext
 
     schema = pa.schema([(c.split()[0], pa.int64()) for c in SCHEMA.split(", ")])
@@ -182,11 +197,21 @@ def _stream(path: str, length: int):
 
 def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, range_bytes: int = RANGE_BYTES) -> DataFrame:
     """A row per piece: ``SCHEMA``."""
-    d = common.ids_and_text(docs, id_col, text_col)
-    _, size = common.total_bytes(d)
-    keyed = d.mapInArrow(_key(), "doc_id long, text string, hilbert_key long").withColumn("tie", F.xxhash64("doc_id"))
-    ranges = keyed.repartitionByRange(max(1, -(-size // range_bytes)), "hilbert_key", "tie").sortWithinPartitions("hilbert_key", "tie", "doc_id", "text")
-    return ranges.select("doc_id", "text", "hilbert_key").mapInArrow(_stream(path, length), SCHEMA)
+    d = common.ids_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("doc_id"))
+    rows, size = common.total_bytes(d)
+    ranges = max(1, -(-size // range_bytes))
+    key = _key_udf()
+    bounds = []
+    if ranges > 1:  # where ranges end, from a sample of the ids' hashes
+        some = d.filter(F.pmod(F.xxhash64("tie"), F.lit(max(1, rows // SAMPLE))) == 0).select(key("text").alias("key"), "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("key", "tie").collect()
+        whole, at = sum(r["size"] + 1 for r in some), 0
+        for r in some:
+            at += r["size"] + 1
+            if at * ranges > whole * (len(bounds) + 1) and len(bounds) < ranges - 1:
+                bounds.append((r.key, r.tie))
+    keyed = d.withColumn("hilbert_key", key("text"))
+    dealt = keyed.withColumn("range", _range_udf(bounds)("hilbert_key", "tie")).repartitionById(ranges, F.col("range")).sortWithinPartitions("hilbert_key", "tie", "doc_id", "text")
+    return dealt.select("doc_id", "text", "hilbert_key").mapInArrow(_stream(path, length), SCHEMA)
 
 
 def default_tokenizer() -> str:
