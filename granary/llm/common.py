@@ -6,6 +6,7 @@ UTF-8 form of a text; word hashes are 64-bit and depend on all of its bytes.
 
 from __future__ import annotations
 
+import functools
 import tempfile
 import uuid
 
@@ -56,8 +57,9 @@ def total_bytes(docs: DataFrame, text_col: str = "text") -> tuple[int, int]:
 
 _SPACES = np.zeros(256, dtype=bool)
 _SPACES[[0x20, 0x09, 0x0A, 0x0B, 0x0C, 0x0D]] = True
-_WIDTH = 32
-_TABLE = np.random.default_rng(20240229).integers(0, 2**64, size=(_WIDTH, 256), dtype=np.uint64)
+_VALUE = np.random.default_rng(20240229).integers(0, 2**64, size=256, dtype=np.uint64)
+#: Odd, so that it has an inverse; 3 modulo 8, so that its powers differ early.
+_BASE = 0x9E3779B97F4A7C1B
 _M1, _M2, _M3 = np.uint64(0xFF51AFD7ED558CCD), np.uint64(0xC4CEB9FE1A85EC53), np.uint64(0x9E3779B97F4A7C15)
 _S33 = np.uint64(33)
 
@@ -82,8 +84,19 @@ def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     return np.frombuffer(b" ".join(parts) + b" ", dtype=np.uint8), np.concatenate(([0], ends)).astype(np.int64)
 
 
-def hash_words(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 22) -> tuple[np.ndarray, np.ndarray]:
-    """Hash of each word in ``data`` and, for each row, the index of its first word (rows + 1 offsets)."""
+@functools.cache
+def _powers(n: int) -> tuple[np.ndarray, np.ndarray]:
+    """The first n powers of the base and of its inverse."""
+    up, down = np.full(n, _BASE, np.uint64), np.full(n, pow(_BASE, -1, 1 << 64), np.uint64)
+    up[0] = down[0] = 1
+    return np.multiply.accumulate(up), np.multiply.accumulate(down)
+
+
+def hash_words(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 19) -> tuple[np.ndarray, np.ndarray]:
+    """Hash of each word in ``data`` and, for each row, the index of its first word (rows + 1 offsets).
+
+    A word's hash is a polynomial in its bytes' random values, taken from running sums over a block of text.
+    """
     space = _SPACES[data]
     edge = np.flatnonzero(space[1:] != space[:-1]) + 1
     if len(data) and not space[0]:
@@ -91,21 +104,14 @@ def hash_words(data: np.ndarray, offsets: np.ndarray, block: int = 1 << 22) -> t
     starts, ends = edge[0::2], edge[1::2]  # data ends with a space, so each word has an end
     out = np.empty(len(starts), dtype=np.uint64)
     at = 0
-    while at < len(starts):  # in blocks, so that temporary arrays stay small
+    while at < len(starts):
         to = max(at + 1, int(np.searchsorted(ends, starts[at] + block, side="right")))
-        s, e = starts[at:to], ends[at:to]
-        lo, hi = int(s[0]), int(e[-1])
-        size = e - s
-        place = np.arange(hi - lo, dtype=np.int64)
-        inside = ~space[lo:hi]
-        first = np.repeat(s - lo, size)
-        place = place[inside] - first
-        value = _TABLE[place & (_WIDTH - 1), data[lo:hi][inside]]
-        if int(size.max()) > _WIDTH:  # later stretches of a long word count differently
-            late = np.flatnonzero(place >= _WIDTH)
-            value[late] = mix(value[late] + (place[late] // _WIDTH).astype(np.uint64) * _M3)
-        begin = np.concatenate(([0], np.cumsum(size)[:-1]))
-        out[at:to] = mix(np.add.reduceat(value, begin) + size.astype(np.uint64) * _M3)
+        lo, hi = int(starts[at]), int(ends[to - 1])
+        up, down = _powers(1 << max(19, (hi - lo).bit_length()))
+        sums = np.zeros(hi - lo + 1, np.uint64)
+        np.cumsum(_VALUE[data[lo:hi]] * up[: hi - lo], out=sums[1:])
+        s, e = starts[at:to] - lo, ends[at:to] - lo
+        out[at:to] = mix((sums[e] - sums[s]) * down[s] + (e - s).astype(np.uint64) * _M3)
         at = to
     return out, np.searchsorted(starts, offsets, side="left").astype(np.int64)
 

@@ -60,7 +60,8 @@ def needed_words(sets: dict[str, list[str]], threshold: float) -> list[str]:
     """Words of which each unit that reaches the threshold holds at least one; long words and words in use first."""
     chosen: set[str] = set()
     common_letters = "etaoinshrdlcumwfgypbvkjxqz"  # by frequency: a word of rare letters is seldom a part of another
-    rare = lambda w: sum(2 + common_letters.find(c) / 4 if c in common_letters else 6.0 for c in w)
+    frequent = "a all and at be by except following for in including is may not of or that the this to under use with you".split()
+    rare = lambda w: 0.0 if w in frequent else sum(2 + common_letters.find(c) / 4 if c in common_letters else 6.0 for c in w)
     for bigrams in sets.values():
         misses = len(bigrams) - size_bounds(len(bigrams), threshold)[0]
         best = lambda b: max(b.split(" "), key=lambda w: (w in chosen, rare(w), w))

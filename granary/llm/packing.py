@@ -27,7 +27,7 @@ from . import common
 
 LENGTH, DIMS, BITS, BUCKETS = 1024, 3, 10, 256
 #: Text a range holds, about; rows sampled for the ranges' ends, about.
-RANGE_BYTES, SAMPLE = 24 << 20, 8000
+RANGE_BYTES, SAMPLE = 24 << 20, 2000
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert_key long"
 _PLANES = np.random.default_rng(1891).standard_normal((BUCKETS, DIMS))
 
