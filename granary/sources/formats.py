@@ -14,6 +14,7 @@ from xml.etree import ElementTree
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 _W = "{http://schemas.openxmlformats.org/wordprocessingml/2006/main}"
 _S = "{http://schemas.openxmlformats.org/spreadsheetml/2006/main}"
@@ -95,7 +96,10 @@ def _extract(content: bytes, kind: str) -> tuple[str, str, str | None]:
         return "", "failed", f"{type(e).__name__}: {e}"
 
 
-@F.pandas_udf("text string, status string, error_message string")
+_GOT = T.StructType([T.StructField(c, T.StringType()) for c in ("text", "status", "error_message")])
+
+
+@F.pandas_udf(_GOT)
 def extract(content: pd.Series, kind: pd.Series) -> pd.DataFrame:
     return pd.DataFrame([_extract(c, k) for c, k in zip(content, kind, strict=True)], columns=["text", "status", "error_message"])
 
