@@ -42,8 +42,36 @@ def cut(df: DataFrame) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Rows that Spark hands to Python at once; texts are long.
+BATCH_ROWS = 1000
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Fewer rows in an Arrow batch than by default, unless the caller chose a number: it bounds memory on both sides."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    if int(spark.conf.get(key, "10000")) == 10000:
+        spark.conf.set(key, BATCH_ROWS)
+
+
+def trim() -> None:
+    """Give memory that is free inside this process back to the system."""
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    if (f := _malloc_trim()) is not None:
+        f(0)
+
+
+@functools.cache
+def _malloc_trim():
+    import ctypes
+
+    return getattr(ctypes.CDLL(None), "malloc_trim", None)
+
+
 def ids_and_text(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """``doc_id`` and ``text`` only, whatever the input calls them and whatever else it holds."""
+    small_batches(docs.sparkSession)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"))
 
 

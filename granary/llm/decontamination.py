@@ -82,7 +82,7 @@ class Index:
         self.seen = np.zeros(1 << _BITS, bool)
         self.seen[(self.keys >> np.uint64(64 - _BITS)).astype(np.int64)] = True
 
-    def search_all(self, texts: list[str], small: int = 1 << 21) -> list[list[int]]:
+    def search_all(self, texts: list[str], small: int = 1 << 20) -> list[list[int]]:
         """``search`` over any number of texts, in parts of bounded size; ids ascend."""
         out, part, size = [], [], 0
         for t in texts:
@@ -92,6 +92,7 @@ class Index:
                 out += self.search(part)
                 part, size = [], 0
         out += self.search(part) if part else []
+        common.trim()
         return [sorted(f) for f in out]
 
     def search(self, texts: list[str]) -> list[list[int]]:
@@ -205,6 +206,7 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
         return run
 
+    common.small_batches(docs.sparkSession)
     for items in _blocks(benchmark, item_id, item_text, block_chars):
         docs = docs.filter(clean(Index(items, q, edits))(F.lower(docs[text_col])))
     return docs

@@ -45,7 +45,7 @@ SHINGLE, BANDS, ROWS, REGISTERS, THRESHOLD = 5, 20, 5, 200, 0.8
 #: Share of equal registers under which a pair is not looked at; at J_P 0.8 a pair has it with probability 5e-5.
 ALIKE = 0.69
 NEXT, SPREAD = 3, 500
-_SLICE = 4 << 20
+_SLICE = 2 << 20
 
 
 # --- weighted shingles and signatures -------------------------------------------------------------
@@ -116,6 +116,7 @@ def _sign(bands: int, rows: int, registers: int, size: int):
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(full, bands, 0)))).astype(np.int32), keys[full].reshape(-1).view(np.int64))
                 short = (sig & np.uint64(0xFF)).astype(np.uint8)
                 yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([s.tobytes() for s in short], pa.binary())], ["node", "bands", "sig"])
+                common.trim()
 
     return run
 

@@ -256,10 +256,11 @@ def _apply(model: Model):
             for i, t in enumerate(texts):
                 part.append(t)
                 size += len(t or "")
-                if size >= 1 << 21 or i == len(texts) - 1:
+                if size >= 1 << 20 or i == len(texts) - 1:
                     scores.append(model.score(part))
                     part, size = [], 0
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(np.concatenate(scores) if scores else np.zeros(0))], ["doc_id", "score"])
+            common.trim()
 
     return run
 
@@ -278,12 +279,14 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
         for t in texts:
             part.append(t)
             size += len(t or "")
-            if size >= 1 << 21:
+            if size >= 1 << 20:
                 out.append(model.score(part))
                 part, size = [], 0
         out.append(model.score(part) if part else np.zeros(0))
+        common.trim()
         return pd.Series(np.concatenate(out) >= CUT)
 
+    common.small_batches(docs.sparkSession)
     return docs.filter(good(docs[text_col]))
 
 
