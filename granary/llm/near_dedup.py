@@ -19,10 +19,10 @@ Whole classes without all pairs of a bucket:
 3. Nodes in buckets that still hold several classes count their shingles among each other (``counts``). J_P(x, y) is at
    most the part of x's weight that y shares, so a node whose own shingles nobody else has to over a fifth of its
    weight has no link there and leaves.
-4. Nodes of one bucket that are in different classes still are paired with the next few of them.
+4. Nodes of one bucket that are in different classes still are paired with the next few of them; here and in the next
+   step pairs whose signatures agree in under ``ALIKE`` of the registers are dropped before any text moves.
 5. What is in one bucket but not in one class after that is compared outright: the members of all but the bucket's
-   largest class with all members of other classes, those pairs first dropped whose bound is too low or whose
-   signatures agree in under ``ALIKE`` of the registers.
+   largest class with all members of other classes, those pairs first dropped whose bound is too low.
 
 So two texts that share a bucket are compared unless they already are in one class: no link between
 classes is lost behind a cap. At J_P 0.8 two texts share no bucket with probability under 4e-4.
@@ -279,19 +279,21 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     left = common.cut(open_buckets(met, label))
     if not left.isEmpty():
         bound = shared_weights(text_of(left.select("node")), size).filter(F.col("shared") >= (threshold - 1e-9) * F.col("total"))
-        left = common.cut(left.drop("label").join(bound, "node"))
+        left = common.cut(left.drop("label").join(bound, "node").join(signed.dropDuplicates(["node"]).select("node", "sig"), "node"))
         many = common.cut(open_buckets(left, label))
         # 4. each node with the next ones of other classes
+        alike = F.expr(agreement("sig_a", "sig_b")) >= F.lit(ALIKE) * F.length("sig_a")
         part = F.when(F.col("n") <= SPREAD, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SPREAD)))
         order = Window.partitionBy("band", "key", "part").orderBy(F.xxhash64("node", "band"), "node")
         near = many.filter("node <> least").withColumn("part", part)
-        near = near.select("node", "label", F.array(*[F.struct(F.lead("node", k).over(order).alias("node"), F.lead("label", k).over(order).alias("label")) for k in range(1, NEXT + 1)]).alias("others"))
-        near = near.select("node", "label", F.explode(F.filter("others", lambda x: x["label"] != F.col("label"))).alias("other"))
-        tried = common.cut(_distinct_pairs(near.select(F.col("node").alias("a"), F.col("other.node").alias("b"))))
+        ahead = [F.struct(*[F.lead(c, k).over(order).alias(c) for c in ("node", "label", "sig")]) for k in range(1, NEXT + 1)]
+        near = near.select("node", "label", "sig", F.array(*ahead).alias("others"))
+        near = near.select("node", F.col("sig").alias("sig_a"), F.explode(F.filter("others", lambda x: x["label"] != F.col("label"))).alias("other")).withColumn("sig_b", F.col("other.sig"))
+        tried = common.cut(_distinct_pairs(near.filter(alike).select(F.col("node").alias("a"), F.col("other.node").alias("b"))))
         found = found.unionAll(links(tried))
         label = components(found)
         # 5. the rest outright
-        rest = common.cut(open_buckets(left, label).join(signed.dropDuplicates(["node"]).select("node", "sig"), "node"))
+        rest = common.cut(open_buckets(left, label))
         if not rest.isEmpty():
             share = rest.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
             big = share.groupBy("band", "key").agg(F.max(F.struct("size", "label")).alias("top")).select("band", "key", F.col("top.label").alias("top"))
@@ -302,7 +304,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             pairs = minor.join(other, ["band", "key"]).filter("label_a <> label_b and (label_b = top or a < b)")
             # Sets share at most what the smaller has in common with anyone.
             pairs = pairs.filter(f"not (plain_a and plain_b) or least(shared_a, shared_b) >= {threshold - 1e-9} * (total_a + total_b - least(shared_a, shared_b))")
-            pairs = _distinct_pairs(pairs.filter(F.expr(agreement("sig_a", "sig_b")) >= F.lit(ALIKE) * F.length("sig_a")))
+            pairs = _distinct_pairs(pairs.filter(alike))
             least_pairs = _distinct_pairs(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
             found = found.unionAll(links(pairs.join(tried, ["a", "b"], "left_anti").join(least_pairs, ["a", "b"], "left_anti")))
             label = components(found)
