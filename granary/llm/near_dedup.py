@@ -42,8 +42,8 @@ from . import common, counts
 from .graph import components
 
 SHINGLE, BANDS, ROWS, REGISTERS, THRESHOLD = 5, 20, 5, 200, 0.8
-#: Share of equal registers under which a pair is not looked at; at J_P 0.8 a pair has it with probability 5e-5.
-ALIKE = 0.69
+#: Share of equal registers under which a pair is not looked at; at J_P 0.8 a pair has less with probability 2e-4.
+ALIKE = 0.7
 NEXT, SPREAD = 3, 500
 _SLICE = 2 << 20
 
