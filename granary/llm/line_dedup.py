@@ -39,11 +39,9 @@ def _shape(line: Column) -> Column:
 def line_counts(pages: DataFrame, host: Column, text: Column) -> DataFrame:
     """``host``, ``line`` (hash), ``n_pages``, ``n_host``: pages with the line, and pages of the host."""
     hashed = F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: _shape(x) != ""), lambda x: F.xxhash64(_shape(x))))
-    # Each page adds one row for itself (a null line), so host totals come from the same counting.
-    seen = pages.select(host.alias("host"), F.explode(F.concat(hashed, F.array(F.lit(None).cast("long")))).alias("line"))
-    counts = seen.groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages"))
-    totals = counts.filter("line is null").select(F.col("host").alias("of"), F.col("n_pages").alias("n_host"))
-    return counts.filter("line is not null and n_pages > 1").join(totals, F.col("host").eqNullSafe(F.col("of"))).drop("of")
+    counts = pages.select(host.alias("host"), F.explode(hashed).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).filter("n_pages > 1")
+    totals = pages.groupBy(host.alias("of")).agg(F.count(F.lit(1)).alias("n_host"))
+    return counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).drop("of")
 
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
@@ -80,8 +78,8 @@ def host_of(url: Column) -> Column:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    """All ``pages`` by the host of their URL."""
-    pages = common.table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text"))
+    """All ``pages`` by the host of their URL; the text is taken out of the HTML once and written."""
+    pages = common.cut(common.table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")))
     out, n = drop_boilerplate(pages, pages["host"])
     return out.select("page_id", "host", F.col(n).alias("n_dropped"), "text")
 
