@@ -14,6 +14,8 @@ from __future__ import annotations
 import numpy as np
 from pyspark.sql import DataFrame
 
+from .common import trim
+
 BITS = 56
 PARTS = "bucket int, chunk int, first long, steps binary, counts binary"
 
@@ -79,6 +81,7 @@ def _answer():
         for r in rows:
             first, steps = np.uint64(r["first"]), unpack(r["steps"])
             keys.append(np.concatenate(([first], first + np.cumsum(steps, dtype=np.uint64))))
+        trim()
         known, total = tally(np.concatenate(keys), np.concatenate([unpack(r["counts"]) for r in rows]))
         return pa.table({
             "chunk": table["chunk"],

@@ -21,6 +21,7 @@ other columns are not read.
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
 import numpy as np
 from pyspark.sql import DataFrame
@@ -36,17 +37,15 @@ _TOTAL = np.uint64(0x5DEECE66D12345)
 SCHEMA = "doc_id long, n_tokens long, log_score double, mean_log_score double, n_backed_off long"
 
 
-def _grams(words: np.ndarray, offsets: np.ndarray, order: int) -> list[np.ndarray]:
+def _grams(words: np.ndarray, offsets: np.ndarray, order: int) -> Iterator[np.ndarray]:
     """Hash of the n-gram that ends at each word, for each order; where a row has too few words before it, 0."""
-    place = np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))
-    out = []
+    place = (np.arange(len(words)) - np.repeat(offsets[:-1], np.diff(offsets))).astype(np.int32)
     for n in range(1, order + 1):
         g = np.zeros(len(words), dtype=np.uint64)
-        rolled = np.maximum(counts.key(common.roll(words, n)), np.uint64(1))
-        g[n - 1 :] = rolled if len(words) >= n else g[n - 1 :]
+        if len(words) >= n:
+            g[n - 1 :] = np.maximum(counts.key(common.roll(words, n)), np.uint64(1))
         g[place < n - 1] = 0
-        out.append(g)
-    return out
+        yield g
 
 
 def _words_of(texts) -> tuple[np.ndarray, np.ndarray]:
@@ -63,14 +62,22 @@ def _words_of(texts) -> tuple[np.ndarray, np.ndarray]:
 def _chunk_table(texts, order: int) -> tuple[np.ndarray, np.ndarray]:
     """The n-grams of a chunk and their counts in it, with the number of tokens under ``_TOTAL``."""
     words, offsets = _words_of(texts)
-    k, c = counts.tally(np.concatenate([g[g != 0] for g in _grams(words, offsets, order)]))
+    return _table_of(words, offsets, order)
+
+
+def _table_of(words: np.ndarray, offsets: np.ndarray, order: int) -> tuple[np.ndarray, np.ndarray]:
+    """One order after another, so that only distinct keys of the others are held."""
+    each = [counts.tally(g[g != 0]) for g in _grams(words, offsets, order)]
+    k, c = counts.tally(np.concatenate([k for k, _ in each]), np.concatenate([c for _, c in each]))
     at = int(np.searchsorted(k, _TOTAL))
     return np.insert(k, at, _TOTAL), np.insert(c, at, np.uint64(len(words)))
 
 
 def _request(order: int, buckets: int):
     def run(table):
-        return counts.parts(*_chunk_table(table["text"], order), table["chunk"][0].as_py(), buckets)
+        out = counts.parts(*_chunk_table(table["text"], order), table["chunk"][0].as_py(), buckets)
+        common.trim()
+        return out
 
     return run
 
@@ -95,24 +102,27 @@ def _score(order: int, alpha: float, min_count: int):
         if not docs.num_rows:
             return pa.table({k: pa.array([], t) for k, t in kinds.items()})
         words, offsets = _words_of(docs["text"])
-        grams = _grams(words, offsets, order)
-        keys = counts.tally(np.concatenate([*[g[g != 0] for g in grams], [_TOTAL]]).astype(np.uint64))[0]
+        keys = _table_of(words, offsets, order)[0]
         totals = counts.join(answers)
         tokens = int(totals[np.searchsorted(keys, _TOTAL)])
-        seen = [_corpus_counts(g, keys, totals) for g in grams]
-        score = np.log(np.maximum(seen[0], 1) / max(tokens, 1))
+        score = before = None
         backed = np.zeros(len(words), bool)
-        for k in range(1, order):
-            history = np.concatenate(([0.0], seen[k - 1][:-1]))
-            known = seen[k] >= min_count
-            possible = seen[k] > 0
-            longer = np.log(np.maximum(seen[k], 1) / np.maximum(history, 1))
-            score = np.where(known, longer, np.where(possible, score + math.log(alpha), score))
-            backed = np.where(known, False, backed | possible)
+        for g in _grams(words, offsets, order):
+            seen = _corpus_counts(g, keys, totals)
+            if score is None:
+                score = np.log(np.maximum(seen, 1) / max(tokens, 1))
+            else:
+                history = np.concatenate(([0.0], before[:-1]))
+                known, possible = seen >= min_count, seen > 0
+                score = np.where(known, np.log(np.maximum(seen, 1) / np.maximum(history, 1)), np.where(possible, score + math.log(alpha), score))
+                backed = np.where(known, False, backed | possible)
+            before = seen
+        del keys, totals, before, seen, words
         n = np.diff(offsets)
         add = lambda v: np.where(n > 0, np.add.reduceat(np.append(v, 0.0), np.minimum(offsets[:-1], len(v))), 0.0)
         total = add(score)
         made = [docs["doc_id"].combine_chunks(), pa.array(n), pa.array(total), pa.array(total / np.maximum(n, 1), mask=n == 0), pa.array(add(backed.astype(float)).astype(np.int64))]
+        common.trim()
         return pa.table({k: v.cast(t) for (k, t), v in zip(kinds.items(), made, strict=True)})
 
     return run
