@@ -8,8 +8,8 @@ for texts that repeat no shingle it is the Jaccard index.
 Signature (Ertl, 2020): the occurrences of a shingle arrive as a Poisson process whose rate is its weight;
 each arrival falls into one of the registers, which keep the earliest arrival and its shingle;
 a process ends early, once its next arrival is later than every register's. Registers of two texts agree
-with probability J_P. Each band of ``ROWS`` registers is a bucket key; ``REGISTERS`` there are in all, a byte of each
-is kept for estimates.
+with probability J_P. Each band of ``ROWS`` registers is a bucket key. Texts that are hard to tell apart get a second,
+finer signature for estimates: ``FINE`` registers, a bit of each (Li and Koenig, 2010).
 
 Whole classes without all pairs of a bucket:
 
@@ -20,9 +20,10 @@ Whole classes without all pairs of a bucket:
    most the part of x's weight that y shares, so a node whose own shingles nobody else has to over a fifth of its
    weight has no link there and leaves.
 4. Nodes of one bucket that are in different classes still are paired with the next few of them; here and in the next
-   step pairs whose signatures agree in under ``ALIKE`` of the registers are dropped before any text moves.
+   step pairs whose finer signatures put them under ``ALIKE`` are dropped before any text moves.
 5. What is in one bucket but not in one class after that is compared outright: the members of all but the bucket's
-   largest class with all members of other classes, those pairs first dropped whose bound is too low.
+   largest class with all members of other classes, each pair in the first band that it shares, and those pairs first
+   dropped whose bound is too low.
 
 So two texts that share a bucket are compared unless they already are in one class: no link between
 classes is lost behind a cap. At J_P 0.8 two texts share no bucket with probability under 4e-4.
@@ -41,9 +42,9 @@ from pyspark.sql import functions as F
 from . import common, counts
 from .graph import components
 
-SHINGLE, BANDS, ROWS, REGISTERS, THRESHOLD = 5, 20, 5, 200, 0.8
-#: Share of equal registers under which a pair is not looked at; at J_P 0.8 a pair has less with probability 2e-4.
-ALIKE = 0.7
+SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
+#: Registers of the finer signature, and the estimate under which a pair is not looked at; at J_P 0.8 a pair has less with probability 1e-4.
+FINE, ALIKE = 2048, 0.75
 NEXT, SPREAD = 3, 500
 _SLICE = 2 << 20
 
@@ -77,7 +78,7 @@ def _weigh(hashes: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarr
 def signatures(words: np.ndarray, offsets: np.ndarray, registers: int, size: int = SHINGLE) -> np.ndarray:
     """ProbMinHash registers, one row a text: the hash of the shingle that came first; 0 for a wordless text."""
     doc, shingle, weight = _weigh(*_shingles(words, offsets, size))
-    assert registers <= 1024, "a slot is dealt from 11 bits"
+    assert registers <= 1024 or registers == 2048, "a slot is dealt from 11 bits"
     texts = len(offsets) - 1
     first = np.full(texts * registers, np.inf)
     who = np.zeros(texts * registers, np.uint64)
@@ -100,22 +101,42 @@ def signatures(words: np.ndarray, offsets: np.ndarray, registers: int, size: int
     return who.reshape(texts, registers)
 
 
-def _sign(bands: int, rows: int, registers: int, size: int):
+def _sign(bands: int, rows: int, size: int):
     import pyarrow as pa
 
     def run(batches):
         for batch in batches:
             for part in _slices(batch):
                 words, offsets = common.hash_words(*common.text_bytes(part.column(1)))
-                sig = signatures(words, offsets, registers, size)
+                sig = signatures(words, offsets, bands * rows, size)
                 keys = np.zeros((len(sig), bands), np.uint64)
                 for b in range(bands):
                     for r in range(rows):
                         keys[:, b] = common.mix(keys[:, b] * np.uint64(3) + sig[:, b * rows + r])
                 full = np.diff(offsets) > 0
                 lists = pa.ListArray.from_arrays(np.concatenate(([0], np.cumsum(np.where(full, bands, 0)))).astype(np.int32), keys[full].reshape(-1).view(np.int64))
-                short = (sig & np.uint64(0xFF)).astype(np.uint8)
-                yield pa.RecordBatch.from_arrays([part.column(0), lists, pa.array([s.tobytes() for s in short], pa.binary())], ["node", "bands", "sig"])
+                yield pa.RecordBatch.from_arrays([part.column(0), lists], ["node", "bands"])
+                common.trim()
+
+    return run
+
+
+def fine_bits(words: np.ndarray, offsets: np.ndarray, size: int = SHINGLE) -> np.ndarray:
+    """The finer signatures, one row a text: a bit of each of ``FINE`` registers, 64 to a number."""
+    return np.packbits((common.mix(signatures(words, offsets, FINE, size)) & np.uint64(1)).astype(np.uint8), axis=1).view(np.int64)
+
+
+def _refine(size: int):
+    import pyarrow as pa
+
+    def run(batches):
+        for batch in batches:
+            for part in _slices(batch):
+                for lo in range(0, part.num_rows, 250):
+                    some = part.slice(lo, 250)
+                    bits = fine_bits(*common.hash_words(*common.text_bytes(some.column(1))), size)
+                    at = np.arange(0, bits.size + 1, bits.shape[1], dtype=np.int32)
+                    yield pa.RecordBatch.from_arrays([some.column(0), pa.ListArray.from_arrays(at, bits.reshape(-1))], ["node", "sig"])
                 common.trim()
 
     return run
@@ -250,7 +271,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     members = texts.select("doc_id", "node")
     # min_by keeps one text a node: equal texts, equal signatures. Long texts never go through this aggregate.
     heads = common.cut(members.groupBy("node").agg(F.min("doc_id").alias("head")))
-    signed = texts.select("node", F.lower("text").alias("text")).mapInArrow(_sign(bands, rows, max(REGISTERS, bands * rows), size), "node long, bands array<long>, sig binary")
+    signed = texts.select("node", F.lower("text").alias("text")).mapInArrow(_sign(bands, rows, size), "node long, bands array<long>")
     signed = common.cut(signed)
     buckets = signed.select("node", F.posexplode("bands").alias("band", "key")).distinct()
     least = buckets.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
@@ -261,9 +282,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     def text_of(nodes: DataFrame) -> DataFrame:
         return nodes.distinct().join(by_node, "node").join(whole, ["node", "doc_id"]).select("node", F.lower("text").alias("text")).dropDuplicates(["node"])
 
+    # The texts of all candidates move once; every later step reads this table.
+    candidates = common.cut(text_of(met.select("node")))
+
+    def some(nodes: DataFrame) -> DataFrame:
+        return candidates.join(nodes.distinct(), "node")
+
     def links(pairs: DataFrame) -> DataFrame:
         pairs = common.cut(pairs)
-        have = common.cut(text_of(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node")))))
+        have = some(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))))
         left, right = have.select(F.col("node").alias("a"), F.col("text").alias("text_a")), have.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
         return common.cut(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(size, threshold), "a long, b long"))
 
@@ -278,11 +305,15 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     # 3. what shingles no other candidate has bound a text's similarity to all of them
     left = common.cut(open_buckets(met, label))
     if not left.isEmpty():
-        bound = shared_weights(text_of(left.select("node")), size).filter(F.col("shared") >= (threshold - 1e-9) * F.col("total"))
-        left = common.cut(left.drop("label").join(bound, "node").join(signed.dropDuplicates(["node"]).select("node", "sig"), "node"))
-        many = common.cut(open_buckets(left, label))
+        bound = shared_weights(common.cut(some(left.select("node"))), size).filter(F.col("shared") >= (threshold - 1e-9) * F.col("total"))
+        left = common.cut(open_buckets(left.drop("label").join(bound, "node"), label))
+        nodes = left.select("node").distinct()
+        fine = some(nodes).mapInArrow(_refine(size), "node long, sig array<long>")
+        fine = common.cut(fine.join(signed.dropDuplicates(["node"]), "node"))
+        left = left.drop("label")
+        many = open_buckets(left, label).join(fine, "node")
         # 4. each node with the next ones of other classes
-        alike = F.expr(agreement("sig_a", "sig_b")) >= F.lit(ALIKE) * F.length("sig_a")
+        alike = F.expr(f"{differing('sig_a', 'sig_b')} <= {round((1 - ALIKE) / 2 * FINE)}")
         part = F.when(F.col("n") <= SPREAD, 0).otherwise(F.pmod(F.xxhash64("node"), F.ceil(F.col("n") / SPREAD)))
         order = Window.partitionBy("band", "key", "part").orderBy(F.xxhash64("node", "band"), "node")
         near = many.filter("node <> least").withColumn("part", part)
@@ -293,18 +324,19 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         found = found.unionAll(links(tried))
         label = components(found)
         # 5. the rest outright
-        rest = common.cut(open_buckets(left, label))
+        rest = common.cut(open_buckets(left, label).join(fine, "node"))
         if not rest.isEmpty():
             share = rest.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
             big = share.groupBy("band", "key").agg(F.max(F.struct("size", "label")).alias("top")).select("band", "key", F.col("top.label").alias("top"))
             marked = rest.join(big, ["band", "key"])
-            side = lambda k: [F.col(c).alias(c + "_" + k) for c in ("label", "sig", "total", "shared", "plain")]
+            side = lambda k: [F.col(c).alias(c + "_" + k) for c in ("label", "sig", "bands", "total", "shared", "plain")]
             minor = marked.filter("label <> top").select("band", "key", F.col("node").alias("a"), *side("a"))
             other = marked.select("band", "key", F.col("node").alias("b"), *side("b"), "top")
             pairs = minor.join(other, ["band", "key"]).filter("label_a <> label_b and (label_b = top or a < b)")
             # Sets share at most what the smaller has in common with anyone.
             pairs = pairs.filter(f"not (plain_a and plain_b) or least(shared_a, shared_b) >= {threshold - 1e-9} * (total_a + total_b - least(shared_a, shared_b))")
-            pairs = _distinct_pairs(pairs.filter(alike))
+            first = F.expr("array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = band + 1")
+            pairs = _distinct_pairs(pairs.filter(F.when(first, alike).otherwise(False)))
             least_pairs = _distinct_pairs(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
             found = found.unionAll(links(pairs.join(tried, ["a", "b"], "left_anti").join(least_pairs, ["a", "b"], "left_anti")))
             label = components(found)
@@ -315,9 +347,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     return members.join(of, "node").select("doc_id", "class_id", "node")
 
 
-def agreement(a: str, b: str) -> str:
-    """SQL of how many registers of two signatures (a byte each) are equal."""
-    return f"size(filter(sequence(1, length({a})), i -> substring({a}, i, 1) = substring({b}, i, 1)))"
+def differing(a: str, b: str) -> str:
+    """SQL of how many bits of two finer signatures differ."""
+    return f"aggregate(zip_with({a}, {b}, (x, y) -> bit_count(x ^ y)), 0, (n, x) -> n + x)"
 
 
 def query(spark, sf_dir: str) -> DataFrame:
