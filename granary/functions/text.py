@@ -76,8 +76,9 @@ def terms(c: Column) -> Column:
 
 def distinctions(c: Column) -> Column:
     """Parts of a "distinguish a, b and c" clause that are longer than two characters."""
-    body = F.regexp_replace(F.regexp_replace(c, r"(?i)^\s*distinguish(?:\s+between)?\s*", ""), r"[ .]+$", "")
-    return F.size(F.filter(F.split(body, r";|,|\band\b|\bи\b"), lambda x: F.length(strip(x)) > 2))
+    body = F.regexp_replace(F.regexp_replace(c, r"(?i)^\s*distinguish(?:\s+between)?\s*", ""), r"(?iU)^\s*различ\w*\s*", "")
+    body = F.regexp_replace(body, r"[ .]+$", "")
+    return F.size(F.filter(F.split(body, r"(?U);|,|\band\b|\bи\b"), lambda x: F.length(strip(x)) > 2))
 
 
 def judge_score(reply: Column, dimension: str) -> Column:
@@ -86,12 +87,6 @@ def judge_score(reply: Column, dimension: str) -> Column:
     return F.when(F.size(found) > 0, F.regexp_extract(F.element_at(found, -1), r"\b([012])\b", 1).cast("int"))
 
 
-def rubric_blocks(cell: Column) -> Column:
-    """(header, body) of each ``**header** - 2:`` block, in order."""
-    parts = F.split(cell, r"\*\*(?=[^*]{3,60}\*\*\s*-\s*2\s*:)")
-    return F.transform(F.slice(parts, F.lit(2), F.greatest(F.size(parts) - 1, F.lit(0))), lambda x: F.struct(F.substring_index(x, "**", 1).alias("header"), F.expr("1").cast("int").alias("n"), F.regexp_replace(x, r"(?s)^[^*]*\*\*", "").alias("body")))
-
-
 def url_key(url: Column) -> Column:
     """A URL without fragment; a scheme where it starts with two slashes."""
     return F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^//", "https://")

@@ -4,8 +4,9 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import edits as E
 from ..functions import text as T
-from ..operators import dedup, lines, runs, scoring
+from ..operators import dedup, lines, runs, scoring, validation
 from ..sources import sinks
 from ..sources.tables import table
 
@@ -441,3 +442,112 @@ def caption_change_headers(spark, d):
 @query(f"SELECT event_id, {_TOKENS} AS k, try_cast(json_extract_string(props, '$.none') AS BIGINT) AS none FROM events")
 def json_unwrap_usage(spark, d):
     return table(spark, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k"), F.expr("try_cast(get_json_object(props, '$.none') as bigint)").alias("none"))
+
+
+# --- sentences, rubrics and edits ------------------------------------------------------------------
+
+
+@query("SELECT doc_id, regexp_replace(text, '[^.\\s][^.]*(?:licen)[^.]*\\.\\s*', '') AS text FROM documents")
+def strip_sentence(spark, d):
+    """The first sentence that holds a token is removed."""
+    return table(spark, d, "documents").select("doc_id", E.drop_sentence(F.col("text"), r"[^.\s][^.]*(?:licen)[^.]*\.\s*").alias("text"))
+
+
+@query("SELECT * FROM (VALUES (1, 'Find x. Distinguish a from b. Return: list'), (2, 'Find. Distinguish a and b.'), (3, 'none')) AS t(id, prompt)")
+def neutralise_prompt(spark, d):
+    rows = spark.sql("SELECT * FROM (VALUES (1, 'Find x. Boundary trap: distinguish a from b. Return: list'), (2, 'Find. Distinguish a and b.'), (3, 'none')) AS t(id, prompt)")
+    return rows.select("id", E.neutral_en(F.col("prompt")).alias("prompt"))
+
+
+@query("SELECT item_id, true AS same, 5 AS blocks FROM benchmark")
+def rubric_parse_roundtrip(spark, d):
+    """Cells made of benchmark texts (without their asterisks) come back character for character."""
+    body = F.replace(F.col("text"), F.lit("*"), F.lit(""))
+    cell = F.concat(*[F.concat(F.lit(f"**Part {k}**\n- 2: "), body, F.lit("\n- 1: b\n- 0: c\n\n")) for k in range(5)])
+    rows = table(spark, d, "benchmark").select("item_id", cell.alias("cell"))
+    none = F.create_map().cast("map<string,string>")
+    return rows.select("item_id", (E.compose(F.col("cell"), none) == F.col("cell")).alias("same"), F.size(E.rubric(F.col("cell"))["blocks"]).alias("blocks"))
+
+
+@query("SELECT parts, count(*) AS n FROM (" + ORACLE_SQL["count_distinctions"] + ") GROUP BY parts")
+def distinction_frequency(spark, d):
+    return count_distinctions(spark, d).groupBy("parts").agg(F.count(F.lit(1)).alias("n"))
+
+
+_NEXT = """WITH a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS t FROM benchmark), p AS (SELECT x.item_id, x.t, y.t AS u FROM a x JOIN a y ON y.item_id = x.item_id + 1), c AS (SELECT item_id, t, u, len(list_filter(t, lambda x: NOT list_contains(u, x)))::INT AS dropped, len(list_filter(u, lambda x: NOT list_contains(t, x)))::INT AS added FROM p)"""
+
+
+def _next_terms(spark, d):
+    a = table(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("t"))
+    both = a.join(a.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u")), "item_id")
+    return both.withColumns({"dropped": F.size(F.array_except("t", "u")), "added": F.size(F.array_except("u", "t"))})
+
+
+@query(f"{_NEXT} SELECT item_id, dropped, dropped > greatest(3, len(t) // 3) AS flagged FROM c")
+def term_sets_diff(spark, d):
+    return _next_terms(spark, d).select("item_id", "dropped", (F.col("dropped") > F.greatest(F.lit(3), F.floor(F.size("t") / 3))).alias("flagged"))
+
+
+@query(f"{_NEXT} SELECT item_id, added = 0 AND len(u) > 0 AS subset FROM c")
+def subset_rule(spark, d):
+    return _next_terms(spark, d).select("item_id", ((F.col("added") == 0) & (F.size("u") > 0)).alias("subset"))
+
+
+@query(f"WITH n AS (SELECT doc_id, {_NUMBERS} AS numbers FROM documents) SELECT a.doc_id, list_sort(list_intersect(a.numbers, b.numbers)) AS shared FROM n a JOIN n b ON b.doc_id = a.doc_id + 1")
+def numeric_tokens_overlap(spark, d):
+    a = table(spark, d, "documents").select("doc_id", T.numbers(F.col("text")).alias("numbers"))
+    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("numbers").alias("other"))
+    return a.join(b, "doc_id").select("doc_id", F.array_sort(F.array_intersect("numbers", "other")).alias("shared"))
+
+
+@query("SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'absent' WHEN item_id % 3 = 0 THEN 'mismatched' ELSE 'matched' END AS state FROM benchmark")
+def prompt_reconcile(spark, d):
+    """Stored prompts against rebuilt ones, by normalized key."""
+    now = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Core-"), "item_id").alias("key"), "text")
+    then = now.filter("item_id % 5 <> 0").select(F.replace(F.replace(F.col("key"), F.lit("Core-"), F.lit("Core-batch")), F.lit("batch"), F.lit("")).alias("key"), F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("stored"))
+    state = F.when(F.col("stored").isNull(), "absent").when(F.col("stored") == F.col("text"), "matched").otherwise("mismatched")
+    return now.join(then, "key", "left").select("item_id", state.alias("state"))
+
+
+@query("SELECT id, severity FROM (VALUES (1, 'ok'), (2, 'reject'), (3, 'flag')) AS t(id, severity)")
+def validate_edit(spark, d):
+    sentence = "Distinguish stocks from flows, gross from net and nominal figures."
+    rows = spark.sql(f"""SELECT id, new_trap_sentence, 'nominal figures' AS new_trap_dimension, 'rule' AS internal_source_boundary_rule, 'Exclude answers that mix.' AS boundary_notes, array('one', other) AS optional_distractors,
+    map('coverage', '- 2: a - 1: b - 0: c') AS rubric_updates, false AS needs_human_review, 'distinguish stocks from flows' AS existing_trap_body, 1 AS existing_distinctions, array('gold 1') AS gold_values, map('coverage', 'x') AS rubric_blocks
+    FROM (VALUES (1, '{sentence}', 'two'), (2, '{sentence}', 'the gold 1'), (3, 'Distinguish stocks from flows.', 'two')) AS t(id, new_trap_sentence, other)""")
+    return validation.check_edits(rows).select("id", "severity")
+
+
+@query("SELECT doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '([A-Za-z0-9_])-\\n([A-Za-z0-9_])', '\\1\\2', 'g') AS text FROM documents")
+def hyphen_repair(spark, d):
+    return table(spark, d, "documents").select("doc_id", T.join_hyphens(F.col("text")).alias("text"))
+
+
+@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS pos FROM lineitem")
+def ordered_positions(spark, d):
+    from pyspark.sql import Window
+
+    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber")
+    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("pos"))
+
+
+@query("SELECT p_partkey, replace(p_name || '|' || p_type, '|', '\\|') AS cell FROM part")
+def cell_escape(spark, d):
+    return table(spark, d, "part").select("p_partkey", F.replace(F.concat("p_name", F.lit("|"), "p_type"), F.lit("|"), F.lit("\\|")).alias("cell"))
+
+
+@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, array_to_string(ls[1:20], chr(10)) AS text, greatest(len(ls) - 20, 0)::INT AS overflow FROM l")
+def line_caps_overflow(spark, d):
+    ls = T.lines(F.col("text"))
+    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(ls, 1, 20), "\n").alias("text"), F.greatest(F.size(ls) - 20, F.lit(0)).alias("overflow"))
+
+
+@query("SELECT event_id FROM events WHERE event_type LIKE 'error%' OR value IS NULL")
+def retry_candidates(spark, d):
+    return table(spark, d, "events").filter(F.col("event_type").startswith("error") | F.col("value").isNull()).select("event_id")
+
+
+@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'null' WHEN length(text) > 3000 THEN 'long' ELSE 'skip' END AS mode FROM documents LEFT JOIN labels USING (doc_id)")
+def rescore_modes(spark, d):
+    rows = table(spark, d, "documents").select("doc_id", F.length("text").alias("n")).join(table(spark, d, "labels"), "doc_id", "left")
+    return rows.select("doc_id", F.when(F.col("quality").isNull(), "null").when(F.col("n") > 3000, "long").otherwise("skip").alias("mode"))
