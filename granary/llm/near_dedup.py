@@ -30,7 +30,8 @@ classes is lost behind a cap. At J_P 0.8 two texts share no bucket with probabil
 
 Result: a row per row of the table with ``class_id``, the least ``doc_id`` of the class. Defined cases:
 null and wordless texts are singletons (also beside each other) - except that equal ones are equal texts:
-they share a class; repeated rows share a class; an empty table gives an empty result.
+they share a class; repeated rows share a class; an empty table gives an empty result. A class without any id has a null
+``class_id``, and two classes whose least ids are one reused id have one ``class_id``; ``class_node`` tells them apart.
 """
 
 from __future__ import annotations
@@ -266,7 +267,7 @@ def _distinct_pairs(pairs: DataFrame) -> DataFrame:
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
-    """``doc_id``, ``class_id``, ``node`` (64-bit key of the text), ``n_equal`` (rows of the class's least id with the same text)."""
+    """``doc_id``, ``class_id``, ``node`` (64-bit key of the text), ``class_node`` (the class's least node: it names the class whatever its ids are)."""
     texts = common.ids_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64(F.col("text").isNull(), "text").alias("node"), "text")
     members = texts.select("doc_id", "node")
     # min_by keeps one text a node: equal texts, equal signatures. Long texts never go through this aggregate.
@@ -276,11 +277,12 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     buckets = signed.select("node", F.posexplode("bands").alias("band", "key")).distinct()
     least = buckets.groupBy("band", "key").agg(F.min("node").alias("least"), F.count(F.lit(1)).alias("n")).filter("n > 1")
     met = common.cut(buckets.join(least, ["band", "key"]).select("band", "key", "node", "least", "n"))
-    by_node = heads.withColumnRenamed("head", "doc_id")
+    by_node = heads
     whole = texts.select("node", "doc_id", "text")
 
     def text_of(nodes: DataFrame) -> DataFrame:
-        return nodes.distinct().join(by_node, "node").join(whole, ["node", "doc_id"]).select("node", F.lower("text").alias("text")).dropDuplicates(["node"])
+        asked = nodes.distinct().join(by_node, "node").select(F.col("node").alias("asked"), "head")
+        return asked.join(whole, (F.col("asked") == F.col("node")) & F.col("head").eqNullSafe(F.col("doc_id"))).select("node", F.lower("text").alias("text")).dropDuplicates(["node"])
 
     # The texts of all candidates move once; every later step reads this table.
     candidates = common.cut(text_of(met.select("node")))
@@ -342,9 +344,9 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
             label = components(found)
     named = label.join(heads, "node")
     least_id = named.groupBy("label").agg(F.min("head").alias("class_id"))
-    of = named.join(least_id, "label").select("node", "class_id")
-    of = heads.join(of, "node", "left").select("node", F.coalesce("class_id", "head").alias("class_id"))
-    return members.join(of, "node").select("doc_id", "class_id", "node")
+    of = named.join(least_id, "label").select("node", "label", "class_id")
+    of = heads.join(of, "node", "left").select("node", F.coalesce("class_id", "head").alias("class_id"), F.coalesce("label", "node").alias("class_node"))
+    return members.join(of, "node").select("doc_id", "class_id", "node", "class_node")
 
 
 def differing(a: str, b: str) -> str:
@@ -357,11 +359,11 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """``docs`` with one row of each class: that of the least id."""
+    """``docs`` with one row of each class: that of the least id (null ids last), of those the least node; classes are told apart by node."""
     taken = {c.lower() for c in docs.columns}
     names = ["".join((x, "_" * next(k for k in range(99) if x + "_" * k not in taken))) for x in ("kept_id", "kept_node")]
     of = classes(docs, id_col, text_col)
-    kept = of.filter("doc_id = class_id or (doc_id is null and class_id is null)").groupBy("doc_id", "class_id").agg(F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
+    kept = of.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_node").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
     kept = common.cut(kept.select(F.col("doc_id").alias(names[0]), F.col("node").alias(names[1]), "n"))
     node = F.xxhash64(docs[text_col].isNull(), docs[text_col])
     same = docs[id_col].eqNullSafe(F.col(names[0])) & (node == F.col(names[1]))
@@ -369,4 +371,4 @@ def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     twice = kept.filter("n > 1").drop("n")
     if twice.isEmpty():
         return once
-    return once.unionAll(docs.join(twice, same, "left_semi").dropDuplicates([id_col]))
+    return once.unionAll(docs.join(twice, same, "left_semi").withColumn(names[1], node).dropDuplicates([names[1]]).drop(names[1]))

@@ -246,3 +246,17 @@ def test_pipeline(spark):
         assert docs.columns == columns and 0 < docs.count() <= left, name
         left = docs.count()
     assert corpus_pipeline.run(spark, SF).select("doc_id").distinct().count() == left
+
+
+def test_near_dedup_with_null_and_reused_ids(spark):
+    rng = random.Random(8)
+    said = [[f"{rng.random()}" for _ in range(80)] for _ in range(5)]
+    near = lambda w: " ".join([*w[:-1], "other"])
+    text = [" ".join(w) for w in said]
+    rows = [(None, text[0]), (None, text[1]), (7, text[2]), (7, text[3]), (None, near(said[1])), (8, near(said[3])), (None, text[4]), (None, text[4]), (7, text[3])]
+    docs = spark.createDataFrame([(i, t, k) for k, (i, t) in enumerate(rows)], "doc_id long, text string, place long")
+    got = near_dedup.classes(docs).collect()
+    name = {r.node: r.class_node for r in got}
+    assert len(got) == len(rows) and len(name) == 7 and len(set(name.values())) == 5
+    kept = sorted(r.place for r in near_dedup.keep_one(docs).collect())
+    assert len(kept) == 5 and kept[0] == 0 and {2, 6} & set(kept) and len({1, 4} & set(kept)) == 1 and len({3, 8} & set(kept)) == 1 and len({6, 7} & set(kept)) == 1
