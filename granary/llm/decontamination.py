@@ -10,7 +10,7 @@ the text, the rest is verified by an alignment inside the band, so no occurrence
 
 How: the items are the query set. They are read in blocks of at most ``block_chars`` characters; each
 block's q-gram index (its size is so bounded) goes to the tasks and every text passes it once, whole, in
-one scan without a shuffle; with several blocks their findings are summed per document key.
+one scan without a shuffle; with several blocks rows get a key first and the blocks' findings are summed by it.
 
 Result: a row per row of the table: ``doc_id``, ``contaminated``, ``n_items``, ``item_ids`` (ascending).
 Defined cases: null and empty texts are clean; items whose normal form is shorter than ``q`` say too
@@ -20,6 +20,8 @@ gives all clean or an empty result; repeated rows give a row each.
 
 from __future__ import annotations
 
+import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -32,7 +34,8 @@ from . import common
 Q, EDITS, BLOCK_CHARS = 10, 0.08, 8_000_000
 _BITS = 20
 _C = 0x9E3779B97F4A7C15
-_SCHEMA = "doc_id long, item_ids array<long>"
+_ITEMS = "item_ids array<long>"
+_SCHEMA = f"doc_id long, {_ITEMS}"
 
 
 def normal(text: str) -> str:
@@ -178,22 +181,23 @@ def _pass(index: Index):
 
     def run(batches):
         for batch in batches:
-            found = index.search_all([t or "" for t in batch.column(1).to_pylist()])
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(found, pa.list_(pa.int64()))], ["doc_id", "item_ids"])
+            found = index.search_all([t or "" for t in batch.column("text").to_pylist()])
+            kept = [i for i, name in enumerate(batch.schema.names) if name != "text"]
+            yield pa.RecordBatch.from_arrays([*[batch.column(i) for i in kept], pa.array(found, pa.list_(pa.int64()))], [*[batch.schema.names[i] for i in kept], "item_ids"])
 
     return run
 
 
 def scan(docs: DataFrame, benchmark: DataFrame, id_col: str = "doc_id", text_col: str = "text", item_id: str = "item_id", item_text: str = "text", q: int = Q, edits: float = EDITS, block_chars: int = BLOCK_CHARS) -> DataFrame:
     texts = common.ids_and_text(docs, id_col, text_col).select("doc_id", F.lower("text").alias("text"))
-    found = None
-    for items in _blocks(benchmark, item_id, item_text, block_chars):
-        part = texts.mapInArrow(_pass(Index(items, q, edits)), _SCHEMA)
-        found = part if found is None else found.unionAll(part)
-        more = found is not part
-    if more:  # each block found its own items; rows that share an id share what any of them holds
-        merged = found.groupBy("doc_id").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("item_ids")))).alias("item_ids"))
-        found = texts.select("doc_id").join(merged, "doc_id")
+    blocks = _blocks(benchmark, item_id, item_text, block_chars)
+    items, after = next(blocks), next(blocks, None)
+    if after is None:
+        found = texts.mapInArrow(_pass(Index(items, q, edits)), _SCHEMA)
+    else:  # each block finds its own items; a key of the row, written once, brings them together: ids can be null or reused
+        keyed = common.cut(texts.withColumn("row", F.monotonically_increasing_id()))
+        parts = [keyed.mapInArrow(_pass(Index(block, q, edits)), f"doc_id long, row long, {_ITEMS}") for block in itertools.chain((items, after), blocks)]
+        found = functools.reduce(DataFrame.unionAll, parts).groupBy("row").agg(F.max("doc_id").alias("doc_id"), F.array_sort(F.flatten(F.collect_list("item_ids"))).alias("item_ids"))
     return found.select("doc_id", (F.size("item_ids") > 0).alias("contaminated"), F.size("item_ids").cast("long").alias("n_items"), "item_ids")
 
 

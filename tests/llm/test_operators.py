@@ -260,3 +260,12 @@ def test_near_dedup_with_null_and_reused_ids(spark):
     assert len(got) == len(rows) and len(name) == 7 and len(set(name.values())) == 5
     kept = sorted(r.place for r in near_dedup.keep_one(docs).collect())
     assert len(kept) == 5 and kept[0] == 0 and {2, 6} & set(kept) and len({1, 4} & set(kept)) == 1 and len({3, 8} & set(kept)) == 1 and len({6, 7} & set(kept)) == 1
+
+
+def test_decontamination_blocks_do_not_change_rows(spark):
+    items = spark.createDataFrame([(1, "the first benchmark item"), (2, "a second benchmark item"), (2, "and a third one of the second's id")], "item_id long, text string")
+    rows = [(None, "it holds the first benchmark item here"), (None, "clean and free of any"), (5, "A second benchmark item and a third one of the second's id"), (5, "nothing of it is in here"), (6, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one, several = (sorted(map(str, decontamination.scan(docs, items, block_chars=n).collect())) for n in (8_000_000, 10))
+    assert one == several and len(one) == 5
+    assert sorted(r.item_ids for r in decontamination.scan(docs, items, block_chars=10).collect()) == [[], [], [], [1], [2, 2]]
