@@ -103,25 +103,29 @@ def _range_udf(bounds: list[tuple[int, int]]):
 _loaded: dict = {}
 
 
-def encoder(path: str):
+def encoder(path: str, added: bool = False):
     """``text -> uint32 array`` for a byte-level BPE in a tokenizers file.
 
-    The file's vocabulary and merges are run by the byte-pair encoder of tiktoken, which gives the ids of
-    ``Tokenizer.encode(text, add_special_tokens=False)`` with special tokens read as ordinary text, in a quarter of the time.
+    The file's vocabulary and merges are run by the byte-pair encoder of tiktoken, in a quarter of the time. With ``added``
+    it gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` of a tokenizer at its defaults: the file's added
+    tokens are found in the text. Without, they are read as ordinary text (``encode_special_tokens`` set).
     """
-    if path not in _loaded:
+    if (path, added) not in _loaded:
         import tiktoken
 
         spec = json.loads(open(path, encoding="utf-8").read())
-        special = {t["id"] for t in spec.get("added_tokens", [])}
+        special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
+        if added and any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+            raise ValueError(f"{path} has added tokens that are not found literally")
         plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in plain]
         back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
-        ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special}
+        ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special.values()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of byte-level pre-tokenisation: a fixed value
-        made = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens={})
-        _loaded[path] = lambda text: np.asarray(made.encode_to_numpy(text, disallowed_special=()), "<u4") if text else np.zeros(0, "<u4")
-    return _loaded[path]
+        made = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special if added else {})
+        allowed = "all" if added else set()
+        _loaded[path, added] = lambda text: np.asarray(made.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()), "<u4") if text else np.zeros(0, "<u4")
+    return _loaded[path, added]
 
 
 def powers(n: int) -> list[int]:
@@ -179,7 +183,7 @@ def _stream(path: str, length: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     def run(batches):
-        encode = encoder(path)
+        encode = encoder(path, added=True)
         packer = Packer(TaskContext.get().partitionId() << 40, length)
         rows: list[tuple] = []
         for batch in batches:

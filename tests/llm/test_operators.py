@@ -269,3 +269,16 @@ def test_decontamination_blocks_do_not_change_rows(spark):
     one, several = (sorted(map(str, decontamination.scan(docs, items, block_chars=n).collect())) for n in (8_000_000, 10))
     assert one == several and len(one) == 5
     assert sorted(r.item_ids for r in decontamination.scan(docs, items, block_chars=10).collect()) == [[], [], [], [1], [2, 2]]
+
+
+def test_packing_finds_added_tokens(spark):
+    from tokenizers import Tokenizer
+
+    t = Tokenizer.from_file(packing.default_tokenizer())
+    encode = packing.encoder(packing.default_tokenizer(), added=True)
+    texts = ["<|endoftext|> hi", "a <|endoftext|>b<|endoftext|><|endoftext|>", "<|endoftext |> <|endoftext", "日本 <|endoftext|>\n\n x", "plain  text"]
+    for x in texts:
+        assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
+    rows = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), packing.default_tokenizer()).orderBy("start").collect()
+    ids = np.array([*t.encode(texts[0], add_special_tokens=False).ids, 0], "<u4")
+    assert rows[0].doc_tokens == 3 and [r.ids_crc32 for r in rows] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows]
