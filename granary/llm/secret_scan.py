@@ -7,8 +7,10 @@ document's source) and the words beside it. It is trained from labelled findings
 ``labelled_findings``, which makes them from a seed - keys and tokens as they are assigned in code and settings
 against commit ids, checksums, card and phone numbers, identifiers, placeholders and examples.
 
-The transition table and the dictionary are fitted on a bounded sample of texts (``SAMPLE`` rows with the least hash of
-the id; at most ``DICTIONARY`` words). Scanning is one scan of the table, whole texts, no shuffle.
+The transition table and the dictionary come from all rows: occurrences of words (runs of letters alone) are counted per
+task and summed, transitions are summed over the words. The dictionary holds the words of three letters and more that
+occur at least ``OCCURS`` times and at least once in ``ONE_IN`` words, so its size is bounded by that share. Scanning is
+one scan of the table, whole texts, no shuffle.
 
 Result: a row per row of the table: candidates, secrets (score at or over ``CUT``), and the secrets' places (in
 characters from 0), lengths and scores, in order. Defined cases: null and empty texts have none; a null path
@@ -30,9 +32,11 @@ from pyspark.sql import functions as F
 
 from . import common, forest
 
-LEAST, CUT, SAMPLE, DICTIONARY, FINDINGS = 16, 0.5, 400, 5000, 4000
+LEAST, CUT, FINDINGS = 16, 0.5, 4000
+#: Dictionary words: so many occurrences at least, and one in so many of all words.
+OCCURS, ONE_IN = 3, 1_000_000
 _RUN = re.compile(r"[A-Za-z0-9_+/=-]{%d,}" % LEAST)
-_WORD = re.compile(r"[^\W\d_]+")
+_WORD = re.compile(r"\b[^\W\d_]+\b")
 _SYMBOLS = {c: i for i, c in enumerate(string.ascii_lowercase + string.digits)}
 SCHEMA = "doc_id long, n_candidates long, n_secrets long, secrets array<struct<start:long,length:long,score:double>>"
 
@@ -43,6 +47,43 @@ _PLAY = frozenset("test tests example examples sample fixture fixtures mock docs
 _PLACEHOLDERS = ("example", "sample", "dummy", "placeholder", "changeme", "your", "here", "test", "xxxx", "token", "secret", "password", "key", "redacted", "insert", "1234", "abcd", "0000")
 
 
+def _transitions(counted) -> np.ndarray:
+    """Occurrences of each pair of successive symbols in words with counts."""
+    table = np.zeros((37, 37))
+    for w, n in counted:
+        codes = [_SYMBOLS.get(c, 36) for c in w]
+        for a, b in zip(codes, codes[1:], strict=False):
+            table[a, b] += n
+    return table
+
+
+def _count_words(batches):
+    import pyarrow as pa
+
+    def emit(counts: Counter):
+        return pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["word", "n"])
+
+    counts: Counter = Counter()
+    for batch in batches:
+        for t in batch.column(0):
+            counts.update(_WORD.findall((t.as_py() or "").lower()))
+            if len(counts) >= 100_000:
+                yield emit(counts)
+                counts = Counter()
+    if counts:
+        yield emit(counts)
+
+
+def _count_transitions(batches):
+    import pyarrow as pa
+
+    table = np.zeros((37, 37))
+    for batch in batches:
+        table += _transitions(zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), strict=True))
+    at = np.flatnonzero(table)
+    yield pa.RecordBatch.from_arrays([pa.array(at, pa.int32()), pa.array(table.reshape(-1)[at].astype(np.int64))], ["cell", "n"])
+
+
 @dataclass
 class Language:
     """Character transitions and words of running text."""
@@ -51,16 +92,27 @@ class Language:
     words: frozenset
 
     @classmethod
-    def of(cls, texts: list[str | None], most: int = DICTIONARY) -> Language:
+    def of(cls, texts: list[str | None]) -> Language:
+        """Of texts at hand."""
         counts = Counter(w for t in texts for w in _WORD.findall((t or "").lower()))
-        table = np.ones((37, 37))
-        for w, n in counts.items():
-            codes = [_SYMBOLS.get(c, 36) for c in w]
-            for a, b in zip(codes, codes[1:], strict=False):
-                table[a, b] += n
-        words = sorted((w for w in counts if len(w) >= 3), key=lambda w: (-counts[w], w))[:most]
+        return cls.made(_transitions(counts.items()), (w for w in counts if len(w) >= 3))
+
+    @classmethod
+    def made(cls, counts: np.ndarray, words) -> Language:
+        table = counts + 1.0
         return cls(np.log(table / table.sum(axis=1, keepdims=True)), frozenset(words) | frozenset(_PLACEHOLDERS))
 
+    @classmethod
+    def of_table(cls, texts: DataFrame) -> Language:
+        """Of all rows of ``text``: sums over the table; words are counted per task before they move."""
+        words = common.cut(texts.select("text").mapInArrow(_count_words, "word string, n long").groupBy("word").agg(F.sum("n").alias("n")))
+        cells = words.mapInArrow(_count_transitions, "cell int, n long").groupBy("cell").agg(F.sum("n").alias("n")).collect()
+        counts = np.zeros(37 * 37)
+        counts[[r.cell for r in cells]] = [r.n for r in cells]
+        total = words.agg(F.sum("n")).first()[0] or 0
+        often = words.filter((F.length("word") >= 3) & (F.col("n") >= max(OCCURS, total / ONE_IN))).select("word").toLocalIterator()
+        return cls.made(counts.reshape(37, 37), (r.word for r in often))
+
     def likely(self, run: str) -> float:
         codes = [_SYMBOLS.get(c, 36) for c in run.lower()]
         return float(np.mean(self.transitions[codes[:-1], codes[1:]])) if len(codes) > 1 else 0.0
@@ -194,11 +246,8 @@ def train(language: Language, findings: list[Finding]) -> Scanner:
     return Scanner(language, forest.fit(x, np.array([f.secret for f in findings], float)))
 
 
-def fit(docs: DataFrame, findings: list[Finding] | None = None, id_col: str = "doc_id", text_col: str = "text", sample: int = SAMPLE) -> Scanner:
-    d = common.ids_and_text(docs, id_col, text_col)
-    few = d.select("doc_id").filter("doc_id is not null").distinct().orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
-    rows = d.join(F.broadcast(few), "doc_id").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
-    return train(Language.of([r.text for r in rows]), labelled_findings() if findings is None else findings)
+def fit(docs: DataFrame, findings: list[Finding] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
+    return train(Language.of_table(common.ids_and_text(docs, id_col, text_col)), labelled_findings() if findings is None else findings)
 
 
 def _apply(scanner: Scanner):

@@ -282,3 +282,12 @@ def test_packing_finds_added_tokens(spark):
     rows = packing.pack(spark.createDataFrame([(1, texts[0])], "doc_id long, text string"), packing.default_tokenizer()).orderBy("start").collect()
     ids = np.array([*t.encode(texts[0], add_special_tokens=False).ids, 0], "<u4")
     assert rows[0].doc_tokens == 3 and [r.ids_crc32 for r in rows] == [zlib.crc32(ids[r.start : r.start + r.length].tobytes()) for r in rows]
+
+
+def test_secret_statistics_cover_all_rows(spark):
+    rows = [(k, "plain words of the common language are here") for k in range(600)] + [(None, "žluťoučký kůň pěl")] * 2 + [(9999, "žluťoučký qzqz")]
+    got = secret_scan.Language.of_table(spark.createDataFrame(rows, "doc_id long, text string"))
+    assert {"žluťoučký", "language"} <= got.words and "kůň" not in got.words
+    assert np.allclose(got.transitions, secret_scan.Language.of([t for _, t in rows]).transitions)
+    empty = secret_scan.Language.of_table(spark.createDataFrame([], "doc_id long, text string"))
+    assert np.allclose(np.exp(empty.transitions), 1 / 37)
