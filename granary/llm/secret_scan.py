@@ -1,7 +1,8 @@
 """Secret scans: candidates by pattern, false positives removed by a random forest.
 
-A candidate is a run of at least ``LEAST`` characters of ``A-Z a-z 0-9 _ + / = -`` that holds a digit. The forest sees
-its length, its characters (digits, capitals, entropy, switches between letters and digits), how likely its
+A candidate is a run of at least ``LEAST`` characters of ``A-Z a-z 0-9 _ + / = -``, or one of at least ``LEAST_NAMED``
+characters, whatever they are, that an assignment or a word for secrets precedes. The verdict is the forest's, which sees
+its length, its characters (digits, capitals, symbols, entropy, switches between letters and digits), how likely its
 character transitions are in running text, the part of it that dictionary words cover, words of the path (the
 document's source) and the words beside it. It is trained from labelled findings: a table of the caller's, or
 ``labelled_findings``, which makes them from a seed - keys and tokens as they are assigned in code and settings
@@ -32,10 +33,18 @@ from pyspark.sql import functions as F
 
 from . import common, forest
 
-LEAST, CUT, FINDINGS = 16, 0.5, 4000
+LEAST, LEAST_NAMED, CUT, FINDINGS = 16, 4, 0.5, 4000
 #: Dictionary words: so many occurrences at least, and one in so many of all words.
 OCCURS, ONE_IN = 3, 1_000_000
 _RUN = re.compile(r"[A-Za-z0-9_+/=-]{%d,}" % LEAST)
+_NAMES = r"(?:tokens?|keys?|secrets?|passwords?|passwd|passphrase|pwd|pass|auth|credentials?|apikey|access|bearer|private)"
+#: What follows an assignment, or a word for secrets: up to the closing quote, or else to white space, a quote or an angle bracket.
+_NAMED = re.compile(
+    r"(?:(?:=>|:=|[=:])(?!//)[ \t]*|(?<![a-z])%s(?:[\"']?[ \t]*(?:=>|:=|[=:])[ \t]*|>|[ \t]+(?:(?:is|was)[ \t]+)?))"
+    r"(?:\"([^\"\s]{%d,})\"|'([^'\s]{%d,})'|[\"']?([^\s\"'`<>]{%d,}))" % (_NAMES, *[LEAST_NAMED] * 3),
+    re.IGNORECASE,
+)
+_FURTHER = re.compile(r"[?&;,](?=\w+=)")
 _WORD = re.compile(r"\b[^\W\d_]+\b")
 _SYMBOLS = {c: i for i, c in enumerate(string.ascii_lowercase + string.digits)}
 SCHEMA = "doc_id long, n_candidates long, n_secrets long, secrets array<struct<start:long,length:long,score:double>>"
@@ -132,7 +141,18 @@ class Language:
 
 
 def candidates(text: str | None) -> list[tuple[int, str]]:
-    return [(m.start(), m[0]) for m in _RUN.finditer(text or "") if not m[0].isalpha() and any(c.isdigit() for c in m[0])]
+    """Places and runs, in order: what is assigned or named, and long runs between those."""
+    text, out, at, look = text or "", [], 0, 0
+    while m := _NAMED.search(text, look):
+        k = m.lastindex
+        run, look = m[k], m.start(k)
+        if k == 3:  # further assignments of an unquoted run (a query string, say) are looked at in their own right
+            run = "" if "://" in run else _FURTHER.split(run, maxsplit=1)[0].rstrip(".,;:)]}")
+        if len(run) >= LEAST_NAMED:
+            out += [(r.start(), r[0]) for r in _RUN.finditer(text, at, m.start(k))]
+            out.append((m.start(k), run))
+            at = look = m.start(k) + len(run)
+    return out + [(r.start(), r[0]) for r in _RUN.finditer(text, at)]
 
 
 def features(language: Language, text: str, start: int, run: str, path: str | None) -> list[float]:
@@ -149,6 +169,9 @@ def features(language: Language, text: str, start: int, run: str, path: str | No
         digits / n,
         upper / n,
         sum(c in "_+/=-" for c in run) / n,
+        sum(not c.isalnum() and c not in "_+/=-" for c in run) / n,
+        float(any(c.islower() for c in run)) + any(c.isupper() for c in run) + (digits > 0) + any(not c.isalnum() for c in run),
+        float(run.isalpha() and (run.islower() or run.istitle())),
         -sum(k / n * math.log2(k / n) for k in counts.values()),
         max(counts.values()) / n,
         switches / n,
@@ -181,19 +204,24 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[Finding]:
     alnum = string.ascii_letters + string.digits
     syllables = "the tion an er re in on de la le und ge ver que ment ci as os th st".split()
     prose = lambda k: " ".join("".join(rng.choice(syllables) for _ in range(rng.randint(1, 4))) for _ in range(k))
-    def digit(run: str) -> str:
-        return run if any(c.isdigit() for c in run) else run[:-1] + rng.choice(string.digits)
+    symbols = alnum + "!#$%*+-.?@^_~"
+    def long() -> str:
+        return next(w for w in iter(lambda: prose(1), None) if len(w) >= LEAST_NAMED)
+
     true = (
         lambda: (f'token = "{(k := hexa(rng.choice((32, 40, 40, 64))))}"', k),
         lambda: (f'{rng.choice(("api_key", "secret", "auth_token", "access_key", "private_key"))} = "{(k := hexa(rng.choice((32, 40, 48))))}"', k),
-        lambda: (f"{rng.choice(('API_KEY', 'SECRET_KEY', 'TOKEN'))}={(k := digit(pick(alnum, rng.randint(20, 48))))}", k),
-        lambda: (f"aws_access_key_id = {(k := digit('AKIA' + pick(string.ascii_uppercase + string.digits, 16)))}", k),
-        lambda: (f"Authorization: Bearer {(k := digit(pick(alnum + '_-', rng.randint(24, 60))))}", k),
-        lambda: (f'password: "{(k := digit(pick(alnum + "_+", rng.randint(16, 24))))}"', k),
-        lambda: (f"use the key {(k := digit('ghp_' + pick(alnum, 36)))} for it", k),
+        lambda: (f"{rng.choice(('API_KEY', 'SECRET_KEY', 'TOKEN'))}={(k := pick(alnum, rng.randint(20, 48)))}", k),
+        lambda: (f"aws_access_key_id = {(k := 'AKIA' + pick(string.ascii_uppercase + '234567', 16))}", k),
+        lambda: (f"Authorization: Bearer {(k := pick(alnum + '_-', rng.randint(24, 60)))}", k),
+        lambda: (f'password: "{(k := pick(alnum + "_+", rng.randint(16, 24)))}"', k),
+        lambda: (f"{rng.choice(('password', 'DB_PASSWORD', 'passwd', 'pwd'))}{rng.choice((': ', '=', ' = '))}{(q := rng.choice(('', chr(34))))}{(k := pick(symbols, rng.randint(7, 20)) + rng.choice(alnum))}{q}", k),
+        lambda: (f"the password is {(k := pick(symbols, rng.randint(7, 15)) + rng.choice(alnum))}", k),
+        lambda: (f"{rng.choice(('key', 'secret', 'token'))} = {(q := rng.choice(('', chr(34))))}{(k := pick(rng.choice((alnum, string.ascii_letters, string.ascii_uppercase + '234567')), rng.randint(10, 32)))}{q}", k),
+        lambda: (f"use the key {(k := 'ghp_' + pick(alnum, 36))} for it", k),
     )
     def marked(k: str) -> str:
-        return digit(rng.choice(("example", "your", "test", "dummy", "sample")) + rng.choice("_-") + rng.choice(("token", "key", "secret")) + rng.choice("_-") + rng.choice(("here", "1234", "value1", "00")) + k)
+        return (rng.choice(("example", "your", "test", "dummy", "sample")) + rng.choice("_-") + rng.choice(("token", "key", "secret")) + rng.choice("_-") + rng.choice(("here", "1234", "value1", "00")) + k)
     false = (
         lambda: (f"commit {(k := hexa(40))}", k),
         lambda: (f"{rng.choice(('sha256', 'md5', 'checksum', 'digest'))}: {(k := hexa(rng.choice((32, 40, 64))))}", k),
@@ -205,6 +233,13 @@ def labelled_findings(n: int = FINDINGS, seed: int = 11) -> list[Finding]:
         lambda: (f"see {(k := prose(1).replace(' ', '') + '-' + prose(1).replace(' ', '') + '-' + prose(1) + '-release-' + str(rng.randint(1, 99)))}", k),
         lambda: (f"file {(k := '/usr/share/' + prose(1) + '/' + prose(1) + '-2.' + str(rng.randint(0, 9)))}", k),
         lambda: (f"{(k := prose(1) + str(rng.randint(1000, 9999)) + prose(1) + prose(1))}", k),
+        lambda: ((k := rng.choice("=-_") * rng.randint(16, 60)), k),
+        lambda: (f"{rng.choice(('note', 'name', 'title', 'type', 'mode', 'by', 'see'))}{rng.choice((': ', ' = ', '='))}{(k := long())}", k),
+        lambda: (f"{rng.choice(('key', 'the token', 'access', 'pass', 'private', 'secret', 'password'))} {(k := long())}", k),
+        lambda: (f"{rng.choice(('password', 'token', 'secret', 'api_key'))}{rng.choice((': ', '=', ' = '))}{(k := rng.choice(('changeme', 'required', 'hidden', 'None', 'null', 'true', 'your_password', 'xxxxxxxx', '********', 'password', 'example', 'config.' + long(), 'get_' + long() + '()')))}", k),
+        lambda: (f"{rng.choice(('width', 'size', 'port', 'date', 'price', 'version', 'time', 'id', 'at'))}{rng.choice((': ', '=', ' = '))}{(k := rng.choice((str(rng.randint(1000, 10**9)), f'{rng.randint(1900, 2030)}-{rng.randint(10, 12)}-{rng.randint(10, 28)}', f'{rng.randint(1, 99)}.{rng.randint(10, 99)}.{rng.randint(0, 9)}', f'{rng.randint(10, 23)}:{rng.randint(10, 59)}')))}", k),
+        lambda: ((k := "".join(long() for _ in range(rng.randint(3, 5)))), k),
+        lambda: ((k := "_".join(long() for _ in range(rng.randint(3, 5)))), k),
         lambda: ((k := "=" * rng.randint(16, 30) + "1" + "=" * 8), k),
     )
     out = []

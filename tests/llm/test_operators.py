@@ -291,3 +291,18 @@ def test_secret_statistics_cover_all_rows(spark):
     assert np.allclose(got.transitions, secret_scan.Language.of([t for _, t in rows]).transitions)
     empty = secret_scan.Language.of_table(spark.createDataFrame([], "doc_id long, text string"))
     assert np.allclose(np.exp(empty.transitions), 1 / 37)
+
+
+def test_secrets_short_or_without_digit():
+    language = secret_scan.Language.of(["the nation and the reason of it, note that names are here"] * 3)
+    found = secret_scan.labelled_findings(4000)
+    assert any(f.secret and len(f.run) < 16 for f in found) and any(f.secret and not any(c.isdigit() for c in f.run) for f in found)
+    scanner = secret_scan.train(language, found)
+    texts = ['password = "k9$Tz!wQ4x"', "pwd: Xq7#mLp2vR", "API_KEY=QwRtZpLkJhGfDsXcVbNm", 'token = "hQzXvKpWbTnRfJdLgMcY"', "the password is vB3!kq%Z", "https://u.example.org/a?sig=1&api_key=Zk3vQ9xT7bLm2RwP8sYd"]
+    for text, (_, secrets) in zip(texts, scanner.scan(texts, ["src1"] * len(texts)), strict=True):
+        assert len(secrets) == 1 and text[secrets[0]["start"] :][: secrets[0]["length"]].rstrip(chr(34)) == text.replace(chr(34), "").replace("=", " ").split()[-1], text
+    prose = ["Note: the reason of the nation", "the key of the nation is here", "at 12:30, see http://example.org/the/nation"]
+    assert all(not s for _, s in scanner.scan(prose, ["src1"] * len(prose)))
+    other = secret_scan.labelled_findings(2000, seed=98)
+    got = scanner.score([(f.text, f.start, f.run, f.path) for f in other]) >= secret_scan.CUT
+    assert np.mean(got == [f.secret for f in other]) > 0.95
