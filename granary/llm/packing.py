@@ -3,18 +3,23 @@
 A text's words are hashed into ``BUCKETS`` counts (feature hashing); a fixed Gaussian matrix projects the counts to
 ``DIMS`` numbers, each divided by the root of the number of words and turned into a cell of ``2 ** BITS`` by the
 normal distribution function. The cell's place on a Hilbert curve (Skilling, 2004) is the text's key: texts with like
-words get near keys. The table is range-sorted by key (ties by hash of the id, so that many copies spread over
-ranges too; a sample by hash of the ids sets where ranges end) and each range is packed as one stream in curve order: ids of a text, then id 0, then the next text; a sequence
-ends at ``LENGTH`` ids. The last ids of a range, fewer than ``LENGTH``, become sequences of falling powers of two, so no
-sequence needs padding. Every text is tokenised once, whole, in the task that packs its range.
-
-Defined cases: a null text counts as empty and is one id (0); repeated rows are packed each; an empty table gives an
-empty result; ties in the key fall to the hash of the id, then the id, then the text.
+words get near keys.
+
+The table is read once and written with its keys; everything after that is read from there. A row's place is its key,
+then a hash of its id and row number, so that copies of one text, and rows that repeat altogether, spread over ranges too.
+Ranges hold about ``RANGE_BYTES`` of text, or the ``MOST_RANGES``-th part of a table that would have more ranges; where they
+end is set by a sample of places and sizes that grows with them (``SAMPLE`` rows a range, so the driver holds at most
+``SAMPLE`` * ``MOST_RANGES`` pairs of numbers). Each range is sorted by place and packed as one stream in curve order: ids of
+a text, then id 0, then the next text; a sequence ends at ``LENGTH`` ids. The last ids of a range, fewer than ``LENGTH``,
+become sequences of falling powers of two, so no sequence needs padding. Every text is tokenised once, whole, in the task
+that packs its range, which holds one batch and one open sequence.
+
+Defined cases: a null text counts as empty and is one id (0); null ids are packed like others; repeated rows are packed
+each; an empty table gives an empty result; ties in the key fall to the hash of id and row number.
 """
 
 from __future__ import annotations
 
-import bisect
 import json
 import zlib
 
@@ -26,8 +31,10 @@ from pyspark.sql import functions as F
 from . import common
 
 LENGTH, DIMS, BITS, BUCKETS = 1024, 3, 10, 256
-#: Text a range holds, about; rows sampled for the ranges' ends, about.
-RANGE_BYTES, SAMPLE = 24 << 20, 2000
+#: Text a range holds, about; the most ranges; rows sampled for the ranges' ends, a range.
+RANGE_BYTES, MOST_RANGES, SAMPLE = 24 << 20, 1 << 16, 64
+#: Bits of a place below the Hilbert key.
+_TIE = 63 - DIMS * BITS
 SCHEMA = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long, hilbert_key long"
 _PLANES = np.random.default_rng(1891).standard_normal((BUCKETS, DIMS))
 
@@ -89,43 +96,48 @@ def _key_udf():
     return key
 
 
-def _range_udf(bounds: list[tuple[int, int]]):
-    """The number of bounds at or before (key, tie)."""
+def range_ends(places: np.ndarray, sizes: np.ndarray, ranges: int) -> np.ndarray:
+    """The first place of each range but the first, so that ranges hold about equal parts of the sampled sizes."""
+    order = np.argsort(places, kind="stable")
+    places, before = places[order], np.cumsum(sizes[order]) - sizes[order]
+    at = np.searchsorted(before, np.arange(1, ranges) * (sizes.sum() / ranges))
+    return places[at[at < len(places)]]
+
+
+def _range_udf(ends: np.ndarray):
+    """The number of range ends at or before a place."""
 
     @F.arrow_udf("int")
-    def place(keys: pa.Array, ties: pa.Array) -> pa.Array:
-        pairs = zip(keys.to_pylist(), ties.to_pylist(), strict=True)
-        return pa.array([bisect.bisect_right(bounds, p) for p in pairs], pa.int32())
+    def of(places: pa.Array) -> pa.Array:
+        return pa.array(np.searchsorted(ends, places.to_numpy(zero_copy_only=False), side="right"), pa.int32())
 
-    return place
+    return of
 
 
 _loaded: dict = {}
 
 
-def encoder(path: str, added: bool = False):
-    """``text -> uint32 array`` for a byte-level BPE in a tokenizers file.
+def encoder(path: str):
+    """``text -> uint32 array``: the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` for a byte-level BPE in a tokenizers file.
 
-    The file's vocabulary and merges are run by the byte-pair encoder of tiktoken, in a quarter of the time. With ``added``
-    it gives the ids of ``Tokenizer.encode(text, add_special_tokens=False)`` of a tokenizer at its defaults: the file's added
-    tokens are found in the text. Without, they are read as ordinary text (``encode_special_tokens`` set).
+    The file's vocabulary and merges are run by the byte-pair encoder of tiktoken, in a quarter of the time; the file's added
+    tokens are found in the text, as by a tokenizer at its defaults.
     """
-    if (path, added) not in _loaded:
+    if path not in _loaded:
         import tiktoken
 
         spec = json.loads(open(path, encoding="utf-8").read())
         special = {t["content"]: t["id"] for t in spec.get("added_tokens", [])}
-        if added and any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
+        if any(t.get(k) for t in spec.get("added_tokens", []) for k in ("single_word", "lstrip", "rstrip", "normalized")):
             raise ValueError(f"{path} has added tokens that are not found literally")
         plain = [*range(ord("!"), ord("~") + 1), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
         other = [b for b in range(256) if b not in plain]
         back = {chr(b): b for b in plain} | {chr(256 + i): b for i, b in enumerate(other)}
         ranks = {bytes(back[c] for c in token): i for token, i in spec["model"]["vocab"].items() if i not in special.values()}
         pattern = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"  # of byte-level pre-tokenisation: a fixed value
-        made = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special if added else {})
-        allowed = "all" if added else set()
-        _loaded[path, added] = lambda text: np.asarray(made.encode_to_numpy(text, allowed_special=allowed, disallowed_special=()), "<u4") if text else np.zeros(0, "<u4")
-    return _loaded[path, added]
+        made = tiktoken.Encoding("byte level", pat_str=pattern, mergeable_ranks=ranks, special_tokens=special)
+        _loaded[path] = lambda text: np.asarray(made.encode_to_numpy(text, allowed_special="all", disallowed_special=()), "<u4") if text else np.zeros(0, "<u4")
+    return _loaded[path]
 
 
 def powers(n: int) -> list[int]:
@@ -183,7 +195,7 @@ def _stream(path: str, length: int):
         return pa.RecordBatch.from_arrays([pa.array(c, pa.int64()) for c in zip(*rows, strict=True)], schema=schema)
 
     def run(batches):
-        encode = encoder(path, added=True)
+        encode = encoder(path)
         packer = Packer(TaskContext.get().partitionId() << 40, length)
         rows: list[tuple] = []
         for batch in batches:
@@ -199,23 +211,21 @@ def _stream(path: str, length: int):
     return run
 
 
-def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, range_bytes: int = RANGE_BYTES) -> DataFrame:
+def pack(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, range_bytes: int = RANGE_BYTES, most_ranges: int = MOST_RANGES) -> DataFrame:
     """A row per piece: ``SCHEMA``."""
-    d = common.ids_and_text(docs, id_col, text_col).withColumn("tie", F.xxhash64("doc_id"))
-    rows, size = common.total_bytes(d)
-    ranges = max(1, -(-size // range_bytes))
-    key = _key_udf()
-    bounds = []
-    if ranges > 1:  # where ranges end, from a sample of the ids' hashes
-        some = d.filter(F.pmod(F.xxhash64("tie"), F.lit(max(1, rows // SAMPLE))) == 0).select(key("text").alias("key"), "tie", F.coalesce(F.octet_length("text"), F.lit(0)).alias("size")).orderBy("key", "tie").collect()
-        whole, at = sum(r["size"] + 1 for r in some), 0
-        for r in some:
-            at += r["size"] + 1
-            if at * ranges > whole * (len(bounds) + 1) and len(bounds) < ranges - 1:
-                bounds.append((r.key, r.tie))
-    keyed = d.withColumn("hilbert_key", key("text"))
-    dealt = keyed.withColumn("range", _range_udf(bounds)("hilbert_key", "tie")).repartitionById(ranges, F.col("range")).sortWithinPartitions("hilbert_key", "tie", "doc_id", "text")
-    return dealt.select("doc_id", "text", "hilbert_key").mapInArrow(_stream(path, length), SCHEMA)
+    d = common.ids_and_text(docs, id_col, text_col)
+    tie = F.shiftrightunsigned(F.xxhash64("doc_id", F.monotonically_increasing_id()), 64 - _TIE)
+    d = d.select("doc_id", "text", _key_udf()("text").alias("hilbert_key"), tie.alias("tie"), (F.coalesce(F.octet_length("text"), F.lit(0)) + 1).cast("long").alias("size"))
+    keyed = common.cut(d.select("doc_id", "text", F.shiftleft("hilbert_key", _TIE).bitwiseOR(F.col("tie")).alias("place"), "size"))
+    rows, size = keyed.agg(F.count(F.lit(1)), F.coalesce(F.sum("size"), F.lit(0))).first()
+    ranges = max(1, min(most_ranges, -(-size // range_bytes)))
+    ends = np.zeros(0, np.int64)
+    if ranges > 1:
+        part = F.pmod(F.xxhash64("place"), F.lit(1 << 30)) < max(1, (SAMPLE * ranges << 30) // rows)
+        some = keyed.filter(part).select("place", "size").toArrow()
+        ends = range_ends(some["place"].to_numpy(), some["size"].to_numpy(), ranges)
+    dealt = keyed.withColumn("range", _range_udf(ends)("place")).repartitionById(ranges, F.col("range")).sortWithinPartitions("place")
+    return dealt.select("doc_id", "text", F.shiftright("place", _TIE).alias("hilbert_key")).mapInArrow(_stream(path, length), SCHEMA)
 
 
 def default_tokenizer() -> str:

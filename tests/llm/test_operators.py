@@ -138,7 +138,6 @@ def test_packing_is_a_partition_of_the_ids(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    t.encode_special_tokens = True
     encode = packing.encoder(packing.default_tokenizer())
     for x in ["日本語 テスト　x", "é́ naïve  \n\n  \t x", "<|endoftext|> hi", "😀👍🏽 ok", "a\x00b", "١٢٣ Ⅷ ½", "'S it's we're", "  x  y"]:
         assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
@@ -158,6 +157,20 @@ def test_packing_is_a_partition_of_the_ids(spark):
             assert all(n <= 1024 and n & (n - 1) == 0 for n in at.values())
 
 
+def test_packing_ranges_are_even_and_split_copies(spark):
+    rng = np.random.default_rng(4)
+    places, sizes = np.sort(rng.integers(0, 1 << 60, 20_000)), rng.integers(1, 5000, 20_000)
+    part = np.searchsorted(packing.range_ends(places, sizes, 50), places, side="right")
+    held = np.bincount(part, sizes, 50)
+    assert len(held) == 50 and held.max() < 1.1 * held.min()
+    # a third of all rows repeat altogether: they do not stay in one range
+    same = spark.range(0, 400, 1, 4).selectExpr("7L as doc_id", "repeat('same words ', 60) as text").unionAll(spark.range(800).selectExpr("id", "concat_ws(' ', id, id * 7, uuid())"))
+    rows = packing.pack(same, packing.default_tokenizer(), range_bytes=30_000).collect()
+    ranges = Counter(r.sequence_id >> 40 for r in rows if r.doc_id == 7 and r.doc_tokens > 60)
+    assert sum(r.start == 0 for r in rows) == 1200 and len(ranges) > 3
+    assert len({r.sequence_id >> 40 for r in packing.pack(same, packing.default_tokenizer(), range_bytes=100, most_ranges=6).collect()}) <= 6
+
+
 def test_hilbert_steps_are_neighbours():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert(cells, 3)
@@ -275,7 +288,7 @@ def test_packing_finds_added_tokens(spark):
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(packing.default_tokenizer())
-    encode = packing.encoder(packing.default_tokenizer(), added=True)
+    encode = packing.encoder(packing.default_tokenizer())
     texts = ["<|endoftext|> hi", "a <|endoftext|>b<|endoftext|><|endoftext|>", "<|endoftext |> <|endoftext", "日本 <|endoftext|>\n\n x", "plain  text"]
     for x in texts:
         assert list(encode(x)) == t.encode(x, add_special_tokens=False).ids
