@@ -24,10 +24,13 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder all executors share: ``spark.checkpoint.dir``, or a temporary one where that is unset (tests on one machine)."""
+    """The folder all executors share: ``spark.checkpoint.dir``. Where it is unset, a temporary one on a local master (tests) and an error on a cluster."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="granary-checkpoints-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if not folder and not sc.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        sc.setCheckpointDir(folder or tempfile.mkdtemp(prefix="granary-checkpoints-"))
     return sc.getCheckpointDir()
 
 
@@ -46,6 +49,14 @@ def cut(df: DataFrame) -> DataFrame:
 BATCH_ROWS = 1000
 
 
+def free_name(wanted: str, columns: list[str]) -> str:
+    """``wanted``, with underscores added until no column has that name in any case."""
+    taken = {c.lower() for c in columns}
+    while wanted.lower() in taken:
+        wanted += "_"
+    return wanted
+
+
 def small_batches(spark: SparkSession) -> None:
     """Fewer rows in an Arrow batch than by default, unless the caller chose a number: it bounds memory on both sides."""
     key = "spark.sql.execution.arrow.maxRecordsPerBatch"
