@@ -13,7 +13,8 @@ finer signature for estimates: ``FINE`` registers, a bit of each (Li and Koenig,
 
 Whole classes without all pairs of a bucket:
 
-1. Equal texts are one node (a partial aggregate), so copies never meet each other.
+1. Equal texts are one node (a partial aggregate), so copies never meet each other. A node is a 64-bit hash; a second hash of
+   each text shows nodes that two texts share (n * n / 2 ** 65 of them for n texts), and those texts get nodes of their own.
 2. In each bucket every node is paired with the bucket's least node (the least comes from a partial
    aggregate). Pairs are verified by the exact J_P of the whole texts; links make classes.
 3. Nodes in buckets that still hold several classes count their shingles among each other (``counts``). J_P(x, y) is at
@@ -22,8 +23,10 @@ Whole classes without all pairs of a bucket:
 4. Nodes of one bucket that are in different classes still are paired with the next few of them; here and in the next
    step pairs whose finer signatures put them under ``ALIKE`` are dropped before any text moves.
 5. What is in one bucket but not in one class after that is compared outright: the members of all but the bucket's
-   largest class with all members of other classes, each pair in the first band that it shares, and those pairs first
-   dropped whose bound is too low.
+   largest class with all members of other classes, each pair in the first band that it shares, without those whose bound
+   is too low. A bucket is cut into blocks of about ``BLOCK`` nodes and each two blocks are one piece of work, so a hot bucket is
+   spread over tasks; pairs are formed inside the task, a block at a time, and only those leave it whose finer signatures
+   pass.
 
 So two texts that share a bucket are compared unless they already are in one class: no link between
 classes is lost behind a cap. At J_P 0.8 two texts share no bucket with probability under 4e-4.
@@ -37,7 +40,7 @@ they share a class; repeated rows share a class; an empty table gives an empty r
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common, counts
@@ -47,7 +50,10 @@ SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
 #: Registers of the finer signature, and the estimate under which a pair is not looked at; at J_P 0.8 a pair has less with probability 1e-4.
 FINE, ALIKE = 2048, 0.75
 NEXT, SPREAD = 3, 500
-_SLICE = 2 << 20
+#: Nodes of a block in step 5, and rows a task of that step holds, about.
+BLOCK, TASK_ROWS = 500, 20_000
+#: Text handled at once, and bytes of weighed texts kept for the next pairs.
+_SLICE, _KEPT = 2 << 20, 64 << 20
 
 
 # --- weighted shingles and signatures -------------------------------------------------------------
@@ -147,7 +153,10 @@ def _slices(batch, column: int = 1):
     """A batch in parts of bounded text, so that memory does not follow the longest batch."""
     import pyarrow.compute as pc
 
-    size = pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+    yield from _cut_by(batch, pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+
+
+def _cut_by(batch, size: np.ndarray):
     at, total = 0, 0
     for i, s in enumerate(size):
         total += int(s)
@@ -177,33 +186,34 @@ def probability_jaccard(h1: np.ndarray, w1: np.ndarray, h2: np.ndarray, w2: np.n
 
 def _verify(size: int, threshold: float):
     import pyarrow as pa
+    import pyarrow.compute as pc
+
+    def weighed(texts: list[str]) -> list[tuple[np.ndarray, np.ndarray]]:
+        words, offsets = common.hash_words(*common.text_bytes(pa.array(texts, pa.string())))
+        doc, h, w = _weigh(*_shingles(words, offsets, size))
+        at = np.searchsorted(doc, np.arange(len(texts) + 1))
+        return [(h[i:j].copy(), w[i:j].copy()) for i, j in zip(at[:-1], at[1:], strict=True)]
 
     def run(batches):
         kept: dict = {}
+        held = 0
         for batch in batches:
-            a, b = batch.column("a").to_pylist(), batch.column("b").to_pylist()
-            ok = np.zeros(len(a), bool)
-            text = {}
-            for k, c in (("a", a), ("b", b)):
-                column = batch.column("text_" + k)
-                for i, key in enumerate(c):
-                    if key not in kept and key not in text:
-                        text[key] = column[i].as_py()
-            if len(kept) > 3000:
-                kept = {k: kept[k] for k in {*a, *b} if k in kept}
-            keys = list(text)
-            for lo in range(0, len(keys), 200):
-                part = keys[lo : lo + 200]
-                words, offsets = common.hash_words(*common.text_bytes(pa.array([text[k] for k in part])))
-                doc, h, w = _weigh(*_shingles(words, offsets, size))
-                at = np.searchsorted(doc, np.arange(len(part) + 1))
-                for n, k in enumerate(part):
-                    kept[k] = h[at[n] : at[n + 1]].copy(), w[at[n] : at[n + 1]].copy()
-            for i, (x, y) in enumerate(zip(a, b, strict=True)):
-                (h1, w1), (h2, w2) = kept[x], kept[y]
-                if min(len(h1), len(h2)) >= 0.5 * threshold * max(len(h1), len(h2)) or w1.max() > 1 or w2.max() > 1:
-                    ok[i] = probability_jaccard(h1, w1, h2, w2) >= threshold - 1e-12
-            yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[ok]), pa.array(np.array(b, np.int64)[ok])], ["a", "b"])
+            length = sum(pc.fill_null(pc.binary_length(batch.column(c)), 0).to_numpy(zero_copy_only=False).astype(np.int64) for c in ("text_a", "text_b"))
+            for part in _cut_by(batch, length):
+                a, b = part.column("a").to_pylist(), part.column("b").to_pylist()
+                new = {key: (c, i) for c, keys in (("text_a", a), ("text_b", b)) for i, key in enumerate(keys) if key not in kept}
+                for key, got in zip(new, weighed([part.column(c)[i].as_py() for c, i in new.values()]), strict=True):
+                    kept[key] = got
+                    held += 16 * len(got[0])
+                ok = np.zeros(len(a), bool)
+                for i, (x, y) in enumerate(zip(a, b, strict=True)):
+                    (h1, w1), (h2, w2) = kept[x], kept[y]
+                    if min(len(h1), len(h2)) >= 0.5 * threshold * max(len(h1), len(h2)) or w1.max() > 1 or w2.max() > 1:
+                        ok[i] = probability_jaccard(h1, w1, h2, w2) >= threshold - 1e-12
+                if held > _KEPT:
+                    kept, held = {}, 0
+                yield pa.RecordBatch.from_arrays([pa.array(np.array(a, np.int64)[ok]), pa.array(np.array(b, np.int64)[ok])], ["a", "b"])
+        common.trim()
 
     return run
 
@@ -259,19 +269,118 @@ def shared_weights(texts: DataFrame, size: int) -> DataFrame:
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_bound(size), "node long, total double, shared double, plain boolean")
 
 
+# --- hot buckets ------------------------------------------------------------------------------------
+
+
+def _compare(threshold: float):
+    """Pairs of a task's pieces that pass: two classes, first band shared, bound and finer signatures (see step 5)."""
+    import pyarrow as pa
+
+    most = round((1 - ALIKE) / 2 * FINE)
+
+    def matrix(column) -> np.ndarray:
+        flat = column.combine_chunks().flatten().to_numpy()
+        return flat.reshape(len(column), -1)
+
+    def piece(left, right, minor, node, label, top, band, sig, bands, total, shared, plain):
+        """Rows of ``left`` that are outside the bucket's largest class against rows of ``right``."""
+        for i in left[minor[left]]:
+            j = right[(label[right] != label[i]) & ((label[right] == top[i]) | (node[i] < node[right]))]
+            if band[i]:
+                j = j[~(bands[j, : band[i]] == bands[i, : band[i]]).any(axis=1)]
+            least = np.minimum(shared[i], shared[j])
+            j = j[~(plain[i] & plain[j]) | (least >= (threshold - 1e-9) * (total[i] + total[j] - least))]
+            j = j[np.bitwise_count(sig[j] ^ sig[i]).sum(axis=1, dtype=np.int64) <= most]
+            yield np.full(len(j), node[i]), node[j]
+
+    def run(table: pa.Table) -> pa.Table:
+        column = lambda c: table[c].to_numpy()
+        node, label, top, band, side = map(column, ("node", "label", "top", "band", "side"))
+        sig, bands = matrix(table["sig"]), matrix(table["bands"])
+        total, shared, plain = map(column, ("total", "shared", "plain"))
+        minor = label != top
+        order = np.lexsort((column("hi"), column("lo"), column("key"), band))
+        ids = np.stack([band, column("key"), column("lo"), column("hi")], axis=1)[order]
+        edges = np.flatnonzero(np.concatenate(([True], (ids[1:] != ids[:-1]).any(axis=1), [True])))
+        out = []
+        for lo, hi in zip(edges[:-1], edges[1:], strict=True):
+            rows = order[lo:hi]
+            rest = (minor, node, label, top, band, sig, bands, total, shared, plain)
+            if ids[lo][2] == ids[lo][3]:
+                out += piece(rows, rows, *rest)
+            else:
+                first, second = rows[side[rows] == 0], rows[side[rows] == 1]
+                out += piece(first, second, *rest)
+                out += piece(second, first, *rest)
+        a, b = (np.concatenate([np.zeros(0, np.int64), *[x[k] for x in out]]) for k in (0, 1))
+        return pa.table({"a": pa.array(a), "b": pa.array(b)})
+
+    return run
+
+
+def block_pairs(marked: DataFrame, threshold: float, block: int = BLOCK, task_rows: int = TASK_ROWS) -> DataFrame:
+    """``a``, ``b`` of the pairs of step 5. ``marked``: a row for each band, key and node of the open buckets, with ``top`` and the bucket's ``size``."""
+    blocks = F.greatest(F.ceil(F.col("size") / block), F.lit(1)).cast("int")
+    mine = F.pmod(F.xxhash64("node", F.lit(5)), F.col("blocks")).cast("int")
+    dealt = marked.withColumn("blocks", blocks).withColumn("mine", mine).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    dealt = dealt.select("*", F.least("mine", "other").alias("lo"), F.greatest("mine", "other").alias("hi"), (F.col("mine") > F.col("other")).cast("int").alias("side"))
+    n = marked.agg(F.coalesce(F.sum(blocks), F.lit(0))).first()[0]
+    tasks = max(1, -(-int(n) // task_rows))
+    dealt = dealt.withColumn("task", F.pmod(F.xxhash64("band", "key", "lo", "hi"), F.lit(tasks)).cast("int"))
+    columns = ["task", "band", "key", "lo", "hi", "side", "node", "label", "top", "sig", "bands", "total", "shared", "plain"]
+    return dealt.select(*columns).groupBy("task").applyInArrow(_compare(threshold), "a long, b long")
+
+
 # --- classes ---------------------------------------------------------------------------------------
 
 
+def _node(text: Column, shared: list[tuple[int, int]] = ()) -> Column:
+    """64-bit key of a text. ``shared``: (key, second hash) of texts that would have another text's key."""
+    plain = F.xxhash64(text.isNull(), text)
+    out = plain
+    for node, second in shared:
+        other = (node * int(common._M3) + second) & (2**64 - 1)
+        out = F.when((plain == node) & (_second(text) == second), F.lit(other - (other >> 63 << 64))).otherwise(out)
+    return out
+
+
+def _second(text: Column) -> Column:
+    return F.xxhash64(F.lit(2), text)
+
+
+def _shared_nodes(heads: DataFrame, keyed: DataFrame) -> list[tuple[int, int]]:
+    """(key, second hash) of all texts but one of each key that several texts have: n * n / 2 ** 65 for n texts."""
+    twice = heads.filter("lo <> hi").select("node", "lo")
+    if twice.isEmpty():
+        return []
+    return [(r.node, r.second) for r in keyed.join(twice, "node").filter("second <> lo").select("node", "second").distinct().collect()]
+
+
 def _distinct_pairs(pairs: DataFrame) -> DataFrame:
     return pairs.filter("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = SHINGLE, bands: int = BANDS, rows: int = ROWS, threshold: float = THRESHOLD) -> DataFrame:
     """``doc_id``, ``class_id``, ``node`` (64-bit key of the text), ``class_node`` (the class's least node: it names the class whatever its ids are)."""
-    texts = common.ids_and_text(docs, id_col, text_col).select("doc_id", F.xxhash64(F.col("text").isNull(), "text").alias("node"), "text")
+    return _classes(docs, id_col, text_col, size, bands, rows, threshold)[0]
+
+
+def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int, rows: int, threshold: float) -> tuple[DataFrame, list[tuple[int, int]]]:
+    """``classes``, and the ``shared`` of ``_node``."""
+    plain = common.ids_and_text(docs, id_col, text_col)
+    hashed = plain.select("doc_id", _node(F.col("text")).alias("node"), F.coalesce(_second(F.col("text")), F.lit(0)).alias("second"))
+
+    def heads_of(members: DataFrame) -> DataFrame:
+        return common.cut(members.groupBy("node").agg(F.min("doc_id").alias("head"), F.min("second").alias("lo"), F.max("second").alias("hi")))
+
+    # Equal texts, equal signatures: one head a node. Texts never go through this aggregate.
+    heads = heads_of(hashed)
+    shared = _shared_nodes(heads, hashed)
+    texts = plain.select("doc_id", _node(F.col("text"), shared).alias("node"), "text")
     members = texts.select("doc_id", "node")
-    # min_by keeps one text a node: equal texts, equal signatures. Long texts never go through this aggregate.
-    heads = common.cut(members.groupBy("node").agg(F.min("doc_id").alias("head")))
+    if shared:
+        heads = heads_of(members.withColumn("second", F.lit(0)))
+    heads = heads.select("node", "head")
     signed = texts.select("node", F.lower("text").alias("text")).mapInArrow(_sign(bands, rows, size), "node long, bands array<long>")
     signed = common.cut(signed)
     buckets = signed.select("node", F.posexplode("bands").alias("band", "key")).distinct()
@@ -328,17 +437,10 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
         # 5. the rest outright
         rest = common.cut(open_buckets(left, label).join(fine, "node"))
         if not rest.isEmpty():
-            share = rest.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("size"))
-            big = share.groupBy("band", "key").agg(F.max(F.struct("size", "label")).alias("top")).select("band", "key", F.col("top.label").alias("top"))
-            marked = rest.join(big, ["band", "key"])
-            side = lambda k: [F.col(c).alias(c + "_" + k) for c in ("label", "sig", "bands", "total", "shared", "plain")]
-            minor = marked.filter("label <> top").select("band", "key", F.col("node").alias("a"), *side("a"))
-            other = marked.select("band", "key", F.col("node").alias("b"), *side("b"), "top")
-            pairs = minor.join(other, ["band", "key"]).filter("label_a <> label_b and (label_b = top or a < b)")
-            # Sets share at most what the smaller has in common with anyone.
-            pairs = pairs.filter(f"not (plain_a and plain_b) or least(shared_a, shared_b) >= {threshold - 1e-9} * (total_a + total_b - least(shared_a, shared_b))")
-            first = F.expr("array_position(zip_with(bands_a, bands_b, (x, y) -> x = y), true) = band + 1")
-            pairs = _distinct_pairs(pairs.filter(F.when(first, alike).otherwise(False)))
+            share = rest.groupBy("band", "key", "label").agg(F.count(F.lit(1)).alias("n_label"))
+            big = share.groupBy("band", "key").agg(F.max(F.struct("n_label", "label")).alias("top"), F.sum("n_label").alias("size"))
+            marked = rest.join(big.select("band", "key", F.col("top.label").alias("top"), "size"), ["band", "key"])
+            pairs = _distinct_pairs(block_pairs(marked, threshold))
             least_pairs = _distinct_pairs(met.select(F.col("node").alias("a"), F.col("least").alias("b")))
             found = found.unionAll(links(pairs.join(tried, ["a", "b"], "left_anti").join(least_pairs, ["a", "b"], "left_anti")))
             label = components(found)
@@ -346,7 +448,7 @@ def classes(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", siz
     least_id = named.groupBy("label").agg(F.min("head").alias("class_id"))
     of = named.join(least_id, "label").select("node", "label", "class_id")
     of = heads.join(of, "node", "left").select("node", F.coalesce("class_id", "head").alias("class_id"), F.coalesce("label", "node").alias("class_node"))
-    return members.join(of, "node").select("doc_id", "class_id", "node", "class_node")
+    return members.join(of, "node").select("doc_id", "class_id", "node", "class_node"), shared
 
 
 def differing(a: str, b: str) -> str:
@@ -360,15 +462,14 @@ def query(spark, sf_dir: str) -> DataFrame:
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """``docs`` with one row of each class: that of the least id (null ids last), of those the least node; classes are told apart by node."""
-    taken = {c.lower() for c in docs.columns}
-    names = ["".join((x, "_" * next(k for k in range(99) if x + "_" * k not in taken))) for x in ("kept_id", "kept_node")]
-    of = classes(docs, id_col, text_col)
+    id_, node_ = (common.free_name(x, docs.columns) for x in ("kept_id", "kept_node"))
+    of, shared = _classes(docs, id_col, text_col, SHINGLE, BANDS, ROWS, THRESHOLD)
     kept = of.filter(F.col("doc_id").eqNullSafe(F.col("class_id"))).groupBy("class_node").agg(F.min("doc_id").alias("doc_id"), F.min("node").alias("node"), F.count(F.lit(1)).alias("n"))
-    kept = common.cut(kept.select(F.col("doc_id").alias(names[0]), F.col("node").alias(names[1]), "n"))
-    node = F.xxhash64(docs[text_col].isNull(), docs[text_col])
-    same = docs[id_col].eqNullSafe(F.col(names[0])) & (node == F.col(names[1]))
+    kept = common.cut(kept.select(F.col("doc_id").alias(id_), F.col("node").alias(node_), "n"))
+    node = _node(docs[text_col], shared)
+    same = docs[id_col].eqNullSafe(F.col(id_)) & (node == F.col(node_))
     once = docs.join(kept.filter("n = 1").drop("n"), same, "left_semi")
     twice = kept.filter("n > 1").drop("n")
     if twice.isEmpty():
         return once
-    return once.unionAll(docs.join(twice, same, "left_semi").withColumn(names[1], node).dropDuplicates([names[1]]).drop(names[1]))
+    return once.unionAll(docs.join(twice, same, "left_semi").withColumn(node_, node).dropDuplicates([node_]).drop(node_))

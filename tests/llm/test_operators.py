@@ -87,6 +87,38 @@ def test_near_classes_equal_brute_force(spark):
     assert got == {d: least[find(i)] for i, (d, _) in enumerate(rows)}
 
 
+def test_hot_buckets_are_compared_in_blocks(spark):
+    from pyspark.sql import functions as F
+
+    rng = np.random.default_rng(6)
+    sig = rng.integers(-(2**63), 2**63 - 1, (60, 32), dtype=np.int64)
+    for k in range(30, 60):  # each of the second half is near one of the first
+        sig[k] = sig[k - 30] ^ rng.integers(0, 8, 32)
+    rows = [(band, 9, node, node // 3, [int(x) for x in sig[node]], [100 + node if node % 2 else 9, 9], 10.0, 9.9, True, 0, 60) for band in (0, 1) for node in range(60) if band == 1 or node % 2 == 0]
+    schema = "band int, key long, node long, label long, sig array<long>, bands array<long>, total double, shared double, plain boolean, top long, size long"
+    marked = spark.createDataFrame(rows, schema).withColumn("size", F.when(F.col("band") == 0, 30).otherwise(60))
+    most = round((1 - near_dedup.ALIKE) / 2 * near_dedup.FINE)
+    near = lambda a, b: int(np.bitwise_count(sig[a] ^ sig[b]).sum()) <= most
+    want = sorted((a, b) for a in range(60) for b in range(a + 1, 60) if a // 3 != b // 3 and near(a, b))
+    assert len(want) >= 27
+    for block in (500, 7):
+        got = near_dedup.block_pairs(marked, 0.8, block=block, task_rows=50).collect()
+        assert sorted((min(r), max(r)) for r in got) == want  # each pair once, in the first band it shares
+
+
+def test_texts_that_share_a_hash_get_nodes_of_their_own(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.createDataFrame([(1, "a"), (2, "b"), (3, "a"), (4, None)], "doc_id long, text string")
+    node = near_dedup._node(F.col("text"))
+    fake = docs.select(F.when(F.col("text").isNull(), 5).otherwise(7).cast("long").alias("node"), F.coalesce(near_dedup._second(F.col("text")), F.lit(0)).alias("second"))
+    shared = near_dedup._shared_nodes(fake.groupBy("node").agg(F.min("second").alias("lo"), F.max("second").alias("hi")), fake)
+    assert [n for n, _ in shared] == [7]
+    real = {r.text: (r.node, r.second) for r in docs.select("text", node.alias("node"), near_dedup._second(F.col("text")).alias("second")).collect()}
+    moved = {r.text: r.n for r in docs.select("text", near_dedup._node(F.col("text"), [real["b"]]).alias("n")).collect()}
+    assert moved["a"] == real["a"][0] and moved["b"] != real["b"][0] and len(set(moved.values())) == 3
+
+
 def test_signature_estimates_probability_jaccard():
     x = [str(i) for i in range(300)]
     y = x[:250] + [f"n{i}" for i in range(50)] + x[:30] * 2
