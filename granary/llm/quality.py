@@ -6,13 +6,15 @@ after it; two transition weights a pair of labels tie neighbours together (Laffe
 score is the mean of its lines' forward-backward marginals for "good", weighted by line length, brought
 to a probability by a logistic fit on the training texts.
 
-Training: texts with a label, a bounded sample of ``SAMPLE`` of them (those with the least hash of the id),
-only from rows whose crc32(id) mod 4 is not 2; all lines of a text carry the text's label. Neither labels,
-language, source nor id are inputs of a score. Scoring is one scan of the table, whole texts, no shuffle.
+Training: texts with a label, a bounded sample of ``SAMPLE`` of them (those with the least hash of the id) and of
+``SAMPLE_BYTES`` of text together, only from rows whose crc32(id) mod 4 is not 2; all lines of a text carry the text's
+label. An id with several labels counts with the highest, one with several texts with that of the least hash, so a model
+does not change between runs. Neither labels, language, source nor id are inputs of a score. Scoring is one scan of the
+table, whole texts, no shuffle.
 
 Defined cases: null and empty texts are one blank line and get that line's score; repeated rows get the
-same score; an empty table gives an empty result; without any labelled row the score is 0.5 and all other
-columns are as described.
+same score; an empty table gives an empty result; without labelled rows of both kinds the score is 0.5, all other
+columns are as described, and ``keep`` keeps every row: nothing was learned that could reject one.
 """
 
 from __future__ import annotations
@@ -21,12 +23,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from . import common
 
-SAMPLE, CUT = 3000, 0.7
+SAMPLE, SAMPLE_BYTES, CUT = 3000, 64 << 20, 0.7
 _SEGMENT = 64
 _NAMES = ("bias", "words", "symbols", "capitals", "digits", "pipes", "bangs", "mean_word", "repeated", "blank", "punctuation")
 
@@ -232,13 +234,17 @@ def train(texts: list[str | None], labels: list[int], ridge: float = 1e-3, round
 def sampled_labels(labels: DataFrame, id_col: str, label_col: str, sample: int) -> DataFrame:
     """``doc_id`` and ``label`` of a bounded, repeatable sample of the rows open for training."""
     open_ = labels.select(labels[id_col].alias("doc_id"), labels[label_col].alias("label")).filter("doc_id is not null and label is not null and crc32(cast(doc_id as string)) % 4 <> 2")
-    return open_.dropDuplicates(["doc_id"]).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
+    return open_.groupBy("doc_id").agg(F.max("label").alias("label")).orderBy(F.xxhash64("doc_id"), "doc_id").limit(sample)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int) -> list:
-    """Those labels with their texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str, label_col: str, sample: int, sample_bytes: int = SAMPLE_BYTES) -> list:
+    """Those labels with their texts, one an id, in the order of the ids' hashes until their bytes are used up."""
     few = sampled_labels(labels, id_col, label_col, sample)
-    return common.ids_and_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").select("doc_id", "text", "label").dropDuplicates(["doc_id"]).orderBy("doc_id").collect()
+    with_text = common.ids_and_text(docs, id_col, text_col).join(F.broadcast(few), "doc_id").groupBy("doc_id").agg(F.min(F.struct(F.xxhash64("text").alias("hash"), "text")).alias("t"), F.max("label").alias("label"))
+    # At most ``sample`` rows reach this window.
+    before = Window.orderBy(F.xxhash64("doc_id"), "doc_id").rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = with_text.select("doc_id", F.col("t.text").alias("text"), "label").withColumn("bytes", F.sum(F.coalesce(F.octet_length("text"), F.lit(0))).over(before))
+    return rows.filter(F.col("bytes") <= sample_bytes).select("doc_id", "text", "label").orderBy("doc_id").collect()
 
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
@@ -272,7 +278,10 @@ def score(docs: DataFrame, model: Model, id_col: str = "doc_id", text_col: str =
 
 
 def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
-    """The rows of ``docs`` whose text is predicted good, with all columns."""
+    """The rows of ``docs`` whose text is predicted good, with all columns; every row where the model is untrained."""
+    if not model.trained:
+        return docs
+
     @F.pandas_udf("boolean")
     def good(texts: pd.Series) -> pd.Series:
         out, part, size = [], [], 0
