@@ -8,8 +8,8 @@ occurrences; other lines stay as they are, in their order.
 How: the pages are exploded to (host, 64-bit line hash) with each page's repeats removed inside the
 row, so counting needs one shuffle of partial sums and no distinct; lines of a hot host spread over
 tasks because the key is (host, line). Boilerplate lines of a host number at most its lines a page
-divided by ``ratio``; they are matched with the pages' line hashes by a join whose page side is salted,
-and the numbers of the dropped lines go back to the page by its row key. Texts move once.
+divided by ``ratio``; each host's go as one array to its pages by a join whose page side is salted by text and input partition (equal
+and null texts of a hot host spread too), and the lines are dropped inside the row. Texts move once.
 
 Defined cases: null texts stay null, hosts that are null form a host of their own, blank lines always
 stay, repeated rows count as pages each, an empty table gives an empty result; a page of nothing but
@@ -36,29 +36,27 @@ def _shape(line: Column) -> Column:
     return F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
 
 
-def line_counts(pages: DataFrame, host: Column, text: Column) -> DataFrame:
-    """``host``, ``line`` (hash), ``n_pages``, ``n_host``: pages with the line, and pages of the host."""
+def line_counts(pages: DataFrame, host: Column, text: Column, min_pages: int = 1) -> DataFrame:
+    """``host``, ``line`` (hash), ``n_pages``, ``n_host``: pages with the line (at least ``min_pages``), and pages of the host."""
     hashed = F.array_distinct(F.transform(F.filter(lines_of(text), lambda x: _shape(x) != ""), lambda x: F.xxhash64(_shape(x))))
-    counts = pages.select(host.alias("host"), F.explode(hashed).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).filter("n_pages > 1")
+    counts = pages.select(host.alias("host"), F.explode(hashed).alias("line")).groupBy("host", "line").agg(F.count(F.lit(1)).alias("n_pages")).filter(F.col("n_pages") >= min_pages)
     totals = pages.groupBy(host.alias("of")).agg(F.count(F.lit(1)).alias("n_host"))
     return counts.join(totals, F.col("host").eqNullSafe(F.col("of"))).drop("of")
 
 
 def boilerplate(pages: DataFrame, host: Column, text: Column, ratio: float, min_pages: int) -> DataFrame:
-    return line_counts(pages, host, text).filter((F.col("n_pages") >= min_pages) & (F.col("n_pages") >= F.lit(ratio) * F.col("n_host"))).select("host", "line")
+    return line_counts(pages, host, text, min_pages).filter(F.col("n_pages") >= F.lit(ratio) * F.col("n_host")).select("host", "line")
 
 
 def drop_boilerplate(pages: DataFrame, host: Column, text_col: str = "text", ratio: float = RATIO, min_pages: int = MIN_PAGES, salts: int = SALTS) -> tuple[DataFrame, str]:
     """``pages`` with the lines taken out of ``text_col``, and the name of an added column: lines dropped."""
-    taken = {c.lower() for c in pages.columns}
-    name = lambda x: next(n for n in (x + "_" * k for k in range(99)) if n.lower() not in taken)
-    host_, salt_, row_, lines_, n_ = map(name, ("host_key", "salt_key", "row_key", "dropped_lines", "n_dropped"))
+    host_, salt_, lines_, n_ = (common.free_name(x, pages.columns) for x in ("host_key", "salt_key", "dropped_lines", "n_dropped"))
     text = pages[text_col]
     bad = boilerplate(pages, host, text, ratio, min_pages)
     # One row a host and salt holds the host's boilerplate; each page meets exactly one of them.
     held = bad.groupBy("host").agg(F.collect_list("line").alias(lines_))
     held = held.select(F.coalesce(F.concat(F.lit("="), "host"), F.lit("null")).alias(host_), F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias(salt_), lines_)
-    keyed = pages.select("*", F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit("null")).alias(host_), F.pmod(F.xxhash64(text), F.lit(salts)).cast("int").alias(salt_))
+    keyed = pages.select("*", F.coalesce(F.concat(F.lit("="), host.cast("string")), F.lit("null")).alias(host_), F.pmod(F.xxhash64(F.spark_partition_id(), text), F.lit(salts)).cast("int").alias(salt_))
     joined = keyed.join(held, [host_, salt_], "left")
     kept = F.filter(lines_of(F.col(text_col)), lambda x: (_shape(x) == "") | ~F.array_contains(F.col(lines_), F.xxhash64(_shape(x))))
     new = F.when(F.col(text_col).isNull() | F.col(lines_).isNull(), F.col(text_col)).otherwise(F.array_join(kept, "\n"))
