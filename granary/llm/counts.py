@@ -6,7 +6,8 @@ Keys are the upper 56 bits of 64-bit hashes: a given key is met by chance by one
 A chunk (some tens of MB of text) counts its own keys first and sends each bucket one row: the sorted keys that fall
 into it and their counts, packed. A bucket adds the chunks' counts up and answers every chunk with the sums of the
 keys it asked for. A frequent key so moves once a chunk, memory follows the size of a chunk and of a bucket,
-and no task sees the whole table.
+and no task sees the whole table. Chunks and buckets are dealt to at most ``MOST_PARTITIONS`` partitions; one of a large
+table holds several, one after another, so a shuffle's blocks do not grow with the square of the table.
 """
 
 from __future__ import annotations
@@ -16,10 +17,15 @@ from pyspark.sql import DataFrame
 
 from .common import trim
 
-BITS = 56
+BITS, MOST_PARTITIONS = 56, 1 << 14
 PARTS = "bucket int, chunk int, first long, steps binary, counts binary"
 
 
+def deal(rows: DataFrame, column: str, values: int) -> DataFrame:
+    """``rows`` by a column of that many values."""
+    return rows.repartition(min(values, MOST_PARTITIONS), column)
+
+
 def key(hashes: np.ndarray) -> np.ndarray:
     return hashes >> np.uint64(64 - BITS)
 
@@ -94,7 +100,7 @@ def _answer():
 
 def answer(asked: DataFrame, buckets: int) -> DataFrame:
     """``chunk``, ``bucket``, ``totals`` for each row of ``parts``."""
-    return asked.repartition(buckets, "bucket").groupBy("bucket").applyInArrow(_answer(), "chunk int, bucket int, totals binary")
+    return deal(asked, "bucket", buckets).groupBy("bucket").applyInArrow(_answer(), "chunk int, bucket int, totals binary")
 
 
 def join(answers) -> np.ndarray:

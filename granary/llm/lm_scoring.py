@@ -134,8 +134,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     rows, size = common.total_bytes(docs)
     chunks = max(1, -(-size // chunk_bytes))
     buckets = chunks * 2
-    dealt = docs.select("doc_id", F.lower("text").alias("text"), F.pmod(F.xxhash64("doc_id", "text"), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
-    told = counts.answer(dealt.groupBy("chunk").applyInArrow(_request(order, buckets), counts.PARTS), buckets).repartition(chunks, "chunk")
+    # The input partition is part of the hash, so that rows that repeat altogether spread over chunks.
+    chunk = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int")
+    dealt = counts.deal(docs.select("doc_id", F.lower("text").alias("text"), chunk.alias("chunk")), "chunk", chunks)
+    told = counts.deal(counts.answer(dealt.groupBy("chunk").applyInArrow(_request(order, buckets), counts.PARTS), buckets), "chunk", chunks)
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_score(order, alpha, min_count), SCHEMA)
 
 

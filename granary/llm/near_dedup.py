@@ -264,8 +264,8 @@ def shared_weights(texts: DataFrame, size: int) -> DataFrame:
     """
     _, size_ = common.total_bytes(texts)
     chunks = max(1, -(-size_ // (16 << 20)))
-    dealt = texts.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk")).repartition(chunks, "chunk")
-    told = counts.answer(dealt.groupBy("chunk").applyInArrow(_ask(size, chunks), counts.PARTS), chunks).repartition(chunks, "chunk")
+    dealt = counts.deal(texts.select("node", "text", F.pmod(F.xxhash64("node"), F.lit(chunks)).cast("int").alias("chunk")), "chunk", chunks)
+    told = counts.deal(counts.answer(dealt.groupBy("chunk").applyInArrow(_ask(size, chunks), counts.PARTS), chunks), "chunk", chunks)
     return dealt.groupBy("chunk").cogroup(told.groupBy("chunk")).applyInArrow(_bound(size), "node long, total double, shared double, plain boolean")
 
 
