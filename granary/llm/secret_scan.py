@@ -34,6 +34,8 @@ from pyspark.sql import functions as F
 from . import common, forest
 
 LEAST, LEAST_NAMED, CUT, FINDINGS = 16, 4, 0.5, 4000
+#: Characters beside a run that features see, at most, and the longest run of a labelled finding in a table.
+BESIDE, LONGEST = 60, 1000
 #: Dictionary words: so many occurrences at least, and one in so many of all words.
 OCCURS, ONE_IN = 3, 1_000_000
 _RUN = re.compile(r"[A-Za-z0-9_+/=-]{%d,}" % LEAST)
@@ -157,7 +159,7 @@ def candidates(text: str | None) -> list[tuple[int, str]]:
 
 def features(language: Language, text: str, start: int, run: str, path: str | None) -> list[float]:
     n = len(run)
-    before, after = text[max(0, start - 60) : start], text[start + n : start + n + 40]
+    before, after = text[max(0, start - BESIDE) : start], text[start + n : start + n + 40]
     near = [w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9]*", before.replace("_", " "))[-3:]]
     next_ = [w.lower() for w in re.findall(r"[A-Za-z][A-Za-z0-9]*", after.replace("_", " "))[:1]]
     play = {w.lower() for w in re.findall(r"[A-Za-z]+", path or "")}
@@ -281,7 +283,23 @@ def train(language: Language, findings: list[Finding]) -> Scanner:
     return Scanner(language, forest.fit(x, np.array([f.secret for f in findings], float)))
 
 
-def fit(docs: DataFrame, findings: list[Finding] | None = None, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
+def findings_of(rows: DataFrame, most: int = FINDINGS) -> list[Finding]:
+    """Labelled findings of a table: ``text``, ``start`` and ``length`` in characters, ``path``, ``secret`` (Boolean).
+
+    At most ``most`` of them, those with the least hash of what the features see: ``BESIDE`` characters before the run, the
+    run (no longer than ``LONGEST``) and what follows. Rows with a null or a place outside the text are no findings.
+    """
+    rows = rows.filter("text is not null and secret is not null and start >= 0 and length > 0 and start + length <= char_length(text)").filter(F.col("length") <= LONGEST)
+    begin = F.greatest(F.col("start") - BESIDE, F.lit(0))
+    seen = rows.select(F.substring("text", begin + 1, F.col("start") - begin + F.col("length") + BESIDE).alias("text"), (F.col("start") - begin).alias("start"), "length", F.coalesce("path", F.lit("")).alias("path"), "secret").distinct()
+    some = seen.orderBy(F.xxhash64(*seen.columns), *seen.columns).limit(most).collect()
+    return [Finding(r.text, r.start, r.text[r.start : r.start + r.length], r.path, r.secret) for r in some]
+
+
+def fit(docs: DataFrame, findings: list[Finding] | DataFrame | None = None, id_col: str = "doc_id", text_col: str = "text") -> Scanner:
+    """A scanner from the table's language and labelled findings: a list, a table of them (``findings_of``), or those of ``labelled_findings``."""
+    if isinstance(findings, DataFrame):
+        findings = findings_of(findings)
     return train(Language.of_table(common.ids_and_text(docs, id_col, text_col)), labelled_findings() if findings is None else findings)
 
 
@@ -303,6 +321,7 @@ def _apply(scanner: Scanner):
 
 def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: str = "text", path_col: str | None = "source") -> DataFrame:
     path = docs[path_col].cast("string") if path_col else F.lit(None).cast("string")
+    common.small_batches(docs.sparkSession)
     return docs.select(docs[id_col].alias("doc_id"), docs[text_col].alias("text"), path.alias("path")).mapInArrow(_apply(scanner), SCHEMA)
 
 
