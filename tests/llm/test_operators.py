@@ -322,6 +322,74 @@ def test_line_dedup_and_licence_literals(spark):
     assert {r.doc_id: r.license for r in license_scan.scan(docs).collect()} == {1: "MIT", 2: None, 3: "CC-BY-NC-4.0", 4: "CC-BY-SA-4.0"}
 
 
+def test_licence_notices_inside_longer_texts(spark):
+    import textwrap
+
+    from pyspark.sql import functions as F
+
+    code = "\n".join(f"x{k} = compute({k})" for k in range(80))
+    def notice(name, start="# ", width=70):
+        return "\n".join(start + x for x in textwrap.wrap(license_scan.TEMPLATES[name], width))
+
+    names = ["MIT-full", "Apache-2.0-header-full", "GPL-3.0-header-full", "BSD-2-Clause-full", "ISC-full", "Zlib"]
+    rows = [(k, f"import a\n{code}\n{notice(n)}\n{code}") for k, n in enumerate(names)]
+    rows += [(10, "Copyright (c) 2020 A B\n\n" + notice("MIT-full", " * ", 40) + "\n" + code), (11, notice("MIT-full").replace("the Software", "this file")[:600] + "\n" + code), (12, code), (13, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r for r in license_scan.scan(docs).collect()}
+    assert [got[k].license for k in range(6)] == names and all(got[k].dice == 1.0 for k in range(6)) and got[10].license == "MIT-full" and got[12].license is None and got[13].n_units == 0
+    assert got[11].license in (None, "MIT-text")
+    import duckdb
+
+    con = duckdb.connect()
+    con.execute("CREATE TABLE documents (doc_id BIGINT, text VARCHAR)")
+    con.executemany("INSERT INTO documents VALUES (?, ?)", rows)
+    assert sorted((r[0], r[1], r[2] and round(r[2], 9), r[3]) for r in con.execute(license_scan.SQL).fetchall()) == sorted((r.doc_id, r.license, r.dice and round(r.dice, 9), r.n_units) for r in got.values())
+    assert license_scan.scan(docs, templates={}).agg(F.sum("n_units")).first()[0] == 0
+
+
+def test_secret_table_equals_direct_scan_and_learns_from_a_table(spark):
+    docs = common.table(spark, SF, "documents")
+    known = secret_scan.labelled_findings(1500, seed=5)
+    table = spark.createDataFrame([("y" * 90 + "\n" + f.text, 91 + f.start, len(f.run), f.path, f.secret) for f in known] + [(None, 0, 1, None, True), ("ab", 1, 9, None, True)], "text string, start long, length long, path string, secret boolean")
+    found = secret_scan.findings_of(table)
+    assert {(f.run, f.secret) for f in found} == {(f.run, f.secret) for f in known} and len(secret_scan.findings_of(table, 100)) == 100
+    scanner = secret_scan.fit(docs, table)
+    other = secret_scan.labelled_findings(500, seed=77)
+    assert np.mean((scanner.score([(f.text, f.start, f.run, f.path) for f in other]) >= secret_scan.CUT) == [f.secret for f in other]) > 0.93
+    rows = docs.select("doc_id", "text", "source").collect()
+    want = {r.doc_id: (n, [(s["start"], s["length"], s["score"]) for s in secrets]) for r, (n, secrets) in zip(rows, scanner.scan([r.text for r in rows], [r.source for r in rows]))}
+    assert {r.doc_id: (r.n_candidates, [tuple(s) for s in r.secrets]) for r in secret_scan.scan(docs, scanner).collect()} == want
+    # every planted token is found, and nothing in documents without a candidate word
+    import re
+
+    for r in rows:
+        for m in re.finditer(r'token = "([0-9a-f]{40})"', r.text):
+            assert (m.start(1), 40) in [s[:2] for s in want[r.doc_id][1]]
+
+
+def test_pipeline_on_odd_tables(spark, tmp_path):
+    import corpus_pipeline
+    from pyspark.sql import functions as F
+
+    rng = random.Random(2)
+    text = lambda: " ".join(f"w{rng.randrange(4000)}" for _ in range(120))
+    same = text()
+    rows = [(None, None, None, None, None), (1, "", "en", "a", 0), (2, same, "en", "a", 1), (2, same, "en", "a", 1), (None, text(), None, None, None), (None, text(), "en", None, 3), (4, "the item of the benchmark is here " + text(), "en", "b", 9), (5, text() + " x" * 20_000, "en", "b", 9)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string, source string, n_chars long").withColumns({c: F.lit("clash") for c in ("row", "kept_id", "kept_node", "host_key", "n_dropped", "item_ids", "place", "node")})
+    folder = str(tmp_path)
+    docs.write.parquet(f"{folder}/documents.parquet")
+    spark.createDataFrame([], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+    spark.createDataFrame([(1, "the item of the benchmark is here"), (2, None)], "item_id long, text string").write.parquet(f"{folder}/benchmark.parquet")
+    kept = []
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        after = stage(spark, common.table(spark, folder, "documents"), folder)
+        assert after.columns == docs.columns and stage(spark, docs.limit(0), folder).count() == 0, name
+        kept.append(after.count())
+    assert kept == [8, 8, 7, 7]
+    out = corpus_pipeline.run(spark, folder).filter("start = 0")
+    assert out.count() == 6
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
