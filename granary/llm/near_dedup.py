@@ -51,7 +51,7 @@ SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
 FINE, ALIKE = 2048, 0.75
 NEXT, SPREAD = 3, 500
 #: Nodes of a block in step 5, and rows a task of that step holds, about.
-BLOCK, TASK_ROWS = 500, 20_000
+BLOCK, TASK_ROWS = 500, 5_000
 #: Text handled at once, and bytes of weighed texts kept for the next pairs.
 _SLICE, _KEPT = 2 << 20, 64 << 20
 
