@@ -10,7 +10,7 @@ from functools import reduce
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-from .text import SCOPE, flatten, splice_first, strip
+from .text import SPACE, bind, drop_first_sentence, flatten, splice_first, strip
 
 # Fixed values of the data model.
 DIMENSIONS = ["coverage", "accuracy", "reasoning", "use_of_evidence", "clarity_and_structure"]
@@ -69,9 +69,9 @@ def neutral_ru(prompt: Column) -> Column:
     return _neutral(prompt, sentence_ru(prompt), prompt.rlike(MARKER_RU))
 
 
-def drop_sentence(c: Column, pattern: str = SCOPE) -> Column:
-    """The text without its first match of ``pattern``."""
-    return F.coalesce(splice_first(c, F.regexp_substr(c, F.lit(pattern)), F.lit("")), c)
+def drop_scope(c: Column) -> Column:
+    """The text without the first sentence that names the scope column."""
+    return drop_first_sentence(c, "source_scope")
 
 
 # --- rubric cells ---------------------------------------------------------------------------------
@@ -110,6 +110,13 @@ def compose(cell: Column, bodies: Column) -> Column:
     return F.when(F.size(parsed["blocks"]) == len(DIMENSIONS), F.concat(parsed["prefix"], F.array_join(F.transform(parsed["blocks"], render), "")))
 
 
+def must_have_bodies(cell: Column) -> Column:
+    """As ``rubric_bodies``; an error where the number of blocks is another."""
+    n = F.size(rubric(cell)["blocks"])
+    wrong = F.raise_error(F.concat(F.lit(f"expected {len(DIMENSIONS)} rubric blocks, found "), n.cast("string"))).cast("map<string,string>")
+    return F.when(n == len(DIMENSIONS), rubric_bodies(cell)).otherwise(wrong)
+
+
 def levels(body: Column) -> Column:
     return F.regexp_extract_all(body, F.lit(RUBRIC_LEVEL), F.lit(1))
 
@@ -133,7 +140,7 @@ def bullets(items: Column) -> Column:
 
 def append_bullets(cell: Column, items: Column) -> Column:
     new = bullets(items)
-    return F.when(new == "", cell).when(strip(cell) == "", new).otherwise(F.concat(F.regexp_replace(cell, r"\s+\z", ""), F.lit("\n"), new))
+    return F.when(new == "", cell).when(strip(cell) == "", new).otherwise(F.concat(F.regexp_replace(cell, f"[{SPACE}]+\\z", ""), F.lit("\n"), new))
 
 
 def has_word(text: Column, word: Column) -> Column:
@@ -142,5 +149,17 @@ def has_word(text: Column, word: Column) -> Column:
     return F.regexp_like(text, quoted)
 
 
+def quoted(c: Column) -> Column:
+    """A text as Python shows it: in single quotes, or in double ones where it holds single ones alone."""
+    plain = F.replace(F.replace(F.replace(c, F.lit("\\"), F.lit("\\\\")), F.lit("\n"), F.lit("\\n")), F.lit("\t"), F.lit("\\t"))
+    double = plain.contains("'") & ~plain.contains('"')
+    return F.when(double, F.concat(F.lit('"'), plain, F.lit('"'))).otherwise(F.concat(F.lit("'"), F.replace(plain, F.lit("'"), F.lit("\\'")), F.lit("'")))
+
+
+def listed(items: Column) -> Column:
+    """Texts as Python shows a list of them."""
+    return F.concat(F.lit("["), F.array_join(F.transform(items, quoted), ", "), F.lit("]"))
+
+
 def any_of(*conditions: Column) -> Column:
     return reduce(lambda a, b: a | b, conditions)

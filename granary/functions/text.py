@@ -1,4 +1,8 @@
-"""Column functions over text: cleaning, noise, headings, names and numbers. All run in the JVM."""
+"""Column functions over text: cleaning, noise, headings, names and numbers. All run in the JVM.
+
+White space is the set that Python strips (``SPACE``), lines end where Python's ``splitlines`` ends them. Null texts give
+null results.
+"""
 
 from __future__ import annotations
 
@@ -6,61 +10,136 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 # Fixed values of the data model.
-PAGE_MARKER = r"(?i)^(?:[-–—\s]*)?(?:page\s*)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?(?:[-–—\s]*)?$"
-PAGE_DASHES = r"(?i)^--\s*\d{1,4}\s+of\s+\d{1,4}\s*--$"
-PAGE_BRACKETS = r"(?i)^\[\s*page\s+\d{1,4}\s*\]$"
-PDF_FOOTER = r"^[\W_]*\d{1,4}\s*[|]\s*.*$|^.*[|]\s*\d{1,4}[\W_]*$"
-SECTION = r"^(\d+(?:\.\d+)*)\.\s+(.+)$"
+PAGE_MARKER = r"(?iU)^(?:[-–—\s]*)?(?:page\s*)?\d{1,4}(?:\s*(?:of|/)\s*\d{1,4})?(?:[-–—\s]*)?$"
+PAGE_DASHES = r"(?iU)^--\s*\d{1,4}\s+of\s+\d{1,4}\s*--$"
+PAGE_BRACKETS = r"(?iU)^\[\s*page\s+\d{1,4}\s*\]$"
+PDF_FOOTER = r"(?U)^[\W_]*\d{1,4}\s*[|]\s*.*$|^.*[|]\s*\d{1,4}[\W_]*$"
+SECTION = r"(?U)^(\d+(?:\.\d+)*)\.\s+(.+)$"
+CHAPTER = r"(?U)^chapter\s+\d"
 GIVEAWAY_EN = r"(?i)\b(trap|trick|pitfall|beware|careful|caution|gotcha)\b"
 GIVEAWAY_RU = r"(?i)ловушк|подвох|ошибочн|осторожн"
 SCOPE = r"[^.\s][^.]*`?source_scope`?[^.]*\.\s*"
 
+#: Inside of a character class: what Python's ``str.strip`` and ``\s`` take for white space.
+SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
+
+
+def bind(value: Column, f) -> Column:
+    """``f`` of a value that is computed once, however often ``f`` uses it."""
+    return F.element_at(F.transform(F.array(value), f), 1)
+
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
 
 
 def flatten(c: Column) -> Column:
     """Runs of white space as one space, ends stripped."""
-    return strip(F.regexp_replace(c, r"\s+", " "))
+    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
 
 
 def squeeze(c: Column) -> Column:
-    """Runs of spaces, tabs and no-break spaces as one space, ends stripped."""
-    return strip(F.regexp_replace(c, "[ \t ]+", " "))
+    """A line without byte-order marks and soft hyphens, runs of spaces, tabs and no-break spaces as one space, ends stripped."""
+    return strip(F.regexp_replace(F.translate(c, "\ufeff\u00ad", ""), "[ \t\u00a0]+", " "))
+
+
+def spaces(c: Column) -> Column:
+    """A text with private-use bullets as signs, line ends as \\n, runs of blanks in a line as one, lines stripped."""
+    signs = F.translate(c, "\uf0fc\uf0b7\uf07c", "--|")
+    return F.array_join(F.transform(splitlines(signs), lambda x: strip(F.regexp_replace(x, "[ \t\u00a0]+", " "))), "\n")
+
+
+def line_ends(c: Column) -> Column:
+    return F.regexp_replace(c, "\r\n?", "\n")
 
 
 def join_hyphens(c: Column) -> Column:
     """Line ends as \\n, then words cut by a hyphen at a line end joined."""
-    return F.regexp_replace(F.regexp_replace(c, "\r\n?", "\n"), r"(?U)(\w)-\n(\w)", "$1$2")
+    return F.regexp_replace(line_ends(c), r"(?U)(\w)-\n(\w)", "$1$2")
 
 
 def lines(c: Column) -> Column:
     return F.split(c, "\n")
 
 
+def splitlines(c: Column) -> Column:
+    """Lines without their ends; a last end makes no further line, an empty text has none."""
+    return bind(F.split(c, LINE_END), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
+
+
 def is_page_noise(line: Column) -> Column:
-    n = F.length(line)
-    return ((n <= 20) & line.rlike(PAGE_MARKER)) | line.rlike(PAGE_DASHES) | line.rlike(PAGE_BRACKETS) | ((n <= 180) & line.rlike(PDF_FOOTER))
+    """Page numbers and footers; never a blank line."""
+    s = strip(line)
+    n = F.length(s)
+    return (n > 0) & (((n <= 20) & s.rlike(PAGE_MARKER)) | s.rlike(PAGE_DASHES) | s.rlike(PAGE_BRACKETS) | ((n <= 180) & s.rlike(PDF_FOOTER)))
 
 
 def is_upper(line: Column) -> Column:
+    """At least one letter with a case, and no lower-case letter."""
     return (F.upper(line) == line) & (F.lower(line) != line)
 
 
+def upper_share(line: Column) -> Column:
+    """Capitals among letters; null without a letter."""
+    return F.try_divide(F.regexp_count(line, F.lit(r"\p{Lu}")), F.regexp_count(line, F.lit(r"\p{L}")))
+
+
+def n_words(line: Column) -> Column:
+    flat = flatten(line)
+    return F.when(flat == "", 0).otherwise(F.size(F.split(flat, " ")))
+
+
 def heading_level(line: Column) -> Column:
-    """Depth of a numbered section; 2 for a short capital line; 0 for anything else."""
+    """Depth of a numbered section plus one, at most 4; 2 for a short line of capitals; 3 for one that ends in a colon; else 0."""
     number = F.regexp_extract(line, SECTION, 1)
-    return F.when(number != "", F.least(F.size(F.split(number, r"\.")) + 1, F.lit(4))).when(is_upper(line) & (F.length(line) <= 80), 2).otherwise(0)
+    capitals = F.length(line).between(3, 100) & (upper_share(line) > 0.8) & (n_words(line) <= 12)
+    return (
+        F.when(number != "", F.least(F.size(F.split(number, r"\.")) + 1, F.lit(4)))
+        .when(F.coalesce(capitals, F.lit(False)), 2)
+        .when(line.endswith(":") & (F.length(line) <= 100), 3)
+        .otherwise(0)
+    )
+
+
+def looks_like_heading(line: Column) -> Column:
+    """At most 120 characters and a colon at the end, or over three quarters capitals."""
+    return (F.length(line) <= 120) & (line.endswith(":") | F.coalesce(upper_share(line) > 0.75, F.lit(False)))
 
 
-def slug(c: Column) -> Column:
-    return F.regexp_replace(F.lower(F.regexp_replace(c, "[^A-Za-z0-9]+", "_")), "^_+|_+$", "")
+def looks_like_table_line(line: Column) -> Column:
+    return line.contains("\t") | line.contains("|") | (wide_gaps(line) >= 2)
 
 
-def head_tail(c: Column, head: int, tail: int) -> Column:
-    """A text longer than both together as its head, a mark and its tail."""
-    return F.when(F.length(c) > head + tail, F.concat(F.substring(c, 1, head), F.lit("\n[...]\n"), F.right(c, F.lit(tail)))).otherwise(c)
+def wide_gaps(line: Column) -> Column:
+    """Runs of two or more white spaces."""
+    return F.regexp_count(line, F.lit(f"[{SPACE}]{{2,}}"))
+
+
+def n_pipes(line: Column) -> Column:
+    return F.length(line) - F.length(F.translate(line, "|", ""))
+
+
+def stem(file_name: Column) -> Column:
+    """A file name without extension, runs of other characters than ASCII letters and digits as one underscore, ends stripped."""
+    return F.trim(F.regexp_replace(F.regexp_replace(file_name, r"(?<=.)\.[^.]*$", ""), "[^A-Za-z0-9]+", "_"), F.lit("_"))
+
+
+def slug(c: Column, most: int = 80) -> Column:
+    """As ``stem`` of any text, cut at ``most`` characters; "untitled" where nothing is left."""
+    cut = F.left(F.trim(F.regexp_replace(c, "[^A-Za-z0-9]+", "_"), F.lit("_")), F.lit(most))
+    return F.when(cut == "", "untitled").otherwise(cut)
+
+
+def head_tail(c: Column, head: int = 10_000, tail: int = 5_000) -> Column:
+    """A text longer than both together as its head, a mark with the number of characters left out, and its tail."""
+    mark = F.concat(F.lit("\n\n[... "), F.format_number(F.length(c) - head - tail, 0), F.lit(" chars omitted ...]\n\n"))
+    return F.when(F.length(c) > head + tail, F.concat(F.substring(c, 1, head), mark, F.right(c, F.lit(tail)))).otherwise(c)
+
+
+def truthy(*options: Column) -> Column:
+    """The first that is neither null nor empty; else an empty text."""
+    return F.coalesce(*[F.nullif(o, F.lit("")) for o in options], F.lit(""))
 
 
 def numbers(c: Column) -> Column:
@@ -82,17 +161,43 @@ def distinctions(c: Column) -> Column:
 
 
 def judge_score(reply: Column, dimension: str) -> Column:
-    """The first 0, 1 or 2 on the last line that begins with the dimension's name; null without one."""
-    found = F.filter(lines(reply), lambda x: F.lower(strip(x)).startswith(dimension.lower()) & x.rlike(r"\b[012]\b"))
-    return F.when(F.size(found) > 0, F.regexp_extract(F.element_at(found, -1), r"\b([012])\b", 1).cast("int"))
+    """The first 0, 1 or 2 that stands alone on the last line that begins with the dimension's name and has one; else null."""
+    found = F.filter(splitlines(strip(reply)), lambda x: F.lower(x).startswith(dimension.lower()) & x.rlike(r"(?U)\b[012]\b"))
+    return F.when(F.size(found) > 0, F.regexp_extract(F.element_at(found, -1), r"(?U)\b([012])\b", 1).cast("int"))
 
 
 def url_key(url: Column) -> Column:
-    """A URL without fragment; a scheme where it starts with two slashes."""
-    return F.regexp_replace(F.regexp_replace(url, "#.*$", ""), "^//", "https://")
+    """A URL without fragment; a scheme where it begins with two slashes, the wiki's host where it begins with its path. Null is empty."""
+    s = strip(F.coalesce(url, F.lit("")))
+    whole = F.when(s.startswith("//"), F.concat(F.lit("https:"), s)).when(s.startswith("/wiki/"), F.concat(F.lit("https://en.wikipedia.org"), s)).otherwise(s)
+    return F.substring_index(whole, "#", 1)
 
 
 def splice_first(text: Column, old: Column, new: Column) -> Column:
-    """``text`` with the first place of ``old`` replaced."""
+    """``text`` with the first place of ``old`` replaced; as it is where ``old`` is nowhere (``must_splice`` raises)."""
     at = F.instr(text, old)
-    return F.when((at > 0) & (F.length(old) > 0), F.concat(F.expr("''"), F.left(text, at - 1), new, F.right(text, F.length(text) - at - F.length(old) + 1))).otherwise(text)
+    return F.when((at > 0) & (F.length(old) > 0), F.concat(F.left(text, at - 1), new, F.right(text, F.length(text) - at - F.length(old) + 1))).otherwise(text)
+
+
+def must_splice(text: Column, old: Column, new: Column) -> Column:
+    """As ``splice_first``; an error where ``old`` is nowhere."""
+    return F.when(F.instr(text, old) > 0, splice_first(text, old, new)).otherwise(F.raise_error(F.lit("old sentence not found in prompt")).cast("string"))
+
+
+def drop_first_sentence(text: Column, token: str) -> Column:
+    """``text`` without the first sentence (up to a full stop and the white space after it) that holds ``token``, stripped.
+
+    Found by search, not by a pattern over the whole text: the token, the full stop before it and the one after it. A
+    sentence that has no character before the token, or no full stop after it, stays; then the next token's counts.
+    """
+    def without(pieces: Column) -> Column:
+        # pieces: the text between full stops; one with a token, a character before it and a full stop after it goes
+        last = F.size(pieces) - 1
+        holds = lambda x: F.locate(token, F.regexp_replace(x, f"^[{SPACE}]+", ""), 2) > 0
+        at = F.array_position(F.transform(pieces, lambda x, i: holds(x) & (i < last)), True).cast("int")
+        lead = F.regexp_extract(F.get(pieces, at - 1), f"^[{SPACE}]*", 0)
+        before = F.concat(F.slice(pieces, F.lit(1), F.greatest(at - 1, F.lit(0))), F.array(lead))
+        after = F.regexp_replace(F.array_join(F.slice(pieces, at + 1, F.greatest(F.size(pieces) - at, F.lit(0))), "."), f"^[{SPACE}]+", "")
+        return F.when(at > 0, strip(F.concat(F.array_join(before, "."), after))).otherwise(text)
+
+    return F.when(F.contains(text, F.lit(token)), bind(F.split(text, r"\."), without)).otherwise(text)

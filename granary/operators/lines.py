@@ -1,33 +1,11 @@
-"""Order-preserving work on a text's lines. A text is one row, so its lines stay arrays inside it: no shuffle."""
+"""Lines as rows. Order-preserving work on a text's lines stays inside its row: ``functions.structure``."""
 
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import text as T
 
-
-def numbered(rows: DataFrame, key: str, text: str) -> DataFrame:
-    return rows.select(key, F.posexplode(T.lines(F.col(text))).alias("pos", "line"))
-
-
-def collapse(lines: Column, blank) -> Column:
-    """Lines with each run of blank ones (``blank``: line -> condition) as one."""
-    return F.filter(lines, lambda x, i: ~blank(x) | (i == 0) | ~blank(F.get(lines, i - 1)))
-
-
-def n_blocks(lines: Column, blank) -> Column:
-    """Runs of lines that are not blank."""
-    return F.size(F.filter(lines, lambda x, i: ~blank(x) & ((i == 0) | blank(F.get(lines, i - 1)))))
-
-
-def until(lines: Column, stop) -> Column:
-    """Lines before the first that meets ``stop``."""
-    at = F.array_position(F.transform(lines, lambda x: F.coalesce(stop(x), F.lit(False))), True)
-    return F.when(at == 0, lines).otherwise(F.slice(lines, F.lit(1), F.greatest(at.cast("int") - 1, F.lit(0))))
-
-
-def repeated(rows: DataFrame, key: str, text: str, least: int) -> DataFrame:
-    """Lines that a text has ``least`` times or more."""
-    return numbered(rows, key, text).filter(T.strip(F.col("line")) != "").groupBy(key, "line").agg(F.count(F.lit(1)).alias("n")).filter(F.col("n") >= least)
+def numbered(rows: DataFrame, key: str, lines: Column) -> DataFrame:
+    """``key``, ``pos`` (from 0) and ``line`` of an array of lines."""
+    return rows.select(key, F.posexplode(lines).alias("pos", "line"))

@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -17,7 +17,7 @@ def total(dimensions: list[str]) -> Column:
 
 
 def scored(rows: DataFrame, dimensions: list[str], most: int, exclude_null: bool = False) -> DataFrame:
-    out = rows.withColumn("score_total", total(dimensions)).withColumn("score_pct", F.col("score_total") * 100.0 / most)
+    out = rows.withColumn("score_total", total(dimensions)).withColumn("score_pct", F.round(F.col("score_total") * 100.0 / most, 1))
     return out.filter(F.coalesce(*dimensions).isNotNull()) if exclude_null else out
 
 
@@ -37,8 +37,8 @@ def by_dimension(scores: DataFrame, dimensions: list[str]) -> DataFrame:
 
 
 def matrix(scores: DataFrame, dimensions: list[str], domain: str = "domain") -> DataFrame:
-    """Mean of each dimension by domain, one column a dimension."""
-    return scores.groupBy(domain).agg(*[F.avg(d).alias(d) for d in dimensions])
+    """Mean of each dimension by domain, one column a dimension; 0 where no row of the domain has it."""
+    return scores.groupBy(domain).agg(*[F.coalesce(F.avg(d), F.lit(0.0)).alias(d) for d in dimensions])
 
 
 def histogram(scores: DataFrame, most: int) -> DataFrame:
@@ -54,8 +54,8 @@ def standard_error(scores: DataFrame, domain: str = "domain") -> DataFrame:
 
 
 def usage(rows: DataFrame, tokens: str) -> DataFrame:
-    """Tokens of a run; rows without a count are left out of mean and maximum but counted."""
-    t = F.col(tokens)
+    """Tokens of a run; rows without a count, or with 0, are left out of sum, mean and maximum and counted as missing."""
+    t = F.nullif(F.col(tokens), F.lit(0))
     return rows.agg(F.count(F.lit(1)).alias("rows"), F.sum(t).alias("total"), F.avg(t).alias("mean"), F.max(t).alias("most"), F.sum(t.isNull().cast("int")).alias("missing"))
 
 
@@ -65,9 +65,33 @@ def top_errors(errors: DataFrame, message: str, order: str, k: int, width: int =
     return errors.groupBy(head.alias("message")).agg(F.count(F.lit(1)).alias("n"), F.min(order).alias("first_seen")).orderBy(F.desc("n"), "first_seen").limit(k)
 
 
-def cost(rows: DataFrame, tokens_in: Column, tokens_out: Column, prices: DataFrame, key: str) -> DataFrame:
-    """Cost from a small price table; a status says why there is none."""
-    joined = rows.withColumns({"tokens_in": tokens_in, "tokens_out": tokens_out}).join(prices, key, "left")
-    value = (F.col("tokens_in") * F.col("price_in") + F.col("tokens_out") * F.col("price_out")) / 1e6
-    status = F.when(F.col("tokens_in").isNull() & F.col("tokens_out").isNull(), "unknown_no_usage").when(F.col("price_in").isNull(), "unknown_price").otherwise("estimated")
-    return joined.withColumn("cost_status", status).withColumn("estimated_cost", F.when(F.col("cost_status") == "estimated", value))
+def cost(rows: DataFrame, tokens_in: Column, tokens_out: Column, prices: DataFrame, key: str, usage: Column | None = None) -> DataFrame:
+    """Cost by a table of prices (``key``, ``price_in``, ``price_out`` a million tokens); ``cost_status`` says how it came about.
+
+    ``usage``: what is null where a row has no usage at all (by default: both counts are). The join's strategy is the
+    optimizer's, which knows the size of the price table.
+    """
+    named = prices.select(F.col(key).alias("_of"), "price_in", "price_out")
+    joined = rows.withColumns({"tokens_in": tokens_in, "tokens_out": tokens_out, "_used": (F.coalesce(tokens_in, tokens_out) if usage is None else usage).isNotNull()}).join(named, F.col(key) == F.col("_of"), "left")
+    status = (
+        F.when(F.col("_of").isNull(), "unknown_model")
+        .when(~F.col("_used"), "unknown_no_usage")
+        .when(F.col("tokens_in").isNull() | F.col("tokens_out").isNull(), "unknown_missing_token_fields")
+        .when(F.col("price_in").isNull() | F.col("price_out").isNull(), "estimated_missing_price_table")
+        .otherwise("estimated_from_usage")
+    )
+    value = F.col("tokens_in") / 1e6 * F.col("price_in") + F.col("tokens_out") / 1e6 * F.col("price_out")
+    return joined.withColumn("cost_status", status).withColumn("estimated_cost", F.when(F.col("cost_status") == "estimated_from_usage", value)).drop("_of", "_used")
+
+
+def domain_bars(scores: DataFrame, domain: str = "domain") -> DataFrame:
+    """What a bar chart of domains shows: mean, standard error, maximum and number, in ascending order of mean (``pos`` from 1)."""
+    s = F.col("score_total")
+    bars = scores.groupBy(domain).agg(F.avg(s).alias("mean"), (F.stddev_pop(s) / F.greatest(F.sqrt(F.count(s)), F.lit(1.0))).alias("stderr"), F.max(s).alias("most"), F.count(s).alias("n"))
+    return bars.withColumn("pos", F.row_number().over(Window.orderBy("mean", domain)))
+
+
+def dimension_bars(scores: DataFrame, dimensions: list[str], most: int = 2) -> DataFrame:
+    """Mean and percentage of each dimension, in ascending order of mean (``pos`` from 1)."""
+    bars = by_dimension(scores, dimensions).select("dimension", "mean", (F.col("mean") * 100 / most).alias("pct"))
+    return bars.withColumn("pos", F.row_number().over(Window.orderBy("mean", "dimension")))

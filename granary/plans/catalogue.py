@@ -1,553 +1,10 @@
-"""The queries by name, each with the SQL that an independent engine can run over the same tables."""
-
-from __future__ import annotations
-
-from pyspark.sql import functions as F
-
-from ..functions import edits as E
-from ..functions import text as T
-from ..operators import dedup, lines, runs, scoring, validation
-from ..sources import sinks
-from ..sources.tables import table
-
-QUERIES: dict = {}
-ORACLE_SQL: dict = {}
-
-
-def query(sql: str | None = None, name: str | None = None):
-    def add(f):
-        QUERIES[name or f.__name__] = f
-        if sql:
-            ORACLE_SQL[name or f.__name__] = sql
-        return f
-
-    return add
-
-
-# --- scores ---------------------------------------------------------------------------------------
-
-
-def _label_scores(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.col("lang").alias("domain"))
-    return scoring.scored(rows.join(table(spark, d, "labels"), "doc_id", "left"), ["quality", "toxic"], 2)
-
-
-def _line_scores(spark, d):
-    dims = {f"d{k}": F.pmod(F.col("l_partkey") + k, F.lit(3)).cast("int") for k in range(5)}
-    rows = table(spark, d, "lineitem").select(F.concat("l_returnflag", "l_linestatus").alias("domain"), *[c.alias(k) for k, c in dims.items()])
-    return scoring.scored(rows, list(dims), 10)
-
-
-_LABELS = "s AS (SELECT lang AS domain, quality, toxic, coalesce(quality, 0) + coalesce(toxic, 0) AS t FROM documents LEFT JOIN labels USING (doc_id))"
-_LINES = "s AS (SELECT *, d0 + d1 + d2 + d3 + d4 AS t FROM (SELECT l_returnflag || l_linestatus AS domain, " + ", ".join(f"(l_partkey + {k}) % 3 AS d{k}" for k in range(5)) + " FROM lineitem))"
-
-
-@query(f"WITH {_LABELS} SELECT domain, count(t) AS n, avg(t) AS mean, stddev_pop(t) AS std, min(t) AS lo, max(t) AS hi FROM s GROUP BY domain")
-def score_by_domain(spark, d):
-    return scoring.by_domain(_label_scores(spark, d))
-
-
-@query(f"WITH {_LABELS} SELECT count(t) AS n, avg(t) AS mean, quantile_cont(t, 0.5)::DOUBLE AS median, min(t) AS lo, max(t) AS hi FROM s")
-def score_overall(spark, d):
-    return scoring.overall(_label_scores(spark, d))
-
-
-@query(f"WITH {_LABELS}, u AS (SELECT 'quality' AS dimension, quality AS v FROM s UNION ALL SELECT 'toxic', toxic FROM s) SELECT dimension, count(v) AS n, avg(v) AS mean, count(*) - count(v) AS missing FROM u GROUP BY dimension")
-def score_by_dimension(spark, d):
-    return scoring.by_dimension(_label_scores(spark, d), ["quality", "toxic"])
-
-
-@query(f"WITH {_LINES} SELECT domain, " + ", ".join(f"avg(d{k}) AS d{k}" for k in range(5)) + " FROM s GROUP BY domain")
-def domain_dimension_matrix(spark, d):
-    return scoring.matrix(_line_scores(spark, d), [f"d{k}" for k in range(5)])
-
-
-@query(f"WITH {_LINES} SELECT b.bin, count(s.t) AS n FROM (SELECT unnest(range(0, 11))::INT AS bin) b LEFT JOIN s ON s.t = b.bin GROUP BY b.bin")
-def score_histogram_zero_filled(spark, d):
-    return scoring.histogram(_line_scores(spark, d), 10)
-
-
-@query(f"WITH {_LABELS} SELECT domain, round(stddev_pop(t) / greatest(sqrt(count(t)), 1.0), 9) AS stderr, count(t) AS n FROM s GROUP BY domain")
-def domain_standard_error(spark, d):
-    return scoring.standard_error(_label_scores(spark, d)).withColumn("stderr", F.round("stderr", 9))
-
-
-_TOKENS = "try_cast(json_extract_string(props, '$.k') AS BIGINT)"
-
-
-@query(f"SELECT count(*) AS rows, sum(k)::BIGINT AS total, avg(k) AS mean, max(k) AS most, count(*) - count(k) AS missing FROM (SELECT {_TOKENS} AS k FROM events)")
-def token_usage_stats(spark, d):
-    return scoring.usage(table(spark, d, "events").select(F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k")), "k")
-
-
-@query("SELECT substring(props, 1, 80) AS message, count(*) AS n, min(event_id) AS first_seen FROM events WHERE event_type = 'error' GROUP BY 1 ORDER BY n DESC, first_seen LIMIT 10")
-def error_summary_topk(spark, d):
-    return scoring.top_errors(table(spark, d, "events").filter("event_type = 'error'"), "props", "event_id", 10)
-
-
-@query("SELECT event_type AS status, count(*) AS n FROM events GROUP BY 1")
-def status_counts(spark, d):
-    return table(spark, d, "events").groupBy(F.col("event_type").alias("status")).agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"""WITH e AS (SELECT event_id, user_id % 30 AS n_nationkey, {_TOKENS} AS t FROM events), p AS (SELECT n_nationkey, CASE WHEN n_regionkey < 4 THEN n_regionkey + 1.0 END AS price FROM nation)
-SELECT event_id, CASE WHEN t IS NULL THEN 'unknown_no_usage' WHEN price IS NULL THEN 'unknown_price' ELSE 'estimated' END AS cost_status, CASE WHEN t IS NOT NULL AND price IS NOT NULL THEN (t * price + t * (price * 2)) / 1e6 END AS estimated_cost FROM e LEFT JOIN p USING (n_nationkey)""")
-def cost_estimate(spark, d):
-    price = F.when(F.col("n_regionkey") < 4, F.col("n_regionkey") + 1.0)
-    prices = F.broadcast(table(spark, d, "nation").select(F.col("n_nationkey").cast("long").alias("n_nationkey"), price.alias("price_in"), (price * 2).alias("price_out")))
-    t = F.expr("try_cast(get_json_object(props, '$.k') as bigint)")
-    rows = table(spark, d, "events").withColumn("n_nationkey", F.col("user_id") % 30)
-    return scoring.cost(rows, t, t, prices, "n_nationkey").select("event_id", "cost_status", "estimated_cost")
-
-
-# --- runs -----------------------------------------------------------------------------------------
-
-_PAIRS = """p AS (SELECT u.conv_id, u.turn, u.text AS prompt, a.text AS response, CASE WHEN u.text IS NULL OR trim(u.text) = '' THEN 'error_prompt' WHEN a.text IS NULL THEN 'error' WHEN trim(a.text) = '' THEN 'error_empty' ELSE 'ok' END AS status
-FROM conversations u LEFT JOIN (SELECT conv_id, turn - 1 AS turn, text FROM conversations WHERE role = 'assistant') a ON u.conv_id = a.conv_id AND u.turn = a.turn WHERE u.role = 'user')"""
-
-
-@query(f"WITH {_PAIRS} SELECT * FROM p")
-def prompt_response_pairs(spark, d):
-    return runs.pairs(table(spark, d, "conversations")).select("conv_id", "turn", "prompt", "response", "status")
-
-
-@query(f"WITH {_PAIRS} SELECT status, count(*) AS n FROM p GROUP BY status")
-def prompt_response_validity(spark, d):
-    return runs.pairs(table(spark, d, "conversations")).groupBy("status").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT doc_id, CASE WHEN length(text) > 1500 THEN substring(text, 1, 1000) || chr(10) || '[...]' || chr(10) || right(text, 500) ELSE text END AS text FROM documents")
-def head_tail_truncate(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.head_tail(F.col("text"), 1000, 500).alias("text"))
-
-
-@query("SELECT doc_id, n_chars FROM documents WHERE length(text) > 6000")
-def long_response_filter(spark, d):
-    return table(spark, d, "documents").filter(F.length("text") > 6000).select("doc_id", "n_chars")
-
-
-@query("SELECT doc_id FROM documents LEFT JOIN labels USING (doc_id) WHERE quality IS NULL")
-def rescore_null_set(spark, d):
-    return runs.missing(table(spark, d, "documents"), table(spark, d, "labels").filter("quality is not null"), "doc_id")
-
-
-@query("SELECT doc_id, CASE WHEN toxic = 1 THEN 0 ELSE quality END AS quality, toxic FROM labels")
-def upsert_replacements(spark, d):
-    labels = table(spark, d, "labels")
-    return runs.upsert(labels, labels.filter("toxic = 1").withColumn("quality", F.lit(0)), "doc_id")
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id NOT IN (SELECT doc_id FROM labels)")
-def requested_ids_missing(spark, d):
-    return runs.missing(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
-
-
-@query("SELECT doc_id FROM documents WHERE doc_id IN (SELECT doc_id FROM labels)")
-def requested_ids_present(spark, d):
-    return runs.present(table(spark, d, "documents"), table(spark, d, "labels"), "doc_id")
-
-
-@query("SELECT o_orderkey, coalesce(nullif(CASE WHEN o_orderstatus = 'F' THEN '' ELSE o_orderpriority END, ''), c_mktsegment, 'none') AS rubric FROM orders LEFT JOIN customer ON o_custkey = c_custkey")
-def rubric_backfill(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_custkey", F.when(F.col("o_orderstatus") == "F", "").otherwise(F.col("o_orderpriority")).alias("own"))
-    c = table(spark, d, "customer").select(F.col("c_custkey").alias("o_custkey"), "c_mktsegment")
-    return o.join(c, "o_custkey", "left").select("o_orderkey", F.coalesce(F.nullif(F.col("own"), F.lit("")), "c_mktsegment", F.lit("none")).alias("rubric"))
-
-
-@query("SELECT event_type, count(*) FILTER (value IS NULL OR value < 10) AS to_retry, count(*) AS n FROM events GROUP BY event_type")
-def retry_tally(spark, d):
-    return table(spark, d, "events").groupBy("event_type").agg(F.count_if(F.col("value").isNull() | (F.col("value") < 10)).alias("to_retry"), F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT DISTINCT user_id FROM events WHERE event_type = 'error' EXCEPT SELECT user_id FROM events WHERE event_type = 'purchase'")
-def failed_minus_ok(spark, d):
-    e = table(spark, d, "events")
-    return e.filter("event_type = 'error'").select("user_id").distinct().join(e.filter("event_type = 'purchase'").select("user_id"), "user_id", "left_anti")
-
-
-# --- duplicates and sources -----------------------------------------------------------------------
-
-
-@query("SELECT sha256(text) AS text_sha256, min(doc_id) AS canonical_id, count(*) AS n FROM documents GROUP BY 1 HAVING count(*) > 1")
-def text_hash_groups(spark, d):
-    return dedup.hash_groups(table(spark, d, "documents"), "doc_id", "text")
-
-
-_RESOLVED = """r AS (SELECT doc_id, min(doc_id) OVER w AS canonical_id, sha256(text) AS text_sha256, count(*) OVER w AS n FROM documents WINDOW w AS (PARTITION BY sha256(text)))"""
-
-
-@query(f"WITH {_RESOLVED} SELECT doc_id, canonical_id, text_sha256, CASE WHEN n = 1 THEN 'primary' WHEN doc_id = canonical_id THEN 'canonical' ELSE 'alias' END AS packet_role, doc_id <> canonical_id AS is_text_duplicate, CASE WHEN n > 1 THEN 'DUP_' || substring(text_sha256, 1, 12) ELSE '' END AS duplicate_group FROM r")
-def canonical_resolution(spark, d):
-    return dedup.resolve(table(spark, d, "documents"), "doc_id", "text")
-
-
-@query(f"WITH {_RESOLVED} SELECT CASE WHEN n = 1 THEN 'primary' WHEN doc_id = canonical_id THEN 'canonical' ELSE 'alias' END AS packet_role, count(*) AS n FROM r GROUP BY 1")
-def packet_roles(spark, d):
-    return dedup.resolve(table(spark, d, "documents"), "doc_id", "text").groupBy("packet_role").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query(f"WITH {_RESOLVED} SELECT count(*) AS records, count(DISTINCT text_sha256) AS texts, count(*) FILTER (doc_id <> canonical_id) AS aliases, 0::BIGINT AS broken FROM r")
-def dedup_validation(spark, d):
-    return dedup.validation(dedup.resolve(table(spark, d, "documents"), "doc_id", "text"), "doc_id")
-
-
-@query("SELECT source, count(*) AS n, count(*) > 1 AS several FROM documents GROUP BY source")
-def multi_file_flag(spark, d):
-    return table(spark, d, "documents").groupBy("source").agg(F.count(F.lit(1)).alias("n"), (F.count(F.lit(1)) > 1).alias("several"))
-
-
-@query("SELECT source, md5(string_agg(md5(text), chr(10) ORDER BY doc_id)) AS digest, sum(length(text))::BIGINT AS n_chars FROM documents GROUP BY source")
-def grouped_raw_text(spark, d):
-    """Texts of a source in order; only digests are gathered, so a hot source stays small."""
-    parts = F.array_sort(F.collect_list(F.struct("doc_id", F.md5("text").alias("h"))))
-    out = table(spark, d, "documents").groupBy("source").agg(parts.alias("p"), F.sum(F.length("text")).alias("n_chars"))
-    return out.select("source", F.md5(F.array_join(F.transform("p", lambda x: x["h"]), "\n")).alias("digest"), "n_chars")
-
-
-@query("SELECT source, arg_min(lang, doc_id) AS lang FROM documents GROUP BY source")
-def metadata_first_wins(spark, d):
-    return dedup.first_by(table(spark, d, "documents"), "source", "doc_id", "lang")
-
-
-@query("SELECT source, arg_max(lang, doc_id) AS lang FROM documents GROUP BY source")
-def metadata_last_wins(spark, d):
-    return dedup.first_by(table(spark, d, "documents"), "source", "doc_id", "lang", last=True)
-
-
-@query("SELECT count(DISTINCT source) AS sources, count(*) AS records, sum(n_chars)::BIGINT AS chars FROM documents")
-def group_totals(spark, d):
-    return table(spark, d, "documents").agg(F.countDistinct("source").alias("sources"), F.count(F.lit(1)).alias("records"), F.sum("n_chars").alias("chars"))
-
-
-@query("SELECT 'Core' AS family, c_custkey AS source_id, c_name AS title, c_mktsegment AS domain FROM customer UNION ALL SELECT 'Set', s_suppkey, s_name, NULL FROM supplier")
-def inventory_union_reshape(spark, d):
-    c = table(spark, d, "customer").select(F.lit("Core").alias("family"), F.col("c_custkey").alias("source_id"), F.col("c_name").alias("title"), F.col("c_mktsegment").alias("domain"))
-    s = table(spark, d, "supplier").select(F.lit("Set").alias("family"), F.col("s_suppkey").alias("source_id"), F.col("s_name").alias("title"))
-    return c.unionByName(s, allowMissingColumns=True)
-
-
-@query("SELECT doc_id, strlen(text) AS n_bytes FROM documents WHERE strlen(text) < 200")
-def small_outputs(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.octet_length("text").cast("long").alias("n_bytes")).filter("n_bytes < 200")
-
-
-# --- lines and text -------------------------------------------------------------------------------
-
-_SHORT = 20
-
-
-@query(r"SELECT doc_id, trim(regexp_replace(text, '[\s]+', ' ', 'g')) AS text FROM documents")
-def flatten_norm(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.flatten(F.col("text")).alias("text"))
-
-
-@query("SELECT doc_id, line, count(*) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) WHERE trim(line) <> '' GROUP BY 1, 2 HAVING count(*) >= 3")
-def repeated_noise_lines(spark, d):
-    return lines.repeated(table(spark, d, "documents"), "doc_id", "text", 3)
-
-
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-g AS (SELECT *, length(line) < {_SHORT} AS blank, coalesce(lag(length(line) < {_SHORT}) OVER (PARTITION BY doc_id ORDER BY pos), false) AS was FROM l)
-SELECT doc_id, string_agg(line, chr(10) ORDER BY pos) FILTER (NOT (blank AND was)) AS text FROM g GROUP BY doc_id""")
-def collapse_blank_runs(spark, d):
-    kept = lines.collapse(T.lines(F.col("text")), lambda x: F.length(x) < _SHORT)
-    return table(spark, d, "documents").select("doc_id", F.array_join(kept, "\n").alias("text"))
-
-
-@query(f"""WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10))))) AS pos FROM documents),
-g AS (SELECT *, length(line) < {_SHORT} AS blank, coalesce(lag(length(line) < {_SHORT}) OVER (PARTITION BY doc_id ORDER BY pos), true) AS was FROM l)
-SELECT doc_id, count(*) FILTER (NOT blank AND was)::INT AS blocks FROM g GROUP BY doc_id""")
-def block_segmentation(spark, d):
-    return table(spark, d, "documents").select("doc_id", lines.n_blocks(T.lines(F.col("text")), lambda x: F.length(x) < _SHORT).alias("blocks"))
-
-
-@query("""WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents), s AS (SELECT doc_id, ls, list_position(list_transform(ls, lambda x: regexp_matches(lower(x), 'licen[cs]e')), true) AS stop FROM l)
-SELECT doc_id, array_to_string(CASE WHEN stop IS NULL OR stop = 0 THEN ls ELSE ls[1:stop - 1] END, chr(10)) AS text FROM s""")
-def trim_at_stop_line(spark, d):
-    kept = lines.until(T.lines(F.col("text")), lambda x: F.lower(x).rlike("licen[cs]e"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(kept, "\n").alias("text"))
+"""The queries by name, each with the SQL that an independent engine can run over the same tables.
 
+They live by theme: ``scores`` (scores and runs), ``records`` (sources, packets, tables, corpus), ``cleaning`` (lines, blocks, Markdown),
+``webpages``, ``edits`` (sentences, rubrics, validators). Importing them registers them.
+"""
 
-_NOISE = "VALUES (1, 'Page 3 of 10'), (2, '-- 4 of 20 --'), (3, '[ page 7 ]'), (4, '12 | Title'), (5, '1234'), (6, 'plain line'), (7, 'Title | 9'), (8, ''), (9, '12345')"
-
-
-@query(rf"""WITH l(pos, line) AS ({_NOISE} UNION ALL SELECT * FROM (SELECT doc_id + 100, split_part(text, chr(10), 1) FROM documents))
-SELECT pos, (length(line) <= 20 AND regexp_matches(line, '(?i)^(?:[-–—\s]*)?(?:page\s*)?\d{{1,4}}(?:\s*(?:of|/)\s*\d{{1,4}})?(?:[-–—\s]*)?$')) OR regexp_matches(line, '(?i)^--\s*\d{{1,4}}\s+of\s+\d{{1,4}}\s*--$') OR regexp_matches(line, '(?i)^\[\s*page\s+\d{{1,4}}\s*\]$') OR (length(line) <= 180 AND regexp_matches(line, '^[\W_]*\d{{1,4}}\s*[|]\s*.*$|^.*[|]\s*\d{{1,4}}[\W_]*$')) AS noise FROM l""")
-def page_noise_filter(spark, d):
-    literal = spark.sql(f"SELECT cast(pos as bigint) AS pos, line FROM ({_NOISE}) AS t(pos, line)")
-    first = table(spark, d, "documents").select((F.col("doc_id") + 100).alias("pos"), F.substring_index("text", "\n", 1).alias("line"))
-    return literal.unionByName(first).select("pos", T.is_page_noise(F.col("line")).alias("noise"))
-
-
-_HEADS = "VALUES (1, '1. Intro'), (2, '2.3. Deep part'), (3, '1.2.3.4. Deepest'), (4, 'ALL CAPITALS'), (5, 'Plain text'), (6, '')"
-
-
-@query(rf"""WITH l(pos, line) AS ({_HEADS}) SELECT pos, CASE WHEN regexp_matches(line, '^(\d+(?:\.\d+)*)\.\s+(.+)$') THEN least(len(string_split(regexp_extract(line, '^(\d+(?:\.\d+)*)\.\s+(.+)$', 1), '.')) + 1, 4) WHEN upper(line) = line AND lower(line) <> line AND length(line) <= 80 THEN 2 ELSE 0 END::INT AS level FROM l""")
-def heading_level(spark, d):
-    return spark.sql(f"SELECT pos, line FROM ({_HEADS}) AS t(pos, line)").select("pos", T.heading_level(F.col("line")).alias("level"))
-
-
-@query("SELECT doc_id, count(*) FILTER (upper(line) = line AND lower(line) <> line) AS n FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line FROM documents) GROUP BY doc_id")
-def upper_lines(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.size(F.filter(T.lines(F.col("text")), T.is_upper)).cast("long").alias("n"))
-
-
-@query("""SELECT doc_id, pos, list_transform(string_split(line, '|'), lambda x: trim(x)) AS cells FROM (SELECT doc_id, unnest(string_split(text, chr(10))) AS line, unnest(range(len(string_split(text, chr(10)))))::INT AS pos FROM documents) WHERE length(line) - length(replace(line, '|', '')) >= 2""")
-def pipe_rows_to_cells(spark, d):
-    pipes = F.length("line") - F.length(F.replace(F.col("line"), F.lit("|"), F.lit("")))
-    return lines.numbered(table(spark, d, "documents"), "doc_id", "text").filter(pipes >= 2).select("doc_id", "pos", F.transform(F.split("line", r"\|"), lambda x: F.trim(x)).alias("cells"))
-
-
-@query("""SELECT doc_id, CASE WHEN length(trim(first)) BETWEEN 1 AND 120 THEN trim(first) ELSE 'Document ' || doc_id END AS title FROM (SELECT doc_id, split_part(text, chr(10), 1) AS first FROM documents)""")
-def infer_title(spark, d):
-    first = F.trim(F.substring_index("text", "\n", 1))
-    return table(spark, d, "documents").select("doc_id", F.when(F.length(first).between(1, 120), first).otherwise(F.concat(F.lit("Document "), "doc_id")).alias("title"))
-
-
-@query("""SELECT doc_id, len(list_filter(string_split_regex(regexp_replace(regexp_replace(line, '(?i)^\\s*distinguish(?:\\s+between)?\\s*', ''), '[ .]+$', ''), ';|,|\\band\\b|\\bи\\b'), lambda x: length(trim(x)) > 2))::INT AS parts FROM (SELECT doc_id, split_part(text, chr(10), 1) AS line FROM documents)""".replace("\\\\", "\\"))
-def count_distinctions(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.distinctions(F.substring_index("text", "\n", 1)).alias("parts"))
-
-
-_NUMBERS = r"list_sort(list_distinct(list_filter(list_transform(regexp_extract_all(text, '(\d+(?:[.,]\d+)?)', 1), lambda x: replace(x, ',', '.')), lambda x: length(regexp_replace(x, '[^0-9]', '', 'g')) >= 2)))"
-
-
-@query(f"SELECT doc_id, {_NUMBERS} AS numbers FROM documents")
-def numeric_tokens(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.numbers(F.col("text")).alias("numbers"))
-
-
-@query("SELECT item_id, list_sort(list_distinct(regexp_extract_all(lower(text), '([a-z]{4,})', 1))) AS terms FROM benchmark")
-def term_sets(spark, d):
-    return table(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("terms"))
-
-
-@query("""WITH a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS t FROM benchmark), p AS (SELECT x.item_id, x.t, y.t AS u FROM a x JOIN a y ON y.item_id = x.item_id + 1), c AS (SELECT item_id, len(list_intersect(t, u)) AS b, len(t) AS n, len(u) AS m FROM p)
-SELECT item_id, CASE WHEN n > 0 THEN b / n ELSE 0.0 END AS precision, CASE WHEN m > 0 THEN b / m ELSE 0.0 END AS recall, CASE WHEN n + m > 0 THEN 2.0 * b / (n + m) ELSE 0.0 END AS f1 FROM c""")
-def set_prf1(spark, d):
-    """An extension: precision, recall and F1 of an item's terms against the next item's."""
-    a = table(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("t"))
-    b = a.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u"))
-    both, n, m = F.size(F.array_intersect("t", "u")), F.size("t"), F.size("u")
-    ratio = lambda x, y: F.when(y > 0, x / y).otherwise(0.0)
-    return a.join(b, "item_id").select("item_id", ratio(both, n).alias("precision"), ratio(both, m).alias("recall"), ratio(2.0 * both, n + m).alias("f1"))
-
-
-@query(r"SELECT doc_id, regexp_matches(text, '(?i)\b(trap|trick|pitfall|beware|careful|caution|gotcha)\b') AS giveaway FROM documents")
-def giveaway_scan(spark, d):
-    return table(spark, d, "documents").select("doc_id", F.col("text").rlike(T.GIVEAWAY_EN).alias("giveaway"))
-
-
-_REPLIES = "VALUES (1, 'Coverage: 2\nAccuracy: 1'), (2, 'coverage 0\nCoverage (0-2): 2'), (3, 'Accuracy: 5'), (4, ''), (5, 'Coverage: 1\nCoverage: 2')"
-
-
-@query("SELECT * FROM (VALUES (1, 2, 1), (2, 0, NULL), (3, NULL, NULL), (4, NULL, NULL), (5, 2, NULL)) AS t(id, coverage, accuracy)")
-def parse_judge_output(spark, d):
-    rows = spark.sql(f"SELECT id, reply FROM ({_REPLIES}) AS t(id, reply)")
-    return rows.select("id", T.judge_score(F.col("reply"), "coverage").alias("coverage"), T.judge_score(F.col("reply"), "accuracy").alias("accuracy"))
-
-
-@query("SELECT id, CASE WHEN position(old IN s) > 0 AND old <> '' THEN substring(s, 1, position(old IN s) - 1) || new || substring(s, position(old IN s) + length(old)) ELSE s END AS text FROM (VALUES (1, 'a b a', 'a', 'x'), (2, 'abc', 'z', 'x'), (3, '', 'a', 'b'), (4, 'aa', '', 'b')) AS t(id, s, old, new)")
-def splice_first(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'a b a', 'a', 'x'), (2, 'abc', 'z', 'x'), (3, '', 'a', 'b'), (4, 'aa', '', 'b')) AS t(id, s, old, new)")
-    return rows.select("id", T.splice_first(F.col("s"), F.col("old"), F.col("new")).alias("text"))
-
-
-# --- pages ----------------------------------------------------------------------------------------
-
-
-@query(r"SELECT page_id, trim(regexp_replace(regexp_replace(regexp_replace(html, '(?s)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) AS text FROM pages")
-def html_visible_text(spark, d):
-    bare = F.regexp_replace("html", r"(?s)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>", " ")
-    return table(spark, d, "pages").select("page_id", T.flatten(F.regexp_replace(bare, "<[^>]*>", " ")).alias("text"))
-
-
-@query(r"SELECT page_id, regexp_extract(html, '(?s)<h1[^>]*>(.*?)</h1>', 1) AS title, coalesce(regexp_extract_all(html, '(?s)<p[^>]*>(.*?)</p>', 1)[1], '') AS lead FROM pages")
-def html_title_lead(spark, d):
-    lead = F.get(F.regexp_extract_all("html", F.lit(r"(?s)<p[^>]*>(.*?)</p>"), 1), F.lit(0))
-    return table(spark, d, "pages").select("page_id", F.regexp_extract("html", r"(?s)<h1[^>]*>(.*?)</h1>", 1).alias("title"), F.coalesce(lead, F.lit("")).alias("lead"))
-
-
-@query("SELECT link, count(*) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY link")
-def html_links_distinct(spark, d):
-    links = F.array_distinct(F.regexp_extract_all("html", F.lit('href="([^"]*)"'), 1))
-    return table(spark, d, "pages").select(F.explode(links).alias("link")).groupBy("link").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT page_id, regexp_replace(regexp_replace(url, '#.*$', ''), '^//', 'https://') AS url FROM pages UNION ALL SELECT -1, 'https://a.example/x'")
-def url_normalize(spark, d):
-    more = spark.sql("SELECT -1L AS page_id, '//a.example/x#y' AS url")
-    return table(spark, d, "pages").select("page_id", "url").unionByName(more).select("page_id", T.url_key(F.col("url")).alias("url"))
-
-
-@query("SELECT page_id, CASE WHEN url LIKE '%?%' THEN 'query' WHEN url LIKE '%#%' THEN 'fragment' WHEN contains(html, '<li') THEN 'list' ELSE 'article' END AS page_class FROM pages")
-def page_classify(spark, d):
-    kind = F.when(F.col("url").contains("?"), "query").when(F.col("url").contains("#"), "fragment").when(F.col("html").contains("<li"), "list").otherwise("article")
-    return table(spark, d, "pages").select("page_id", kind.alias("page_class"))
-
-
-# --- tasks, edits and tables ----------------------------------------------------------------------
-
-
-@query("SELECT p_partkey, regexp_replace(lower(regexp_replace(p_name, '[^A-Za-z0-9]+', '_', 'g')), '^_+|_+$', '', 'g') AS slug FROM part")
-def slug_ids(spark, d):
-    return table(spark, d, "part").select("p_partkey", T.slug(F.col("p_name")).alias("slug"))
-
-
-@query("SELECT p_partkey, split_part(p_type, ' ', 1) AS family, replace(concat('Core-batch', p_size, '-task', p_partkey), 'batch', '') AS task_key FROM part")
-def task_key_normalize(spark, d):
-    key = F.concat(F.lit("Core-batch"), "p_size", F.lit("-task"), "p_partkey")
-    return table(spark, d, "part").select("p_partkey", F.substring_index("p_type", " ", 1).alias("family"), F.replace(key, F.lit("batch"), F.lit("")).alias("task_key"))
-
-
-@query("SELECT o_orderkey, o_orderpriority FROM orders WHERE lower(o_orderstatus) = 'o' ORDER BY o_orderkey LIMIT 25")
-def domain_filter_limit(spark, d):
-    return table(spark, d, "orders").filter(F.lower("o_orderstatus") == "o").select("o_orderkey", "o_orderpriority").orderBy("o_orderkey").limit(25)
-
-
-def _edited(spark, d):
-    o = table(spark, d, "orders").select("o_orderkey", "o_orderstatus", "o_orderpriority")
-    updates = o.filter("o_orderkey % 7 = 0").select("o_orderkey", F.create_map(F.lit("o_orderpriority"), F.lit("edited"), F.lit("o_orderstatus"), F.when(F.col("o_orderkey") % 14 == 0, "X")).alias("updates"))
-    return o, sinks.merge_updates(o, updates, "o_orderkey", ["o_orderpriority", "o_orderstatus"])
-
-
-_EDITED = "e AS (SELECT o_orderkey, o_orderstatus AS s0, o_orderpriority AS p0, CASE WHEN o_orderkey % 14 = 0 THEN 'X' ELSE o_orderstatus END AS s1, CASE WHEN o_orderkey % 7 = 0 THEN 'edited' ELSE o_orderpriority END AS p1 FROM orders)"
-
-
-@query(f"WITH {_EDITED} SELECT o_orderkey, s1 AS o_orderstatus, p1 AS o_orderpriority FROM e")
-def merge_cell_updates(spark, d):
-    return _edited(spark, d)[1]
-
-
-@query(f"WITH {_EDITED} SELECT o_orderkey, 'o_orderstatus' AS column_name, s0 AS old, s1 AS new FROM e WHERE s0 IS DISTINCT FROM s1 UNION ALL SELECT o_orderkey, 'o_orderpriority', p0, p1 FROM e WHERE p0 IS DISTINCT FROM p1")
-def workbook_diff(spark, d):
-    a, b = _edited(spark, d)
-    return runs.diff(a, b, "o_orderkey", ["o_orderstatus", "o_orderpriority"])
-
-
-@query(f"WITH {_EDITED} SELECT 'o_orderstatus' AS column_name, count(*) AS n FROM e WHERE s0 IS DISTINCT FROM s1 UNION ALL SELECT 'o_orderpriority', count(*) FROM e WHERE p0 IS DISTINCT FROM p1")
-def column_change_counts(spark, d):
-    a, b = _edited(spark, d)
-    return runs.diff(a, b, "o_orderkey", ["o_orderstatus", "o_orderpriority"]).groupBy("column_name").agg(F.count(F.lit(1)).alias("n"))
-
-
-@query("SELECT o_custkey, o_orderkey, lag(o_orderstatus) OVER w IS DISTINCT FROM o_orderstatus AS new_caption, row_number() OVER w AS pos FROM orders WINDOW w AS (PARTITION BY o_custkey ORDER BY o_orderdate, o_orderkey)")
-def caption_change_headers(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("o_custkey").orderBy("o_orderdate", "o_orderkey")
-    return table(spark, d, "orders").select("o_custkey", "o_orderkey", (~F.lag("o_orderstatus").over(w).eqNullSafe(F.col("o_orderstatus"))).alias("new_caption"), F.row_number().over(w).cast("long").alias("pos"))
-
-
-@query(f"SELECT event_id, {_TOKENS} AS k, try_cast(json_extract_string(props, '$.none') AS BIGINT) AS none FROM events")
-def json_unwrap_usage(spark, d):
-    return table(spark, d, "events").select("event_id", F.expr("try_cast(get_json_object(props, '$.k') as bigint)").alias("k"), F.expr("try_cast(get_json_object(props, '$.none') as bigint)").alias("none"))
-
-
-# --- sentences, rubrics and edits ------------------------------------------------------------------
-
-
-@query("SELECT doc_id, regexp_replace(text, '[^.\\s][^.]*(?:licen)[^.]*\\.\\s*', '') AS text FROM documents")
-def strip_sentence(spark, d):
-    """The first sentence that holds a token is removed."""
-    return table(spark, d, "documents").select("doc_id", E.drop_sentence(F.col("text"), r"[^.\s][^.]*(?:licen)[^.]*\.\s*").alias("text"))
-
-
-@query("SELECT * FROM (VALUES (1, 'Find x. Distinguish a from b. Return: list'), (2, 'Find. Distinguish a and b.'), (3, 'none')) AS t(id, prompt)")
-def neutralise_prompt(spark, d):
-    rows = spark.sql("SELECT * FROM (VALUES (1, 'Find x. Boundary trap: distinguish a from b. Return: list'), (2, 'Find. Distinguish a and b.'), (3, 'none')) AS t(id, prompt)")
-    return rows.select("id", E.neutral_en(F.col("prompt")).alias("prompt"))
-
-
-@query("SELECT item_id, true AS same, 5 AS blocks FROM benchmark")
-def rubric_parse_roundtrip(spark, d):
-    """Cells made of benchmark texts (without their asterisks) come back character for character."""
-    body = F.replace(F.col("text"), F.lit("*"), F.lit(""))
-    cell = F.concat(*[F.concat(F.lit(f"**Part {k}**\n- 2: "), body, F.lit("\n- 1: b\n- 0: c\n\n")) for k in range(5)])
-    rows = table(spark, d, "benchmark").select("item_id", cell.alias("cell"))
-    none = F.create_map().cast("map<string,string>")
-    return rows.select("item_id", (E.compose(F.col("cell"), none) == F.col("cell")).alias("same"), F.size(E.rubric(F.col("cell"))["blocks"]).alias("blocks"))
-
-
-@query("SELECT parts, count(*) AS n FROM (" + ORACLE_SQL["count_distinctions"] + ") GROUP BY parts")
-def distinction_frequency(spark, d):
-    return count_distinctions(spark, d).groupBy("parts").agg(F.count(F.lit(1)).alias("n"))
-
-
-_NEXT = """WITH a AS (SELECT item_id, list_distinct(regexp_extract_all(lower(text), '([a-z]{4,})', 1)) AS t FROM benchmark), p AS (SELECT x.item_id, x.t, y.t AS u FROM a x JOIN a y ON y.item_id = x.item_id + 1), c AS (SELECT item_id, t, u, len(list_filter(t, lambda x: NOT list_contains(u, x)))::INT AS dropped, len(list_filter(u, lambda x: NOT list_contains(t, x)))::INT AS added FROM p)"""
-
-
-def _next_terms(spark, d):
-    a = table(spark, d, "benchmark").select("item_id", T.terms(F.col("text")).alias("t"))
-    both = a.join(a.select((F.col("item_id") - 1).alias("item_id"), F.col("t").alias("u")), "item_id")
-    return both.withColumns({"dropped": F.size(F.array_except("t", "u")), "added": F.size(F.array_except("u", "t"))})
-
-
-@query(f"{_NEXT} SELECT item_id, dropped, dropped > greatest(3, len(t) // 3) AS flagged FROM c")
-def term_sets_diff(spark, d):
-    return _next_terms(spark, d).select("item_id", "dropped", (F.col("dropped") > F.greatest(F.lit(3), F.floor(F.size("t") / 3))).alias("flagged"))
-
-
-@query(f"{_NEXT} SELECT item_id, added = 0 AND len(u) > 0 AS subset FROM c")
-def subset_rule(spark, d):
-    return _next_terms(spark, d).select("item_id", ((F.col("added") == 0) & (F.size("u") > 0)).alias("subset"))
-
-
-@query(f"WITH n AS (SELECT doc_id, {_NUMBERS} AS numbers FROM documents) SELECT a.doc_id, list_sort(list_intersect(a.numbers, b.numbers)) AS shared FROM n a JOIN n b ON b.doc_id = a.doc_id + 1")
-def numeric_tokens_overlap(spark, d):
-    a = table(spark, d, "documents").select("doc_id", T.numbers(F.col("text")).alias("numbers"))
-    b = a.select((F.col("doc_id") - 1).alias("doc_id"), F.col("numbers").alias("other"))
-    return a.join(b, "doc_id").select("doc_id", F.array_sort(F.array_intersect("numbers", "other")).alias("shared"))
-
-
-@query("SELECT item_id, CASE WHEN item_id % 5 = 0 THEN 'absent' WHEN item_id % 3 = 0 THEN 'mismatched' ELSE 'matched' END AS state FROM benchmark")
-def prompt_reconcile(spark, d):
-    """Stored prompts against rebuilt ones, by normalized key."""
-    now = table(spark, d, "benchmark").select("item_id", F.concat(F.lit("Core-"), "item_id").alias("key"), "text")
-    then = now.filter("item_id % 5 <> 0").select(F.replace(F.replace(F.col("key"), F.lit("Core-"), F.lit("Core-batch")), F.lit("batch"), F.lit("")).alias("key"), F.when(F.col("item_id") % 3 == 0, F.concat("text", F.lit("!"))).otherwise(F.col("text")).alias("stored"))
-    state = F.when(F.col("stored").isNull(), "absent").when(F.col("stored") == F.col("text"), "matched").otherwise("mismatched")
-    return now.join(then, "key", "left").select("item_id", state.alias("state"))
-
-
-@query("SELECT id, severity FROM (VALUES (1, 'ok'), (2, 'reject'), (3, 'flag')) AS t(id, severity)")
-def validate_edit(spark, d):
-    sentence = "Distinguish stocks from flows, gross from net and nominal figures."
-    rows = spark.sql(f"""SELECT id, new_trap_sentence, 'nominal figures' AS new_trap_dimension, 'rule' AS internal_source_boundary_rule, 'Exclude answers that mix.' AS boundary_notes, array('one', other) AS optional_distractors,
-    map('coverage', '- 2: a - 1: b - 0: c') AS rubric_updates, false AS needs_human_review, 'distinguish stocks from flows' AS existing_trap_body, 1 AS existing_distinctions, array('gold 1') AS gold_values, map('coverage', 'x') AS rubric_blocks
-    FROM (VALUES (1, '{sentence}', 'two'), (2, '{sentence}', 'the gold 1'), (3, 'Distinguish stocks from flows.', 'two')) AS t(id, new_trap_sentence, other)""")
-    return validation.check_edits(rows).select("id", "severity")
-
-
-@query("SELECT doc_id, regexp_replace(replace(replace(text, chr(13) || chr(10), chr(10)), chr(13), chr(10)), '([A-Za-z0-9_])-\\n([A-Za-z0-9_])', '\\1\\2', 'g') AS text FROM documents")
-def hyphen_repair(spark, d):
-    return table(spark, d, "documents").select("doc_id", T.join_hyphens(F.col("text")).alias("text"))
-
-
-@query("SELECT l_orderkey, l_linenumber, row_number() OVER (PARTITION BY l_orderkey ORDER BY l_shipdate, l_linenumber) AS pos FROM lineitem")
-def ordered_positions(spark, d):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_shipdate", "l_linenumber")
-    return table(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.row_number().over(w).cast("long").alias("pos"))
-
-
-@query("SELECT p_partkey, replace(p_name || '|' || p_type, '|', '\\|') AS cell FROM part")
-def cell_escape(spark, d):
-    return table(spark, d, "part").select("p_partkey", F.replace(F.concat("p_name", F.lit("|"), "p_type"), F.lit("|"), F.lit("\\|")).alias("cell"))
-
-
-@query("WITH l AS (SELECT doc_id, string_split(text, chr(10)) AS ls FROM documents) SELECT doc_id, array_to_string(ls[1:20], chr(10)) AS text, greatest(len(ls) - 20, 0)::INT AS overflow FROM l")
-def line_caps_overflow(spark, d):
-    ls = T.lines(F.col("text"))
-    return table(spark, d, "documents").select("doc_id", F.array_join(F.slice(ls, 1, 20), "\n").alias("text"), F.greatest(F.size(ls) - 20, F.lit(0)).alias("overflow"))
-
-
-@query("SELECT event_id FROM events WHERE event_type LIKE 'error%' OR value IS NULL")
-def retry_candidates(spark, d):
-    return table(spark, d, "events").filter(F.col("event_type").startswith("error") | F.col("value").isNull()).select("event_id")
-
+from __future__ import annotations
 
-@query("SELECT doc_id, CASE WHEN quality IS NULL THEN 'null' WHEN length(text) > 3000 THEN 'long' ELSE 'skip' END AS mode FROM documents LEFT JOIN labels USING (doc_id)")
-def rescore_modes(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", F.length("text").alias("n")).join(table(spark, d, "labels"), "doc_id", "left")
-    return rows.select("doc_id", F.when(F.col("quality").isNull(), "null").when(F.col("n") > 3000, "long").otherwise("skip").alias("mode"))
+from . import cleaning, edits, records, scores, webpages  # noqa: F401
+from .base import ORACLE_SQL, QUERIES  # noqa: F401

@@ -53,3 +53,9 @@ def decode(content: Column) -> Column:
     """Text of bytes: UTF-8 without a byte-order mark if it is valid, else ISO 8859-1."""
     as_utf8 = F.try_validate_utf8(content.cast("string"))
     return F.coalesce(F.regexp_replace(as_utf8, "^﻿", ""), F.decode(content, "ISO-8859-1"))
+
+
+def read_texts(spark: SparkSession, path: str) -> DataFrame:
+    """``path``, ``text`` of whole text files; bytes that are no UTF-8 become replacement characters."""
+    files = spark.read.format("binaryFile").load(path)
+    return files.select("path", F.make_valid_utf8(F.col("content").cast("string")).alias("text"))

@@ -1,6 +1,8 @@
+import pytest
 from pyspark.sql import functions as F
 
 from granary.functions import edits as E
+from granary.functions import text as T
 from granary.operators import updates, validation
 
 CELL = "".join(f"**Head {k}**\n- 2: x **gold {k}** y\n- 1: z\n- 0: w\n\n" for k in range(5))
@@ -33,57 +35,42 @@ def test_sentences(spark):
 
 
 def test_gates(spark):
-    rows = spark.createDataFrame([(PROMPT, PROMPT_RU), ("It is a trick.", "нет")], "p string, r string")
+    rows = spark.createDataFrame([(PROMPT, PROMPT_RU), (PROMPT.replace("Find x", "A trick"), PROMPT_RU), ("Find a trick. Distinguish a and b.", "Различайте а и б."), ("It is a trick.", "нет")], "p string, r string")
     once = validation.neutralise(rows, "p", "r")
-    assert [r.residual for r in once.collect()] == [False, True]
-    assert validation.neutralise(once.drop("residual"), "p", "r").collect() == once.collect()
-    rows = spark.createDataFrame([("A. Use `source_scope` only. B.",), ("x source_scope a. y source_scope b.",), ("plain",)], "p string")
-    assert [tuple(r) for r in validation.strip_scope(rows, "p").collect()] == [("A. B.", False), ("y source_scope b.", True), ("plain", False)]
-
-
-EDIT = "new_trap_sentence string, new_trap_dimension string, internal_source_boundary_rule string, boundary_notes string, optional_distractors array<string>, rubric_updates map<string,string>, needs_human_review boolean"
-GOOD = ("Distinguish stocks from flows, gross from net and nominal figures.", "nominal figures", "rule", "Exclude answers that mix.", ["flow 7", "other"], {"accuracy": BODY}, False)
-
-
-def _judged(spark, rows):
-    schema = EDIT + ", existing_trap_body string, existing_distinctions int, gold_values array<string>, rubric_blocks map<string,string>"
-    tail = ("distinguish stocks from flows", 1, ["gold 1"], {"accuracy": "- 2: **Gold  1**", "coverage": "x"})
-    df = spark.createDataFrame([r + tail for r in rows], schema)
-    return [(r.severity, r.issues) for r in validation.check_edits(df).collect()]
-
-
-def test_check_edits(spark):
-    changed = lambda **k: tuple(k.get(n.split()[0], v) for n, v in zip(EDIT.split(", "), GOOD))
-    cases = [
-        (GOOD, "ok", []),
-        (changed(boundary_notes=" "), "reject", ["[reject] missing boundary_notes"]),
-        (changed(new_trap_sentence="Distinguish stocks from flows."), "flag", ["[flag] as many distinctions"]),
-        (changed(new_trap_sentence="Beware: stocks, flows and net"), "reject", ["[reject] sentence start", "[flag] sentence end", "[reject] giveaway"]),
-        (changed(optional_distractors=["the gold 1 bar", "b"]), "reject", ["[reject] gold value in a distractor"]),
-        (changed(optional_distractors=["gold 12", "b"]), "ok", []),
-        (changed(optional_distractors=["one"]), "flag", ["[flag] number of distractors"]),
-        (changed(new_trap_dimension="stocks"), "reject", ["[reject] dimension not new"]),
-        (changed(rubric_updates={}), "flag", ["[flag] no rubric update"]),
-        (changed(rubric_updates={"style": BODY}), "reject", ["[reject] unknown dimension"]),
-        (changed(rubric_updates={"coverage": "- 2: a - 0: b"}), "reject", ["[reject] rubric levels"]),
-        (changed(rubric_updates={"accuracy": BODY.replace("gold 1", "gold 2")}), "reject", ["[reject] gold value changed"]),
-        (changed(needs_human_review=True), "flag", ["[flag] review asked for"]),
-    ]
-    assert _judged(spark, [c[0] for c in cases]) == [(s, i) for _, s, i in cases]
-
-
-def test_check_translations(spark):
-    schema = EDIT.replace(", needs_human_review boolean", "") + ", new_trap_sentence_ru string, boundary_notes_ru string, optional_distractors_ru array<string>, rubric_updates_ru map<string,string>, " + ", ".join(f"new_{n}{e} array<string>" for n in ("common_failure_modes", "borderline_cases") for e in ("", "_ru"))
-    en = GOOD[:4] + (["0.293", "b"], {"accuracy": BODY})
-    lists = (["a"], ["а"], None, None)
-    rows = [
-        en + ("Различайте запасы и потоки, валовые и чистые.", "Исключайте.", ["0,293", "б"], {"accuracy": BODY}) + lists,
-        en + ("", "Исключайте.", [], {}) + lists,
-        en + ("Осторожно: запасы", "", ["0,294"], {"coverage": "- 2: a"}) + lists,
-    ]
-    got = [(r.severity, r.issues) for r in validation.check_translations(spark.createDataFrame(rows, schema)).collect()]
-    assert got[0] == ("ok", []) and got[1] == ("reject", ["[reject] missing new_trap_sentence_ru"])
-    assert got[2][0] == "reject" and {"[reject] sentence start", "[reject] giveaway", "[reject] no boundary_notes_ru", "[flag] fewer distinctions", "[reject] length of optional_distractors", "[flag] numbers lost", "[reject] dimensions not in the original", "[reject] rubric levels"} == set(got[2][1])
+    assert [(r.state, r.residual) for r in once.collect()] == [("changed", False), ("changed", True), ("neutral", False), ("unparsed", False)]
+    again = validation.neutralise(once.drop("residual", "state"), "p", "r")
+    assert [(r.p, r.r) for r in again.collect()] == [(r.p, r.r) for r in once.collect()]
+    with pytest.raises(ValueError):
+        validation.gate(once)
+    assert validation.gate(once.filter("not residual")).count() == 3
+    texts = ["A. Use `source_scope` only. B.", "x source_scope a. y source_scope b.", "plain", "source_scope at the start. Then use source_scope here.\n\nEnd", "  kept\n\n see source_scope.  tail ", "no stop source_scope", "x.source_scope y source_scope z.w"]
+    rows = spark.createDataFrame([(t,) for t in texts], "p string")
+    import re
+
+    def by_pattern(t):
+        m = re.search(T.SCOPE, t)
+        return t if not m else (t[: m.start()] + t[m.end() :]).strip()
+
+    got = validation.strip_scope(rows, "p").collect()
+    assert [r.p for r in got] == [by_pattern(t) for t in texts]
+    assert [(r.changed, r.residual) for r in got] == [(by_pattern(t) != t, "source_scope" in by_pattern(t)) for t in texts]
+
+
+def test_quoting(spark):
+    texts = ["plain", "it's", 'both \' and "', "a\\b\nc\td", ""]
+    rows = spark.createDataFrame([(t,) for t in texts], "t string")
+    assert [r.q for r in rows.select(E.quoted(F.col("t")).alias("q")).collect()] == [repr(t) for t in texts]
+    assert rows.agg(E.listed(F.array(F.lit("a"), F.lit("b"))).alias("l")).first().l == "['a', 'b']"
+
+
+def test_must_have(spark):
+    rows = spark.createDataFrame([("a b", "b", "x")], "t string, o string, n string")
+    assert rows.select(T.must_splice(F.col("t"), F.col("o"), F.col("n")).alias("x")).first().x == "a x"
+    with pytest.raises(Exception, match="not found in prompt"):
+        rows.select(T.must_splice(F.col("t"), F.lit("z"), F.col("n"))).collect()
+    assert spark.createDataFrame([(CELL,)], "c string").select(E.must_have_bodies(F.col("c"))["coverage"]).first()[0].startswith("- 2: x **gold 0**")
+    with pytest.raises(Exception, match="expected 5 rubric blocks, found 0"):
+        rows.select(E.must_have_bodies(F.col("t"))).collect()
 
 
 def test_updates(spark):
