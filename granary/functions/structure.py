@@ -72,9 +72,10 @@ def repeated_noise(lines: Column, profile: Profile) -> Column:
 
 def is_navigation(line: Column) -> Column:
     """A line of a wiki page's frame."""
-    s = T.strip(line)
-    low = F.lower(s)
-    return (s != "") & (F.length(s) <= 80) & (low.isin(NAVIGATION) | (low.startswith("toggle ") & low.contains("contents")) | low.rlike("^(edit|talk|read|view|hide|show)$"))
+    def of(low: Column) -> Column:
+        return low.isin(NAVIGATION) | (low.startswith("toggle ") & low.contains("contents")) | low.rlike("^(edit|talk|read|view|hide|show)$")
+
+    return _bind(T.strip(line), lambda s: F.when(F.length(s).between(1, 80), _bind(F.lower(s), of)).otherwise(False))
 
 
 def collapse(lines: Column, blank=lambda x: x == "") -> Column:
@@ -89,8 +90,12 @@ def until(lines: Column, stop) -> Column:
 
 
 def trim_tail(lines: Column) -> Column:
-    """Lines before the first closing section of a wiki page."""
-    return until(lines, lambda x: _bind(F.lower(T.squeeze(x)), lambda n: n.isin(STOP_HEADINGS) | n.startswith("category:")))
+    """Lines before the first closing section of a wiki page. Of a long line only the start can matter."""
+    def stop(line: Column) -> Column:
+        start = lambda x: F.lower(T.squeeze(F.left(T.strip(x), F.lit(64))))
+        return _bind(start(line), lambda n: n.startswith("category:") | ((F.length(line) <= 64) & n.isin(STOP_HEADINGS)))
+
+    return until(lines, stop)
 
 
 def strip_license(lines: Column) -> Column:
@@ -111,20 +116,22 @@ def clean_ns(raw: Column, is_set: Column) -> Column:
     """(lines, notes): hyphens joined, lines squeezed, repeated lines, page marks and (sets) navigation taken out, blank runs as one."""
     def of_lines(lines: Column) -> Column:
         def of_noise(noise: Column) -> Column:
-            full = F.filter(lines, lambda x: (x != "") & ~F.array_contains(noise, x))
-            page = lambda x: T.is_page_noise(x)
-            nav = lambda x: is_set & is_navigation(x)
-            kept = F.filter(lines, lambda x: (x == "") | ~(F.array_contains(noise, x) | page(x) | nav(x) | (is_set & F.lower(x).startswith("retrieved from "))))
-            pages = F.size(F.filter(full, page))
-            navs = F.size(F.filter(full, lambda x: ~page(x) & nav(x)))
-            said = lambda n, before, after: F.when(n > 0, F.concat(F.lit(before), n.cast("string"), F.lit(after)))
-            notes = F.array(
-                F.when(raw.rlike(r"(?U)\w-\n\w"), F.lit("Merged hyphenation line-break artifacts.")),
-                said(F.size(noise), "Removed ", " repeated footer/copyright/header lines."),
-                said(pages, "Removed ", " page-number or footer markers."),
-                said(navs, "Removed ", " navigation/UI lines (Set/HTML sources)."),
-            )
-            return F.struct(_bind(kept, lambda k: collapse(k)).alias("lines"), F.array_compact(notes).alias("notes"))
+            # each line is judged once: 0 stays, 1 repeated, 2 page mark, 3 navigation, 4 a page's address
+            kind = lambda x: F.when(x == "", 0).when(F.array_contains(noise, x), 1).when(T.is_page_noise(x), 2).when(is_set & is_navigation(x), 3).when(is_set & F.lower(x).startswith("retrieved from "), 4).otherwise(0)
+
+            def of_kinds(kinds: Column) -> Column:
+                kept = F.filter(lines, lambda x, i: F.get(kinds, i) == 0)
+                count = lambda k: F.size(F.filter(kinds, lambda x: x == k))
+                said = lambda n, before, after: F.when(n > 0, F.concat(F.lit(before), n.cast("string"), F.lit(after)))
+                notes = F.array(
+                    F.when(F.contains(raw, F.lit("-\n")) & raw.rlike(r"(?U)\w-\n\w"), F.lit("Merged hyphenation line-break artifacts.")),
+                    said(F.size(noise), "Removed ", " repeated footer/copyright/header lines."),
+                    said(count(2), "Removed ", " page-number or footer markers."),
+                    said(count(3), "Removed ", " navigation/UI lines (Set/HTML sources)."),
+                )
+                return F.struct(_bind(kept, lambda k: collapse(k)).alias("lines"), F.array_compact(notes).alias("notes"))
+
+            return _bind(F.transform(lines, kind), of_kinds)
 
         return _bind(repeated_noise(lines, NS), of_noise)
 
@@ -156,18 +163,18 @@ def blocks(lines: Column) -> Column:
 def paragraphs(lines: Column) -> Column:
     """Blocks apart by a blank line: tables and headings keep their lines, others become one line."""
     def render(b: Column) -> Column:
-        heads = F.forall(F.slice(b, 1, 2), T.looks_like_heading) & (F.size(b) <= 3)
-        return F.when(F.exists(b, T.looks_like_table_line) | heads, F.array_join(b, "\n")).otherwise(F.array_join(b, " "))
+        heads = (F.size(b) <= 3) & F.forall(F.slice(b, 1, 2), T.looks_like_heading)
+        return F.when((F.size(b) == 1) | heads | F.exists(b, T.looks_like_table_line), F.array_join(b, "\n")).otherwise(F.array_join(b, " "))
 
-    return F.array_join(F.transform(blocks(lines), render), "\n\n")
+    return F.array_join(F.transform(_bind(lines, blocks), render), "\n\n")
 
 
 def is_table(block: Column) -> Column:
     n = F.size(block)
     count = lambda f: F.size(F.filter(block, f))
-    tabs, pipes = count(lambda x: x.contains("\t")), count(lambda x: T.n_pipes(x) >= 2)
+    tabs, pipes = count(lambda x: x.contains("\t")), count(lambda x: x.contains("|") & (T.n_pipes(x) >= 2))
     gaps = count(lambda x: T.wide_gaps(x) >= 2)
-    return (n >= 2) & ((tabs >= 2) | (gaps >= F.greatest(F.lit(2), F.floor(n / 2))) | (pipes >= 2))
+    return (n >= 2) & ((tabs >= 2) | (pipes >= 2) | (gaps >= F.greatest(F.lit(2), F.floor(n / 2))))
 
 
 def escape(cell: Column) -> Column:
@@ -228,7 +235,7 @@ def markdown(lines: Column, title: Column) -> Column:
         return some.otherwise(body(b))
 
     first = F.array(F.concat(F.lit("# "), F.coalesce(F.nullif(title, F.lit("")), F.lit("Untitled Source"))))
-    return T.strip(F.array_join(F.concat(first, F.flatten(F.transform(blocks(F.transform(lines, lambda x: F.when(T.strip(x) == "", "").otherwise(x))), whole))), "\n"))
+    return T.strip(F.array_join(F.concat(first, F.flatten(F.transform(_bind(F.transform(lines, lambda x: F.when(T.strip(x) == "", "").otherwise(x)), blocks), whole))), "\n"))
 
 
 # --- fragments and titles -------------------------------------------------------------------------------
@@ -237,7 +244,7 @@ def markdown(lines: Column, title: Column) -> Column:
 def fragments(text: Column) -> Column:
     """(label, body) of the parts of a combined text, each under a ``===== FILE: label =====`` line; what is before the first is "main"."""
     def of(lines: Column) -> Column:
-        label = lambda x: F.regexp_extract(T.strip(x), FILE_HEADER, 1)
+        label = lambda x: F.when(x.contains("===== FILE:"), F.regexp_extract(T.strip(x), FILE_HEADER, 1)).otherwise("")
         heads = F.filter(F.transform(lines, lambda x, i: F.when(label(x) != "", i)), lambda i: i.isNotNull())
         starts = F.concat(F.array(F.lit(-1)), heads)
         ends = F.concat(heads, F.array(F.size(lines)))

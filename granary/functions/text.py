@@ -20,8 +20,16 @@ GIVEAWAY_EN = r"(?i)\b(trap|trick|pitfall|beware|careful|caution|gotcha)\b"
 GIVEAWAY_RU = r"(?i)ловушк|подвох|ошибочн|осторожн"
 SCOPE = r"[^.\s][^.]*`?source_scope`?[^.]*\.\s*"
 
-#: Inside of a character class: what Python's ``str.strip`` and ``\s`` take for white space.
-SPACE = r"\t-\r\x1c-\x20\x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000"
+#: Inside of a character class: what Python's ``str.strip`` and ``\s`` take for white space. Latin-1 ones stand alone and the others
+#: behind one range, as the matcher tests a bit for those and a range for these.
+SPACE = r"\t\n\x0b\f\r\x1c\x1d\x1e\x1f \x85\xa0[\u1680-\u3000&&[\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]]"
+#: The same characters.
+SPACES = "\t\n\x0b\x0c\r\x1c\x1d\x1e\x1f \x85\u00a0\u1680" + "".join(map(chr, range(0x2000, 0x200B))) + "\u2028\u2029\u202f\u205f\u3000"
+#: A run of white space that is not one plain space.
+_WIDE = rf"(?:[{SPACE.replace(' ', '', 1)}]| (?=[{SPACE}]))[{SPACE}]*"
+#: A run of blanks (spaces, tabs, no-break spaces) that is not one plain space.
+_BLANKS = r"(?:[\t\u00a0]| (?=[ \t\u00a0]))[ \t\u00a0]*"
+OTHER_END = r"[\r\x0b\x0c\x1c\x1d\x1e\x85\u2028\u2029]"
 LINE_END = r"\r\n|[\n\r\x0b\x0c\x1c-\x1e\x85\u2028\u2029]"
 
 
@@ -31,32 +39,34 @@ def bind(value: Column, f) -> Column:
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, f"^[{SPACE}]+|[{SPACE}]+$", "")
+    return F.trim(c, F.lit(SPACES))
 
 
 def flatten(c: Column) -> Column:
     """Runs of white space as one space, ends stripped."""
-    return F.trim(F.regexp_replace(c, f"[{SPACE}]+", " "))
+    return F.trim(F.regexp_replace(c, _WIDE, " "))
 
 
 def squeeze(c: Column) -> Column:
     """A line without byte-order marks and soft hyphens, runs of spaces, tabs and no-break spaces as one space, ends stripped."""
-    return strip(F.regexp_replace(F.translate(c, "\ufeff\u00ad", ""), "[ \t\u00a0]+", " "))
+    return strip(F.regexp_replace(F.replace(F.replace(c, F.lit("\ufeff"), F.lit("")), F.lit("\u00ad"), F.lit("")), _BLANKS, " "))
 
 
 def spaces(c: Column) -> Column:
     """A text with private-use bullets as signs, line ends as \\n, runs of blanks in a line as one, lines stripped."""
-    signs = F.translate(c, "\uf0fc\uf0b7\uf07c", "--|")
-    return F.array_join(F.transform(splitlines(signs), lambda x: strip(F.regexp_replace(x, "[ \t\u00a0]+", " "))), "\n")
+    signs = c
+    for bullet, sign in (("\uf0fc", "-"), ("\uf0b7", "-"), ("\uf07c", "|")):
+        signs = F.replace(signs, F.lit(bullet), F.lit(sign))
+    return F.array_join(F.transform(splitlines(signs), lambda x: strip(F.regexp_replace(x, _BLANKS, " "))), "\n")
 
 
 def line_ends(c: Column) -> Column:
-    return F.regexp_replace(c, "\r\n?", "\n")
+    return F.when(F.contains(c, F.lit("\r")), F.regexp_replace(c, "\r\n?", "\n")).otherwise(c)
 
 
 def join_hyphens(c: Column) -> Column:
     """Line ends as \\n, then words cut by a hyphen at a line end joined."""
-    return F.regexp_replace(line_ends(c), r"(?U)(\w)-\n(\w)", "$1$2")
+    return bind(line_ends(c), lambda x: F.when(F.contains(x, F.lit("-\n")), F.regexp_replace(x, r"(?U)(\w)-\n(\w)", "$1$2")).otherwise(x))
 
 
 def lines(c: Column) -> Column:
@@ -65,14 +75,17 @@ def lines(c: Column) -> Column:
 
 def splitlines(c: Column) -> Column:
     """Lines without their ends; a last end makes no further line, an empty text has none."""
-    return bind(F.split(c, LINE_END), lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
+    parts = F.when(F.rlike(c, F.lit(OTHER_END)), F.split(c, LINE_END)).otherwise(F.split(c, "\n"))
+    return bind(parts, lambda x: F.when(F.element_at(x, -1) == "", F.slice(x, F.lit(1), F.size(x) - 1)).otherwise(x))
 
 
 def is_page_noise(line: Column) -> Column:
-    """Page numbers and footers; never a blank line."""
-    s = strip(line)
-    n = F.length(s)
-    return (n > 0) & (((n <= 20) & s.rlike(PAGE_MARKER)) | s.rlike(PAGE_DASHES) | s.rlike(PAGE_BRACKETS) | ((n <= 180) & s.rlike(PDF_FOOTER)))
+    """Page numbers and footers; never a blank line. All have a digit, which most lines have not."""
+    def of(s: Column) -> Column:
+        n = F.length(s)
+        return ((n <= 20) & s.rlike(PAGE_MARKER)) | s.rlike(PAGE_DASHES) | s.rlike(PAGE_BRACKETS) | ((n <= 180) & s.rlike(PDF_FOOTER))
+
+    return F.when(line.rlike(r"\p{Nd}"), bind(strip(line), of)).otherwise(False)
 
 
 def is_upper(line: Column) -> Column:
@@ -117,7 +130,7 @@ def wide_gaps(line: Column) -> Column:
 
 
 def n_pipes(line: Column) -> Column:
-    return F.length(line) - F.length(F.translate(line, "|", ""))
+    return F.length(line) - F.length(F.replace(line, F.lit("|"), F.lit("")))
 
 
 def stem(file_name: Column) -> Column:
@@ -160,10 +173,17 @@ def distinctions(c: Column) -> Column:
     return F.size(F.filter(F.split(body, r"(?U);|,|\band\b|\bи\b"), lambda x: F.length(strip(x)) > 2))
 
 
+def judge_scores(reply: Column, dimensions: dict[str, str]) -> Column:
+    """For each dimension (field: name) the first 0, 1 or 2 that stands alone on the last line that begins with its name and has one; else null."""
+    def one(ls: Column, name: str) -> Column:
+        found = F.filter(ls, lambda x: F.lower(x).startswith(name.lower()) & x.rlike(r"(?U)\b[012]\b"))
+        return F.regexp_extract(F.try_element_at(found, F.lit(-1)), r"(?U)\b([012])\b", 1).cast("int")
+
+    return bind(splitlines(strip(reply)), lambda ls: F.struct(*[one(ls, name).alias(field) for field, name in dimensions.items()]))
+
+
 def judge_score(reply: Column, dimension: str) -> Column:
-    """The first 0, 1 or 2 that stands alone on the last line that begins with the dimension's name and has one; else null."""
-    found = F.filter(splitlines(strip(reply)), lambda x: F.lower(x).startswith(dimension.lower()) & x.rlike(r"(?U)\b[012]\b"))
-    return F.when(F.size(found) > 0, F.regexp_extract(F.element_at(found, -1), r"(?U)\b([012])\b", 1).cast("int"))
+    return judge_scores(reply, {"score": dimension})["score"]
 
 
 def url_key(url: Column) -> Column:

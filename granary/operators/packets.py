@@ -52,7 +52,7 @@ def header(alias: bool = False, fragments: Column | None = None) -> Column:
 
 
 def alias_body() -> Column:
-    """The body of a packet that only points to its canonical one."""
+    """The body of a packet that only points to its canonical one. Its wording is fixed by the data model."""
     ref = F.concat(F.lit("`normalized_core/"), F.col("canonical_source_id"), F.lit(".normalized.md`"))
     field = lambda label, c: F.concat(F.lit(f"- **{label} (step3):** "), F.coalesce(F.nullif(F.col(c), F.lit("")), F.lit("(none)")))
     lines = [
@@ -100,10 +100,13 @@ def packets(resolved: DataFrame, raw: DataFrame) -> DataFrame:
     texts = raw.select(F.col("source_id").alias("_s"), combined(F.col("parts")).alias("_raw"))
     own = resolved.filter("not is_text_duplicate").join(texts, F.col("source_id") == F.col("_s"), "left")
     own = own.withColumn("_text", F.col("_raw.text")).withColumn("title", S.infer_title(F.col("title"), F.coalesce("_text", F.lit("")), F.lit(False), F.col("source_id")))
-    own = own.withColumns({"packet_role": F.lit("canonical"), "normalized_text_ref": F.lit(""), "_body": core_body(F.col("_text"), F.col("title"))})
+    with_body = lambda rows: rows.withColumns({"packet_role": F.lit("canonical"), "normalized_text_ref": F.lit(""), "_body": core_body(F.col("_text"), F.col("title"))})
     out = ["source_id", "canonical_source_id", "packet_role", "title", "markdown", "notes"]
-    made = own.withColumns({"markdown": F.concat(header(fragments=F.array_repeat(F.lit(1), F.when(F.col("_text").isNull(), 0).otherwise(1))), F.col("_body.body")), "notes": F.col("_body.notes")}).select(*out)
-    known = made.select(F.col("source_id").alias("_c"), F.col("title").alias("_title"), F.slice("notes", 1, 3).alias("_notes"))
+    one = F.array_repeat(F.lit(1), F.when(F.col("_text").isNull(), 0).otherwise(1))
+    made = with_body(own).withColumns({"markdown": F.concat(header(fragments=one), F.col("_body.body")), "notes": F.col("_body.notes")}).select(*out)
+    # only the canonical sources that have aliases are cleaned again, for their notes
+    asked = resolved.filter("is_text_duplicate").select(F.col("canonical_source_id").alias("source_id")).distinct()
+    known = with_body(own.join(asked, "source_id", "left_semi")).select(F.col("source_id").alias("_c"), F.col("title").alias("_title"), F.slice("_body.notes", 1, 3).alias("_notes"))
     copies = resolved.filter("is_text_duplicate").join(known, F.col("canonical_source_id") == F.col("_c"), "left")
     copies = copies.withColumns({
         "packet_role": F.lit("alias"),

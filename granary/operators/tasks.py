@@ -67,13 +67,13 @@ def with_header(cells: DataFrame, sheet: str = "sheet", index: str = "row_index"
     Null cells are empty texts; rows without any cell that is not empty are left out; the row's index stays. The header is
     one small row a sheet, joined to the others.
     """
-    tidy = F.transform(values, lambda x: F.coalesce(x, F.lit("")))
-    head = cells.filter(F.col(index) == 1).select(F.col(sheet).alias("_sheet"), F.transform(tidy, T.strip).alias("_header"))
-    rows = cells.filter(F.col(index) > 1).withColumn(values, tidy).filter(F.exists(values, lambda x: x != ""))
-    padded = F.transform(F.col("_header"), lambda _, i: F.coalesce(F.get(F.col(values), i), F.lit("")))
-    # of several columns of one name the last counts
-    entries = F.filter(F.transform(F.col("_header"), lambda k, i: F.struct(k.alias("key"), F.get(padded, i).alias("value"), i.alias("at"))), lambda e: F.array_position(F.reverse("_header"), e["key"]) == F.size("_header") - e["at"])
-    record = F.map_from_entries(F.transform(entries, lambda e: F.struct(e["key"], e["value"])))
+    names = F.transform(values, lambda x: T.strip(F.coalesce(x, F.lit(""))))
+    head = cells.filter(F.col(index) == 1).select(F.col(sheet).alias("_sheet"), names.alias("_names"))
+    # of several columns of one name the last counts: made once a sheet
+    last = F.filter(F.sequence(F.lit(0), F.size("_names") - 1), lambda i: ~F.array_contains(F.slice("_names", i + 2, F.size("_names")), F.get("_names", i)))
+    head = head.filter(F.size("_names") > 0).withColumn("_at", last).withColumn("_keys", F.transform("_at", lambda i: F.get("_names", i)))
+    rows = cells.filter((F.col(index) > 1) & F.exists(values, lambda x: x != ""))
+    record = F.map_from_arrays("_keys", F.transform("_at", lambda i: F.coalesce(F.get(F.col(values), i), F.lit(""))))
     return rows.join(head, F.col(sheet) == F.col("_sheet")).select(sheet, index, record.alias("record"))
 
 

@@ -277,7 +277,7 @@ SELECT r.id, """ + ", ".join(f"try_cast(max_by(regexp_extract(line, '\\b([012])\
 def parse_judge_output(spark, d):
     made = F.concat(F.lit("Coverage: "), F.col("event_id") % 4, F.lit("\naccuracy = "), F.col("user_id") % 3, F.lit("\r\nAccuracy: none\n Reasoning: 2"))
     rows = table(spark, d, "events").select(F.col("event_id").alias("id"), made.alias("reply")).unionByName(local(spark, _JUDGED, "id long, reply string"))
-    return rows.select("id", *[T.judge_score(F.col("reply"), v).alias(k) for k, v in _DIMS.items()])
+    return rows.select("id", T.judge_scores(F.col("reply"), _DIMS).alias("s")).select("id", "s.*")
 
 
 @query(f"SELECT event_id, {_TOKENS} AS k, try_cast(json_extract_string(props, '$.none') AS BIGINT) AS none FROM events")
