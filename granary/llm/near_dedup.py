@@ -50,8 +50,8 @@ SHINGLE, BANDS, ROWS, THRESHOLD = 5, 20, 5, 0.8
 #: Registers of the finer signature, and the estimate under which a pair is not looked at; at J_P 0.8 a pair has less with probability 1e-4.
 FINE, ALIKE = 2048, 0.75
 NEXT, SPREAD = 3, 500
-#: Nodes of a block in step 5, and rows a task of that step holds, about.
-BLOCK, TASK_ROWS = 500, 5_000
+#: Nodes of a block in step 5; rows a task of that step holds, and pairs a task verifies, about.
+BLOCK, TASK_ROWS, TASK_PAIRS = 500, 5_000, 1_500
 #: Text handled at once, and bytes of weighed texts kept for the next pairs.
 _SLICE, _KEPT = 2 << 20, 64 << 20
 
@@ -403,7 +403,9 @@ def _classes(docs: DataFrame, id_col: str, text_col: str, size: int, bands: int,
         pairs = common.cut(pairs)
         have = some(pairs.select(F.col("a").alias("node")).unionAll(pairs.select(F.col("b").alias("node"))))
         left, right = have.select(F.col("node").alias("a"), F.col("text").alias("text_a")), have.select(F.col("node").alias("b"), F.col("text").alias("text_b"))
-        return common.cut(pairs.join(left, "a").join(right, "b").mapInArrow(_verify(size, threshold), "a long, b long"))
+        # a pair costs more than its bytes tell: tasks by number of pairs
+        tasks = min(counts.MOST_PARTITIONS, max(1, pairs.count() // TASK_PAIRS))
+        return common.cut(pairs.join(left, "a").repartition(tasks, "b").join(right, "b").mapInArrow(_verify(size, threshold), "a long, b long"))
 
     # 2. every node with the least of its buckets
     found = links(_distinct_pairs(met.select(F.col("node").alias("a"), F.col("least").alias("b"))))
