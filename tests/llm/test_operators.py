@@ -206,6 +206,17 @@ def test_packing_ranges_are_even_and_split_copies(spark):
     assert len({r.sequence_id >> 40 for r in packing.pack(same, packing.default_tokenizer(), range_bytes=100, most_ranges=6).collect()}) <= 6
 
 
+def test_scores_equal_a_table_of_ngrams(spark, odd):
+    rng = random.Random(12)
+    words = [f"w{k}" for k in range(30)]
+    rows = [(k % 50, " ".join(rng.choice(words) for _ in range(rng.randint(0, 30)))) for k in range(200)] + [(None, None), (7, "W1 w2\tw3"), (7, "W1 w2\tw3")]
+    for docs in (spark.createDataFrame(rows, "doc_id long, text string"), odd.select("doc_id", "text")):
+        shown = lambda df: sorted(str((r.doc_id, r.n_tokens, round(r.log_score, 6), r.mean_log_score and round(r.mean_log_score, 6), r.n_backed_off)) for r in df.collect())
+        want = shown(lm_scoring.score_by_rows(docs))
+        for size in (1 << 24, 2_000):
+            assert shown(lm_scoring.score(docs, chunk_bytes=size)) == want
+
+
 def test_hilbert_steps_are_neighbours():
     cells = np.array([(x, y, z) for x in range(8) for y in range(8) for z in range(8)])
     keys = packing.hilbert(cells, 3)
@@ -226,6 +237,28 @@ def test_shards(spark):
     assert len(sizes) == 8 and max(sizes.values()) < 1.06 * min(sizes.values())
 
 
+def test_placing_equals_a_plain_loop(spark):
+    rng = np.random.default_rng(3)
+    v = rng.random((200, 3)) / 300
+    residual = [[0.25] * 3 for _ in range(4)]
+    want = [0] * 200
+    for i in sorted(range(200), key=lambda i: -max(v[i])):
+        worth = [sum(w * a * b for w, a, b in zip(sharding._WEIGHT, v[i], r)) for r in residual]
+        want[i] = worth.index(max(worth))
+        residual[want[i]] = [a - b for a, b in zip(residual[want[i]], v[i])]
+    left = np.full((4, 3), 0.25)
+    assert sharding.place(v, left).tolist() == want and np.allclose(left, residual)
+    # a whole table against the same rule by hand: bins of one text each, since there are more bins than texts
+    docs = spark.createDataFrame([(k, f"{k} " * (k % 23 + 1)) for k in range(120)] + [(500, None), (501, "")], "doc_id long, text string")
+    rows = {r.doc_id: r for r in sharding.shard(docs, shards=3, heavy=1000).collect()}
+    total = [sum(r["size"] for r in rows.values()), sum(r.tokens for r in rows.values()), len(rows)]
+    assert {d: (r["size"], r.tokens) for d, r in rows.items()} == {d: (len((t or "").encode()) + 1, len((t or "").split())) for d, t in docs.collect()}
+    sums = Counter()
+    for r in rows.values():
+        sums[r.shard] += r["size"]
+    assert len(sums) == 3 and max(sums.values()) - min(sums.values()) <= 2 * max(r["size"] for r in rows.values()) and total[2] == 122
+
+
 def test_shards_over_several_levels(spark):
     docs = spark.range(3000).selectExpr("cast(id % 50 as long) as doc_id", "concat('t', id % 700, ' ', repeat('word ', cast(id % 700 % 37 as int))) as text").unionAll(spark.range(1500).selectExpr("1L", "'the same row'"))
     rows = sharding.shard(docs, rows_a_part=20, fan=32, heavy=8).collect()
@@ -249,6 +282,49 @@ def test_shards_over_several_levels(spark):
     assert begin == {(g, k): sum(n for h, j, n in counts if h == g and j < k) for g, k, _ in counts}
 
 
+def test_rules_are_grown_and_pruned_as_defined():
+    import math
+
+    rng = random.Random(9)
+    rows = []
+    for _ in range(240):
+        r = {f: rng.random() for f in quality_rules.FEATURES}
+        rows.append((r, r["symbols_per_word"] > 0.7 and r["digit_share"] <= 0.5))
+    p, n = sum(b for _, b in rows), len(rows)
+
+    def gain(c):
+        inside = [b for r, b in rows if c.holds(r)]
+        return sum(inside) * (math.log2(sum(inside) / len(inside)) - math.log2(p / n)) if any(inside) else 0.0
+
+    first = quality_rules._grow(rows)[0]
+    every = [quality_rules.Condition(f, above, cut) for f in quality_rules.FEATURES for cut in quality_rules._cuts([r[f] for r, _ in rows]) for above in (True, False)]
+    assert gain(first) == max(map(gain, every))
+    rules = quality_rules.learn(rows)
+    assert {c.feature for c in rules[0]} >= {"symbols_per_word", "digit_share"}
+    caught = [any(quality_rules._covers(rule, r) for rule in rules) for r, _ in rows]
+    assert np.mean([c == b for c, (_, b) in zip(caught, rows)]) > 0.95
+    front = lambda k: [b for r, b in rows[::3] if quality_rules._covers(rules[0][:k], r)]
+    worth = [(2 * sum(f) - len(f)) / len(f) for f in (front(k) for k in range(1, len(rules[0]) + 1))]
+    assert worth[-1] == max(worth)
+
+
+def test_quality_score_of_whole_texts_by_brute_force():
+    import itertools
+    import math
+
+    model = quality.train(["good words here\nmore of them are\nfine", "$$$ ### |||\n!! 11 22"] * 6, [1, 0] * 6)
+    for text in ("good words\n### 12 |\n\nfine again here", "one line", "", None, "a\nb"):
+        features, size, offsets = quality.line_features([text])
+        n = len(size)
+        score = features @ model.weights
+        paths = list(itertools.product((0, 1), repeat=n))
+        worth = [math.exp(sum(score[t] for t in range(n) if p[t]) + sum(model.pair[p[t], p[t + 1]] for t in range(n - 1))) for p in paths]
+        good = [sum(w for w, p in zip(worth, paths) if p[t]) / sum(worth) for t in range(n)]
+        raw = sum(g * s for g, s in zip(good, size)) / sum(size)
+        want = 1 / (1 + math.exp(-(model.slope * math.log(min(max(raw, 1e-4), 1 - 1e-4) / (1 - min(max(raw, 1e-4), 1 - 1e-4))) + model.shift)))
+        assert abs(model.score([text])[0] - want) < 1e-9 and abs(model.score(["x y z\n$", text, "q"])[1] - want) < 1e-9
+
+
 def test_rules_statistics_and_held_out_accuracy(spark):
     import re
 
