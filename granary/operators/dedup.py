@@ -13,15 +13,28 @@ def text_hash(text: Column) -> Column:
     return F.sha2(F.encode(text, "UTF-8"), 256)
 
 
-def hash_groups(rows: DataFrame, key: str, text: str) -> DataFrame:
-    """Texts that several different records have: hash, records (sorted), the least of them, rows, and the number of different bytes.
+#: A group of more records than this is not listed by id, only counted: its members are rows of ``resolve``.
+LISTED = 10_000
 
-    The list holds one value for each record of a text; a table where one text belongs to very many records should use
-    ``resolve``, which gathers nothing.
+
+def id_lists(rows: DataFrame, group: str, key: str, listed: int = LISTED) -> DataFrame:
+    """``group``, ``canonical_id`` (the least ``key``), ``n_ids`` and, for groups of at most ``listed`` records, their sorted ``ids``.
+
+    Different records of a group come from a distinct; counts are partial sums, and only the rows of groups short enough are gathered.
     """
+    pairs = rows.select(group, key).distinct()
+    counts = pairs.groupBy(group).agg(F.min(key).alias("canonical_id"), F.count(F.lit(1)).alias("n_ids")).filter("n_ids > 1")
+    short = counts.filter(F.col("n_ids") <= listed).select(F.col(group).alias("_g"))
+    lists = pairs.join(short, F.col(group) == F.col("_g"), "left_semi").groupBy(F.col(group).alias("_g")).agg(F.array_sort(F.collect_list(key)).alias("ids"))
+    return counts.join(lists, F.col(group) == F.col("_g"), "left").drop("_g")
+
+
+def hash_groups(rows: DataFrame, key: str, text: str, listed: int = LISTED) -> DataFrame:
+    """Texts that several different records have: hash, records (sorted; null for more than ``listed``), the least of them, rows, and the number of different bytes."""
     digest = F.col("file_sha256") if "file_sha256" in rows.columns else F.lit(None).cast("string")
-    groups = rows.groupBy(text_hash(F.col(text)).alias("text_sha256")).agg(F.array_sort(F.collect_set(key)).alias("ids"), F.count(F.lit(1)).alias("n"), F.countDistinct(digest).alias("n_files"))
-    return groups.filter(F.size("ids") > 1).withColumn("canonical_id", F.get("ids", F.lit(0)))
+    hashed = rows.select(text_hash(F.col(text)).alias("text_sha256"), key, digest.alias("file_sha256"))
+    sizes = hashed.groupBy(F.col("text_sha256").alias("_h")).agg(F.count(F.lit(1)).alias("n"), F.countDistinct("file_sha256").alias("n_files"))
+    return id_lists(hashed, "text_sha256", key, listed).join(sizes, F.col("text_sha256") == F.col("_h")).select("text_sha256", "ids", "n", "n_files", "canonical_id")
 
 
 def file_groups(files: DataFrame, digest: str = "file_sha256") -> DataFrame:

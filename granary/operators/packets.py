@@ -6,11 +6,12 @@ sources share is cleaned and stored once.
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions import structure as S
 from ..functions import text as T
+from . import dedup
 
 # Fixed values of the data model.
 HEADER_KEYS = ["source_id", "canonical_source_id", "family", "title", "domain", "url", "source_type", "source_subtype", "status", "duplicate_group", "is_text_duplicate", "normalized_text_ref"]
@@ -23,22 +24,22 @@ def canonical(sources: DataFrame, known: DataFrame, index: DataFrame) -> DataFra
 
     ``known``: earlier decisions by ``source_id`` (``canonical_source_id``, ``duplicate_file_group``, ``duplicate_reason``). ``index``: raw
     texts (``source_id``, ``text_sha256``); a source with several has its least hash. Sources of one text have the least of them as
-    canonical, whatever was decided earlier. Lists of ids are gathered for texts of several sources only.
+    canonical, whatever was decided earlier. A group of very many sources is named by their number (``dedup.LISTED``).
     """
     hashes = index.filter("coalesce(source_id, '') <> '' and coalesce(text_sha256, '') <> ''").groupBy("source_id").agg(F.min("text_sha256").alias("hash"))
-    groups = index.filter("coalesce(text_sha256, '') <> ''").groupBy(F.col("text_sha256").alias("hash")).agg(F.array_sort(F.collect_set("source_id")).alias("ids")).filter(F.size("ids") > 1)
+    groups = dedup.id_lists(index.filter("coalesce(text_sha256, '') <> ''").withColumnRenamed("text_sha256", "hash"), "hash", "source_id").withColumnRenamed("canonical_id", "_least")
     decided = known.select("source_id", F.col("canonical_source_id").alias("_c"), F.col("duplicate_file_group").alias("_f"), F.col("duplicate_reason").alias("_r"))
     rows = sources.join(decided, "source_id", "left").join(hashes, "source_id", "left").join(groups, "hash", "left")
     own = T.strip(T.truthy(F.col("_c"), F.col("source_id")))
     base = F.coalesce(F.nullif(F.col("_f"), F.lit("")), F.when(own != F.col("source_id"), F.concat(F.lit("variant_of:"), own)), F.nullif(F.col("_r"), F.lit("")), F.lit("none"))
-    least = F.get("ids", F.lit(0))
-    variant = F.col("ids").isNotNull() & (F.col("source_id") != least)
-    others = F.array_join(F.array_except("ids", F.array("source_id")), ",")
+    least = F.col("_least")
+    variant = F.coalesce(F.col("source_id") != least, F.lit(False))
+    others = F.coalesce(F.array_join(F.array_except("ids", F.array("source_id")), ","), (F.col("n_ids") - 1).cast("string"))
     return rows.withColumns({
         "canonical_source_id": F.when(variant, least).otherwise(own),
-        "duplicate_group": F.when(base != "none", base).when(variant, F.concat(F.lit("text_hash_group:"), F.left("hash", F.lit(16)))).when(F.col("ids").isNotNull(), F.concat(F.lit("canonical_for:"), others)).otherwise("none"),
+        "duplicate_group": F.when(base != "none", base).when(variant, F.concat(F.lit("text_hash_group:"), F.left("hash", F.lit(16)))).when(least.isNotNull(), F.concat(F.lit("canonical_for:"), others)).otherwise("none"),
         "is_text_duplicate": variant | (own != F.col("source_id")),
-    }).drop("_c", "_f", "_r", "hash", "ids")
+    }).drop("_c", "_f", "_r", "hash", "ids", "_least", "n_ids")
 
 
 def header(alias: bool = False, fragments: Column | None = None) -> Column:
@@ -130,8 +131,12 @@ def preview(markdown: Column, size: int = 2000) -> Column:
 def raw_files(listed: DataFrame, indexed: DataFrame) -> DataFrame:
     """Files by ``source_id``: those listed in a folder and those that the index names, each once, by name; their number, and the first five named."""
     both = listed.select("source_id", "name").unionByName(indexed.select("source_id", "name")).distinct()
-    names = both.groupBy("source_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
-    return names.select("source_id", F.size("names").alias("raw_file_count"), F.concat(F.array_join(F.slice("names", 1, 5), "; "), F.when(F.size("names") > 5, "; ...").otherwise("")).alias("raw_files"))
+    n = both.groupBy(F.col("source_id").alias("_s")).agg(F.count(F.lit(1)).cast("int").alias("raw_file_count"))
+    # tasks keep five rows of a source before they move
+    first = both.withColumn("_k", F.row_number().over(Window.partitionBy("source_id").orderBy("name"))).filter("_k <= 5")
+    names = first.groupBy("source_id").agg(F.array_sort(F.collect_list("name")).alias("names"))
+    more = F.when(F.col("raw_file_count") > 5, "; ...").otherwise("")
+    return names.join(n, F.col("source_id") == F.col("_s")).select("source_id", "raw_file_count", F.concat(F.array_join("names", "; "), more).alias("raw_files"))
 
 
 def text_of(sources: DataFrame, first: DataFrame, second: DataFrame, extracted: DataFrame | None = None) -> DataFrame:

@@ -134,6 +134,15 @@ def test_packet_reports_and_sections(spark, tmp_path):
     assert "- **SET1**: 1 files, 60 entities total" in reports.set_summary(index, "now") and sinks.write_xlsx(index, str(tmp_path / "i.xlsx"), "set_extraction") == 2
 
 
+def test_long_groups_are_counted_not_listed(spark):
+    from granary.operators import dedup
+
+    rows = spark.createDataFrame([(k, "same") for k in range(30)] + [(7, "same"), (100, "x"), (101, "x"), (102, "alone"), (103, "alone2")], "k long, t string")
+    got = {r.canonical_id: (r.ids, r.n, r.n_files) for r in dedup.hash_groups(rows, "k", "t", 10).collect()}
+    assert got == {0: (None, 31, 0), 100: ([100, 101], 2, 0)}
+    assert dedup.hash_groups(rows, "k", "t").filter("canonical_id = 0").first().ids == list(range(30))
+
+
 def test_alias_packet(spark):
     resolved = spark.createDataFrame([("S1", "S1", False, "none", "Own title — x", None), ("S2", "S1", True, "text_hash_group:ab", "", "u")], "source_id string, canonical_source_id string, is_text_duplicate boolean, duplicate_group string, title string, url string")
     for c in ("family", "domain", "source_type", "source_subtype", "status", "cluster_id"):
