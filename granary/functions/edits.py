@@ -38,27 +38,34 @@ def _capital(c: Column) -> Column:
 
 def sentence_en(prompt: Column) -> Column:
     """(sentence, body) of the boundary sentence, labelled before neutral; null without one."""
-    whole = F.coalesce(_found(prompt, LABELLED_EN, 0), _found(prompt, NEUTRAL_EN, 0))
-    body = F.coalesce(_found(prompt, LABELLED_EN, 1), _found(prompt, NEUTRAL_EN, 1))
-    return F.when(whole.isNotNull(), F.struct(strip(whole).alias("sentence"), strip(body).alias("body")))
+    found = F.struct(*[F.coalesce(_found(prompt, LABELLED_EN, k), _found(prompt, NEUTRAL_EN, k)).alias(n) for k, n in enumerate(("sentence", "body"))])
+    return bind(found, lambda f: F.when(f["sentence"].isNotNull(), F.struct(strip(f["sentence"]).alias("sentence"), strip(f["body"]).alias("body"))))
 
 
 def sentence_ru(prompt: Column) -> Column:
     """As ``sentence_en``: from the sentence's start to the return clause, or else to the next full stop."""
-    label = F.regexp_substr(prompt, F.lit(MARKER_RU))
-    mark = F.coalesce(label, F.regexp_substr(prompt, F.lit(NEUTRAL_RU)))
-    at = F.instr(prompt, mark)
-    start = F.substring_index(F.left(prompt, at - 1), ". ", -1)
-    rest = F.right(prompt, F.length(prompt) - at - F.length(mark) + 1)
-    back, stop = F.regexp_instr(rest, F.lit(RETURN_RU)), F.instr(rest, F.lit("."))
-    rest = F.when(back > 0, F.left(rest, back - 1)).when(stop > 0, F.left(rest, stop)).otherwise(rest)
-    whole = strip(F.concat(start, mark, rest))
-    return F.when(mark.isNotNull(), F.struct(whole.alias("sentence"), F.when(label.isNull(), whole).otherwise(strip(rest)).alias("body")))
+    def marked(x: Column) -> Column:
+        return F.struct(x["p"].alias("p"), x["label"].alias("label"), F.coalesce(x["label"], F.regexp_substr(x["p"], F.lit(NEUTRAL_RU))).alias("mark"))
+
+    def cut(m: Column) -> Column:
+        at = F.instr(m["p"], m["mark"])
+        start = F.substring_index(F.left(m["p"], at - 1), ". ", -1)
+        rest = F.right(m["p"], F.length(m["p"]) - at - F.length(m["mark"]) + 1)
+
+        def bounded(r: Column) -> Column:
+            back, stop = F.regexp_instr(r["rest"], F.lit(RETURN_RU)), F.instr(r["rest"], F.lit("."))
+            end = F.when(back > 0, F.left(r["rest"], back - 1)).when(stop > 0, F.left(r["rest"], stop)).otherwise(r["rest"])
+            return bind(F.struct(strip(F.concat(r["start"], m["mark"], end)).alias("whole"), strip(end).alias("end")), lambda x: F.struct(x["whole"].alias("sentence"), F.when(m["label"].isNull(), x["whole"]).otherwise(x["end"]).alias("body")))
+
+        return F.when(m["mark"].isNotNull(), bind(F.struct(start.alias("start"), rest.alias("rest")), bounded))
+
+    return bind(bind(F.struct(prompt.alias("p"), F.regexp_substr(prompt, F.lit(MARKER_RU)).alias("label")), marked), cut)
 
 
 def _neutral(prompt: Column, found: Column, labelled: Column) -> Column:
     """The prompt with a labelled sentence replaced by its body, first letter upper; any other prompt unchanged."""
-    return F.when(found.isNotNull() & labelled, splice_first(prompt, found["sentence"], _capital(found["body"]))).otherwise(prompt)
+    put = lambda x: F.when(x["f"].isNotNull(), splice_first(x["p"], x["f"]["sentence"], _capital(x["f"]["body"]))).otherwise(x["p"])
+    return F.when(labelled, bind(F.struct(prompt.alias("p"), found.alias("f")), put)).otherwise(prompt)
 
 
 def neutral_en(prompt: Column) -> Column:

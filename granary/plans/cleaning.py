@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import structure as S
 from ..functions import text as T
 from ..operators import lines
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .base import SPACE, WORD, flatten, heading, isupper, local, page_noise, query, quoted, splitlines, squeeze, strip, values
 
 _PAGE = "Page 3 of 10\n-- 4 of 20 --\n[ page 7 ]\n12 | Title\n1234\nplain line\nTitle | 9\n\n12345\n – 17 – \nPAGE 9/10\n12 | " + "x" * 190
@@ -28,7 +28,7 @@ _DOCS = f"docs AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM {_
 
 
 def _docs(spark, d):
-    return table(spark, d, "documents").select("doc_id", "text").unionAll(local(spark, EXTRA, "doc_id long, text string"))
+    return spread(table(spark, d, "documents").select("doc_id", "text")).unionAll(local(spark, EXTRA, "doc_id long, text string"))
 
 
 def _numbered(ls: str, of: str = "docs") -> str:

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import edits as E
 from ..functions import text as T
 from ..operators import tasks, updates, validation
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .base import SPACE, WORD, flatten, local, query, quoted, splitlines, strip, values
 
 # --- words and numbers ----------------------------------------------------------------------------------
@@ -29,7 +29,7 @@ def _terms(x: str) -> str:
 @query(f"WITH l AS (SELECT doc_id, unnest({splitlines('text')}) AS line, unnest(range(len({splitlines('text')})))::INT AS pos FROM documents) SELECT doc_id, pos, {_distinctions('line')} AS parts FROM l")
 def count_distinctions(spark, d):
     """Parts of each line of all documents, read as a boundary sentence."""
-    rows = table(spark, d, "documents").select("doc_id", F.posexplode(T.splitlines(F.col("text"))).alias("pos", "line"))
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.posexplode(T.splitlines(F.col("text"))).alias("pos", "line"))
     return rows.select("doc_id", "pos", T.distinctions(F.col("line")).alias("parts"))
 
 
@@ -56,7 +56,7 @@ def _two(spark, d):
     b = table(spark, d, "benchmark")
     least = b.agg(F.min("item_id").alias("least"))
     items = b.join(F.broadcast(least), F.lit(True)).select((F.col("item_id") - F.col("least")).alias("at"), "item_id", F.col("text").alias("item"))
-    docs = table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("at")).join(items, "at")
+    docs = spread(table(spark, d, "documents").select("doc_id", "text", (F.col("doc_id") % 40).alias("at"))).join(items, "at")
     return docs.select("doc_id", "item_id", T.terms(F.col("text")).alias("t"), T.terms(F.col("item")).alias("u"), T.numbers(F.col("text")).alias("x"), T.numbers(F.concat("item", F.col("doc_id").cast("string"))).alias("y"))
 
 
@@ -94,7 +94,7 @@ _SAID = [(-1, "It is a Trap."), (-2, "trapped tricks"), (-3, "Осторожно
 
 @query(rf"WITH t AS (SELECT doc_id, text FROM documents UNION ALL SELECT * FROM ({values(_SAID)})) SELECT doc_id, regexp_matches(text, '(?i)\b(trap|trick|pitfall|beware|careful|caution|gotcha)\b') AS en, regexp_matches(lower(text), 'ловушк|подвох|ошибочн|осторожн') AS ru FROM t")
 def giveaway_scan(spark, d):
-    rows = table(spark, d, "documents").select("doc_id", "text").unionByName(local(spark, _SAID, "doc_id long, text string"))
+    rows = spread(table(spark, d, "documents").select("doc_id", "text")).unionByName(local(spark, _SAID, "doc_id long, text string"))
     return rows.select("doc_id", F.col("text").rlike(T.GIVEAWAY_EN).alias("en"), F.col("text").rlike("(?iU)" + T.GIVEAWAY_RU.removeprefix("(?i)")).alias("ru"))
 
 
@@ -110,7 +110,7 @@ def gold_leak_check(spark, d):
     words = F.slice(F.filter(F.split("text", " "), lambda w: w.rlike("^[a-z]{4,}$")), 1, 3)
     least = b.agg(F.min("item_id").alias("least"))
     golds = b.join(F.broadcast(least), F.lit(True)).select((F.col("item_id") - F.col("least")).alias("at"), "item_id", F.array_join(words, " ").alias("phrase"), F.get(words, F.lit(0)).alias("word"))
-    rows = table(spark, d, "documents").select("doc_id", F.lower(T.flatten(F.col("text"))).alias("said"), (F.col("doc_id") % 40).alias("at")).join(golds, "at")
+    rows = spread(table(spark, d, "documents")).select("doc_id", F.lower(T.flatten(F.col("text"))).alias("said"), (F.col("doc_id") % 40).alias("at")).join(golds, "at")
     return rows.select("doc_id", "item_id", F.coalesce(validation.leak(F.col("phrase"), F.col("said")) == "inside", F.lit(False)).alias("phrase_leaks"), validation.leak(F.col("word"), F.col("said")).alias("word_kind"))
 
 
@@ -120,7 +120,7 @@ def gold_leak_check(spark, d):
 @query(rf"SELECT doc_id, CASE WHEN regexp_matches(text, '[^.\s][^.]*licen[^.]*\.') THEN {strip(rf"regexp_replace(text, '[^.{SPACE}][^.]*licen[^.]*\.[{SPACE}]*', '')")} ELSE text END AS text FROM documents")
 def strip_sentence(spark, d):
     """Documents without their first sentence about licences."""
-    return table(spark, d, "documents").select("doc_id", T.drop_first_sentence(F.col("text"), "licen").alias("text"))
+    return spread(table(spark, d, "documents")).select("doc_id", T.drop_first_sentence(F.col("text"), "licen").alias("text"))
 
 
 @query("SELECT doc_id, CASE WHEN position(w IN text) > 0 THEN text[1:position(w IN text) - 1] || '<new>' || text[position(w IN text) + length(w):] ELSE text END AS text FROM (SELECT doc_id, text, CASE WHEN doc_id % 3 = 0 THEN 'no such part' ELSE text[5:9] END AS w FROM documents) WHERE w <> ''")

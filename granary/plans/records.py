@@ -11,7 +11,7 @@ from ..functions import structure as S
 from ..functions import text as T
 from ..operators import dedup, packets, runs, tasks
 from ..sources import sinks
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .base import local, query, strip, values
 from .cleaning import corpus_profile
 
@@ -189,7 +189,7 @@ def metadata_bullets(spark, d):
 
 
 def _packets(spark, d):
-    docs = table(spark, d, "documents").select(F.col("doc_id").cast("string").alias("source_id"), "doc_id", "lang", "text")
+    docs = spread(table(spark, d, "documents")).select(F.col("doc_id").cast("string").alias("source_id"), "doc_id", "lang", "text")
     field = {c: F.lit(None).cast("string") for c in ("url", "source_type", "source_subtype", "cluster_id")}
     resolved = _resolved(spark, d).join(docs.select("source_id", F.concat(F.lit("Title "), "source_id", F.lit(" — more")).alias("title"), F.col("lang").alias("domain")), "source_id").withColumns({"family": F.lit("Core"), "status": F.lit("ok"), **field})
     raw = docs.filter("doc_id % 4 <> 0").select("source_id", F.array(F.struct(F.concat("source_id", F.lit(".txt")).alias("name"), F.col("text"))).alias("parts"))
@@ -215,14 +215,14 @@ def packet_roles_and_map(spark, d):
 def packet_preview(spark, d):
     """The first 2,000 characters of packets' bodies, some packets without a head."""
     md = F.when(F.col("doc_id") % 2 == 0, F.concat(F.lit("# Normalized Source Packet\n\n- **a:** b\n\n---\n\n"), "text")).otherwise(T.strip(F.col("text")))
-    return table(spark, d, "documents").select("doc_id", packets.preview(md).alias("preview"))
+    return spread(table(spark, d, "documents")).select("doc_id", packets.preview(md).alias("preview"))
 
 
 @query(corpus_profile("docs AS (SELECT doc_id, text FROM documents)").replace("SELECT d.doc_id, coalesce(", "SELECT d.doc_id, '## Core Source ' || d.doc_id || chr(10) || chr(10) || '- **Source files:** ' || d.doc_id || '.txt' || chr(10) || '- **Domain:** ' || (SELECT lang FROM documents x WHERE x.doc_id = d.doc_id) || chr(10) || chr(10) || '### Clean Text' || chr(10) || chr(10) || '```text' || chr(10) || coalesce(", 1).replace(", '') AS text FROM docs d", ", '') || chr(10) || '```' || chr(10) AS section FROM docs d"))
 def corpus_sections(spark, d):
     """A section of the consolidated corpus for each document; ``sources.sinks.write_corpus`` writes them in order."""
     fields = [("Source files", F.concat("doc_id", F.lit(".txt"))), ("Final decision", F.lit(None)), ("Canonical source ID", F.lit("")), ("Domain", F.col("lang"))]
-    return table(spark, d, "documents").select("doc_id", packets.core_section(F.col("text"), fields, F.col("doc_id")).alias("section"))
+    return spread(table(spark, d, "documents")).select("doc_id", packets.core_section(F.col("text"), fields, F.col("doc_id")).alias("section"))
 
 
 # --- names ----------------------------------------------------------------------------------------------

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as T
 from ..operators import runs, scoring, tasks
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .base import local, query, splitlines, strip, values
 
 # --- scores ---------------------------------------------------------------------------------------
@@ -276,7 +276,7 @@ l AS (SELECT id, unnest({splitlines(strip('reply'))}) AS line, unnest(range(len(
 SELECT r.id, """ + ", ".join(f"try_cast(max_by(regexp_extract(line, '\\b([012])\\b', 1), pos) FILTER (starts_with(lower(line), '{v.lower()}') AND regexp_matches(line, '\\b[012]\\b')) AS INT) AS {k}" for k, v in _DIMS.items()) + " FROM r LEFT JOIN l USING (id) GROUP BY r.id")
 def parse_judge_output(spark, d):
     made = F.concat(F.lit("Coverage: "), F.col("event_id") % 4, F.lit("\naccuracy = "), F.col("user_id") % 3, F.lit("\r\nAccuracy: none\n Reasoning: 2"))
-    rows = table(spark, d, "events").select(F.col("event_id").alias("id"), made.alias("reply")).unionByName(local(spark, _JUDGED, "id long, reply string"))
+    rows = spread(table(spark, d, "events")).select(F.col("event_id").alias("id"), made.alias("reply")).unionByName(local(spark, _JUDGED, "id long, reply string"))
     return rows.select("id", T.judge_scores(F.col("reply"), _DIMS).alias("s")).select("id", "s.*")
 
 

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import pages as P
 from ..functions import structure as S
 from ..functions import text as T
-from ..sources.tables import table
+from ..sources.tables import spread, table
 from .base import flatten, local, query, quoted, strip, values
 from .cleaning import corpus_profile
 
@@ -20,7 +20,7 @@ _UNESCAPED = lambda x: f"replace(replace(replace(replace(replace({x}, '&lt;', '<
 SELECT page_id, array_to_string(list_filter(list_transform(string_split_regex(t, '[\\n\\r]+'), lambda x: {strip('x')}), lambda x: x <> ''), chr(10)) AS text FROM a""")
 def html_visible_text(spark, d):
     """The text of pages, each piece between tags on lines of its own, without blank lines."""
-    return table(spark, d, "pages").select("page_id", P.text_lines(F.col("html")).alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", P.text_lines(F.col("html")).alias("text"))
 
 
 @query("""WITH a AS (SELECT page_id, regexp_replace(html, '(?is)<!--.*?-->|<script[^>]*>.*?</script>|<style[^>]*>.*?</style>', '', 'g') AS h FROM pages), p AS (SELECT page_id, regexp_extract(h, '(?is)<h1[^>]*>(.*?)</h1>', 1) AS title, list_transform(string_split_regex(h, '<p(\\s[^>]*)?>')[2:], lambda x: split_part(x, '</p>', 1)) AS ps FROM a),
@@ -32,7 +32,7 @@ def html_title_lead(spark, d):
     plain = lambda x: T.flatten(F.regexp_replace(x, "<[^>]*>", " "))
     parts = F.transform(F.split(bare, r"<p(?:\s[^>]*)?>"), lambda x: plain(F.substring_index(x, "</p>", 1)))
     lead = F.slice(F.filter(F.slice(parts, F.lit(2), F.size(parts)), lambda x: F.length(x) > 40), 1, 2)
-    return table(spark, d, "pages").select("page_id", plain(F.regexp_extract(bare, "(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("title"), lead.alias("lead"))
+    return spread(table(spark, d, "pages")).select("page_id", plain(F.regexp_extract(bare, "(?is)<h1[^>]*>(.*?)</h1>", 1)).alias("title"), lead.alias("lead"))
 
 
 @query("SELECT link, count(*) AS n FROM (SELECT DISTINCT page_id, unnest(regexp_extract_all(html, 'href=\"([^\"]*)\"', 1)) AS link FROM pages) GROUP BY link")
@@ -174,4 +174,4 @@ docs AS (SELECT page_id AS doc_id, coalesce(string_agg(CASE WHEN starts_with(tag
 @query(f"SELECT doc_id AS page_id, text FROM ({corpus_profile(_BLOCKS)})")
 def html_visible_blocks(spark, d):
     """Headings, paragraphs and list items of pages without frames, in the corpus profile."""
-    return table(spark, d, "pages").select("page_id", P.visible_blocks(F.col("html")).alias("text"))
+    return spread(table(spark, d, "pages")).select("page_id", P.visible_blocks(F.col("html")).alias("text"))

@@ -11,6 +11,20 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: A table in one file of a size between these is dealt over the cores before long work on its rows.
+SPREAD_OVER, SPREAD_UNDER = 256 << 10, 64 << 20
+
+
+def spread(rows: DataFrame) -> DataFrame:
+    """``rows`` over all cores where they stand in one small file: such a file has one row group and would be one task.
+
+    For work that is long for each row. Larger tables, and tables of several files, are left as they are read.
+    """
+    cores = rows.sparkSession.sparkContext.defaultParallelism
+    size = int(str(rows._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return rows.repartition(cores) if cores > 1 and SPREAD_OVER < size < SPREAD_UNDER and len(rows.inputFiles()) == 1 else rows
+
+
 def read_jsonl(spark: SparkSession, path: str, schema: str) -> DataFrame:
     """Records of a JSON-lines file; blank lines are skipped and malformed ones dropped."""
     return spark.read.schema(schema).option("mode", "DROPMALFORMED").json(path)

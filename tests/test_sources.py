@@ -175,3 +175,15 @@ def test_merge_updates(spark):
     assert sorted(map(tuple, sinks.merge_updates(base, new, "k", ["y"]).collect())) == [(1, "a", "b"), (2, "c", "d")]
     with pytest.raises(KeyError):
         sinks.merge_updates(base, new, "k", ["z"])
+
+
+def test_small_tables_are_spread(spark, tmp_path):
+    rows = spark.range(20_000).selectExpr("id", "uuid() as t", "id % 7 as k").repartition(1)
+    rows.write.parquet(str(tmp_path / "one"))
+    rows.repartition(3).write.parquet(str(tmp_path / "three"))
+    one, three = (spark.read.parquet(str(tmp_path / n)) for n in ("one", "three"))
+    assert tables.spread(one).rdd.getNumPartitions() == spark.sparkContext.defaultParallelism
+    plan = tables.spread(one).filter("k = 3").select("id")._jdf.queryExecution().executedPlan().toString()
+    assert "EqualTo(k,3)" in plan and "uuid" not in plan and "t:string" not in plan
+    assert "Exchange" not in tables.spread(three)._jdf.queryExecution().executedPlan().toString()
+    assert "Exchange" not in tables.spread(one.limit(5))._jdf.queryExecution().executedPlan().toString()
