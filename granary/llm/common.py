@@ -14,13 +14,16 @@ import numpy as np
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..sources import tables
+
 #: Java regular expression of the white space that separates words.
 SPACE = r"[\x20\x09-\x0D]+"
 
 
-def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
-    """One table of a data folder, read through Spark so that any Hadoop path works."""
-    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+def table(spark: SparkSession, sf_dir: str, name: str, spread: bool = False) -> DataFrame:
+    """One table of a data folder, read through Spark so that any Hadoop path works. ``spread``: one small file is dealt over the cores."""
+    rows = spark.read.parquet(f"{sf_dir}/{name}.parquet")
+    return tables.spread(rows) if spread else rows
 
 
 def shared_folder(spark: SparkSession) -> str:

@@ -262,4 +262,4 @@ def keep_clean(docs: DataFrame, benchmark: DataFrame, text_col: str = "text", it
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(common.table(spark, sf_dir, "documents"), common.table(spark, sf_dir, "benchmark"))
+    return scan(common.table(spark, sf_dir, "documents", spread=True), common.table(spark, sf_dir, "benchmark"))

@@ -173,7 +173,7 @@ def scan(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", templa
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return scan(common.table(spark, sf_dir, "documents"))
+    return scan(common.table(spark, sf_dir, "documents", spread=True))
 
 
 def _sql() -> str:

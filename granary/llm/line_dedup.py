@@ -77,7 +77,7 @@ def host_of(url: Column) -> Column:
 
 def query(spark, sf_dir: str) -> DataFrame:
     """All ``pages`` by the host of their URL; the text is taken out of the HTML once and written."""
-    pages = common.cut(common.table(spark, sf_dir, "pages").select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")))
+    pages = common.cut(common.table(spark, sf_dir, "pages", spread=True).select("page_id", host_of(F.col("url")).alias("host"), html_lines(F.col("html")).alias("text")))
     out, n = drop_boilerplate(pages, pages["host"])
     return out.select("page_id", "host", F.col(n).alias("n_dropped"), "text")
 

@@ -132,7 +132,8 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", order
     """One row per row of ``docs``: tokens, the sum of log scores, its mean, and positions that backed off."""
     docs = common.ids_and_text(docs, id_col, text_col)
     rows, size = common.total_bytes(docs)
-    chunks = max(1, -(-size // chunk_bytes))
+    # a table of few chunks is cut finer, down to a quarter, while there are cores without one
+    chunks = max(1, -(-size // chunk_bytes), min(docs.sparkSession.sparkContext.defaultParallelism, -(-size * 4 // chunk_bytes)))
     buckets = chunks * 2
     # The input partition is part of the hash, so that rows that repeat altogether spread over chunks.
     chunk = F.pmod(F.xxhash64("doc_id", "text", F.spark_partition_id()), F.lit(chunks)).cast("int")
@@ -170,7 +171,7 @@ def score_by_rows(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text
 
 def query(spark, sf_dir: str) -> DataFrame:
     """Scores of all documents; sums are rounded to 6 places, as the order of addition is free."""
-    out = score(common.table(spark, sf_dir, "documents"))
+    out = score(common.table(spark, sf_dir, "documents", spread=True))
     return out.select("doc_id", "n_tokens", F.round("log_score", 6).alias("log_score"), F.round("mean_log_score", 6).alias("mean_log_score"), "n_backed_off")
 
 

@@ -459,7 +459,7 @@ def differing(a: str, b: str) -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return classes(common.table(spark, sf_dir, "documents")).select("doc_id", "class_id")
+    return classes(common.table(spark, sf_dir, "documents", spread=True)).select("doc_id", "class_id")
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -236,4 +236,4 @@ def default_tokenizer() -> str:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return pack(common.table(spark, sf_dir, "documents"), default_tokenizer())
+    return pack(common.table(spark, sf_dir, "documents", spread=True), default_tokenizer())

@@ -300,5 +300,5 @@ def keep(docs: DataFrame, model: Model, text_col: str = "text") -> DataFrame:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.table(spark, sf_dir, "documents", spread=True)
     return score(docs, fit(docs, common.table(spark, sf_dir, "labels")))

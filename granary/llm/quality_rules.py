@@ -192,5 +192,5 @@ def apply(docs: DataFrame, rules: list[Rule], id_col: str = "doc_id", text_col:
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.table(spark, sf_dir, "documents", spread=True)
     return apply(docs, fit(docs, common.table(spark, sf_dir, "labels")))

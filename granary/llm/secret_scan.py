@@ -326,5 +326,5 @@ def scan(docs: DataFrame, scanner: Scanner, id_col: str = "doc_id", text_col: st
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    docs = common.table(spark, sf_dir, "documents")
+    docs = common.table(spark, sf_dir, "documents", spread=True)
     return scan(docs, fit(docs))

@@ -144,4 +144,4 @@ def shard(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", shard
 
 
 def query(spark, sf_dir: str) -> DataFrame:
-    return shard(common.table(spark, sf_dir, "documents"))
+    return shard(common.table(spark, sf_dir, "documents", spread=True))
