@@ -51,7 +51,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    out = common.table(spark, sf_dir, "documents")
+    out = common.table(spark, sf_dir, "documents", spread=True)
     folder = f"{common.shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
     for k, (name, stage) in enumerate(STAGES):
         stage(spark, out, sf_dir).write.parquet(f"{folder}/{k}-{name}")
