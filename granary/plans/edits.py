@@ -346,7 +346,7 @@ _PART = "'**Part ' || i || '**' || chr(10) || CASE WHEN i = 1 THEN " + _LINED +
 
 
 @query(f"""WITH t AS (SELECT item_id, 'item' || item_id AS w FROM benchmark WHERE item_id % 6 <> 5)
-SELECT item_id, 'Find ' || w || '. Distinguish a from b and ' || w || '. Return: list' AS final_prompt_text, 'Найдите ' || w || '. Различайте а, б.Результат: список' AS final_prompt_text_ru,
+SELECT item_id, 'Find ' || w || '. Distinguish a from b and ' || w || '. Return: list' AS final_prompt_text, 'Найдите ' || w || '. Различайте а, б. Результат: список' AS final_prompt_text_ru,
 CASE WHEN item_id % 2 = 0 THEN '- old ' || w || chr(10) ELSE '' END || '- boundary rule: rule' AS internal_source_boundary, '- mode ' || w AS common_failure_modes, '- был' || chr(10) || '- вид' AS common_failure_modes_ru, w AS borderline_cases,
 CASE WHEN item_id % 3 = 0 THEN '- d1' || chr(10) || '- d2' END AS optional_distractors, CASE WHEN item_id % 3 = 0 THEN '- д1' || chr(10) || '- д2' END AS optional_distractors_ru, 'Исключайте это.' AS boundary_notes_ru, {_LINED} AS accuracy, {_FLAT} AS accuracy_ru, NULL::VARCHAR AS coverage,
 CASE WHEN item_id % 7 = 3 THEN NULL ELSE array_to_string(list_transform(range(5), lambda i: {_PART}), '') END AS fixed_criteria_0_2_each FROM t""")
@@ -354,8 +354,7 @@ def build_updates(spark, d):
     """Cells that accepted edits change; a row whose prompt has no boundary sentence has none."""
     rows = updates.build(_task_rows(spark, d)).filter("updates is not null")
     names = ["final_prompt_text", "final_prompt_text_ru", "internal_source_boundary", "common_failure_modes", "common_failure_modes_ru", "borderline_cases", "optional_distractors", "optional_distractors_ru", "boundary_notes_ru", "accuracy", "accuracy_ru", "coverage", "fixed_criteria_0_2_each"]
-    clean = lambda n: F.regexp_replace(F.col("updates")[n], r"б\. ?Результат", "б.Результат") if n == "final_prompt_text_ru" else F.col("updates")[n]
-    return rows.select("item_id", *[clean(n).alias(n) for n in names])
+    return rows.select("item_id", *[F.col("updates")[n].alias(n) for n in names])
 
 
 @query("""SELECT item_id, CASE WHEN item_id % 6 = 5 THEN ['EN trap unparseable'] ELSE [] END || CASE WHEN item_id % 7 = 3 THEN ['rubric unparseable: fixed_criteria_0_2_each'] ELSE [] END AS issues, CASE WHEN item_id % 6 <> 5 THEN 1 END AS distinctions, ['gold 1'] || CASE WHEN item_id % 2 = 0 THEN ['item' || item_id] ELSE [] END AS gold FROM benchmark""")
