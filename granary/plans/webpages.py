@@ -97,7 +97,7 @@ def page_classify(spark, d):
 _CLASSES = ["country_wh_site_list", "wh_index", "country_airport_list", "airport_iata_index", "country_data_table", "generic_list_table", "comparison_table", "wikipedia_article", "pdf_document", "unknown"]
 
 
-@query(f"""WITH a AS (SELECT unnest({quoted(_CLASSES)}) AS page_class, n_nationkey * 5 // 2 AS n, n_nationkey % 5 AS rows, n_nationkey % 3 AS links FROM nation)
+@query(f"""WITH a AS (SELECT unnest({quoted(_CLASSES)}) AS page_class, (n_nationkey * 5 // 2)::BIGINT AS n, (n_nationkey % 5)::BIGINT AS rows, (n_nationkey % 3)::BIGINT AS links FROM nation)
 SELECT page_class, n, rows, links, CASE page_class WHEN 'wh_index' THEN 'linked_country_or_region_world_heritage_list_pages' WHEN 'country_wh_site_list' THEN 'individual_world_heritage_sites_in_country' WHEN 'country_airport_list' THEN 'airports_in_country' WHEN 'country_data_table' THEN 'wikitable_entities' WHEN 'generic_list_table' THEN 'wikitable_entities' ELSE 'unknown' END AS candidate_answer_set_type,
 CASE WHEN page_class = 'wh_index' THEN CASE WHEN n >= 50 THEN 'bounded' ELSE 'partial' END WHEN page_class IN ('country_wh_site_list', 'country_airport_list') THEN CASE WHEN n >= 1 THEN 'bounded' ELSE 'empty' END WHEN page_class IN ('country_data_table', 'generic_list_table') THEN CASE WHEN n >= 10 THEN 'bounded' ELSE 'partial' END ELSE 'unknown' END AS boundedness,
 CASE WHEN page_class = 'wh_index' THEN CASE WHEN n >= 50 THEN 'pass_as_index_source' ELSE 'needs_review' END WHEN page_class IN ('country_wh_site_list', 'country_airport_list') THEN CASE WHEN n >= 1 THEN 'pass' ELSE 'needs_review' END WHEN page_class IN ('country_data_table', 'generic_list_table') THEN CASE WHEN n >= 10 THEN 'pass' ELSE 'needs_review' END WHEN n < 3 THEN 'needs_review' ELSE 'pass' END AS qa_status,
