@@ -70,8 +70,49 @@ class RetryPolicy:
         return self.base * (attempt + 1) if self.linear else self.base * 2**attempt
 
 
+def chat(url: str, model: str, key: str = "", temperature: float = 0.2, max_tokens: int = 1800, timeout: float = 600.0, extra: dict | None = None) -> Callable[[str], dict]:
+    """An ``ask`` for ``respond``: one POST of a chat completion to ``url``/chat/completions, its outcome as the fields of ``REPLY``.
+
+    A failed status gives the service's code and message, a connection that fails no status at all; neither raises.
+    """
+    def ask(prompt: str) -> dict:
+        import json
+        import urllib.error
+        import urllib.request
+
+        body = {"model": model, "messages": [{"role": "user", "content": prompt}], "temperature": temperature, "max_tokens": max_tokens, **(extra or {})}
+        request = urllib.request.Request(f"{url.rstrip('/')}/chat/completions", json.dumps(body).encode(), {"Authorization": f"Bearer {key}", "Content-Type": "application/json"})
+        try:
+            with urllib.request.urlopen(request, timeout=timeout) as reply:
+                status, raw = reply.status, reply.read()
+        except urllib.error.HTTPError as e:
+            raw = e.read()
+            try:
+                error = json.loads(raw).get("error", {})
+            except (ValueError, AttributeError):
+                error = raw.decode("utf-8", "replace")
+            said = f"(code={error.get('code', e.code)}): {error.get('message', 'Unknown error')}" if isinstance(error, dict) else f": {error}"
+            return {"http_status": e.code, "error": f"chat error {said}"}
+        except OSError as e:
+            return {"error": f"request failed: {e}"}
+        try:
+            got = json.loads(raw)
+        except ValueError:
+            got = {}
+        choice = (got.get("choices") or [{}])[0]
+        content = choice.get("message", {}).get("content", "")
+        parts = [content] if isinstance(content, str) else [b.get("text", "") for b in content or [] if isinstance(b, dict) and b.get("type") == "text"]
+        usage = got.get("usage")
+        return {"http_status": status, "response_text": "".join(parts), "finish_reason": choice.get("finish_reason"), "token_usage": None if usage is None else json.dumps(usage)}
+
+    return ask
+
+
 def respond(tasks: DataFrame, prompt: str, ask: Callable[[str], dict], policy: RetryPolicy = RetryPolicy(), wait: Callable[[float], None] = time.sleep) -> DataFrame:
-    """``tasks`` with the columns of ``REPLY``. ``ask`` gives some of them for a prompt; a reply whose ``error`` has a status to try again, or none, is asked again."""
+    """``tasks`` with the columns of ``REPLY``. ``ask`` gives some of them for a prompt; a reply whose ``error`` has a status to try again, or none, is asked again.
+
+    Each use of the result asks again: ``logged`` writes the replies first.
+    """
     fields = [c.split()[0] for c in REPLY.split(", ")]
 
     def one(text: str | None) -> dict:
@@ -94,6 +135,12 @@ def respond(tasks: DataFrame, prompt: str, ask: Callable[[str], dict], policy: R
     return tasks.mapInPandas(run, f"{schema}, {REPLY}")
 
 
+def logged(answered: DataFrame, path: str) -> DataFrame:
+    """Replies appended to a folder of JSON lines as they come, and read back from there: every prompt is asked once, whatever is made of the replies."""
+    answered.write.mode("append").json(path)
+    return answered.sparkSession.read.schema(answered.schema).json(path)
+
+
 def replay(tasks: DataFrame, replies: DataFrame, key: str = "task_id") -> DataFrame:
     """``tasks`` with the replies of an earlier run (``key`` and columns of ``REPLY``); null where there is none."""
     return tasks.join(replies, key, "left")

@@ -31,6 +31,46 @@ def test_retry_policy_and_responder(spark):
     assert runs.utc_slug(datetime(2026, 7, 2, 23, 42, 42, tzinfo=UTC)) == "20260702T234242Z"
 
 
+def test_chat_over_http(spark, tmp_path):
+    import json
+    import threading
+    from http.server import BaseHTTPRequestHandler, HTTPServer
+
+    seen = []
+
+    class Service(BaseHTTPRequestHandler):
+        def do_POST(self):
+            body = json.loads(self.rfile.read(int(self.headers["Content-Length"])))
+            seen.append((self.path, self.headers["Authorization"], body))
+            prompt = body["messages"][0]["content"]
+            status, reply = {
+                "busy": (503, {"error": {"code": 9, "message": "later"}}), "plain": (500, "no json"), "cut": (200, {"choices": [{"message": {"content": ""}, "finish_reason": "length"}]}),
+                "parts": (200, {"choices": [{"message": {"content": [{"type": "text", "text": "a"}, {"type": "x"}, {"type": "text", "text": "b"}]}}]}),
+            }.get(prompt, (200, {"choices": [{"message": {"content": "said"}, "finish_reason": "stop"}], "usage": {"total_tokens": 7}}))
+            data = (reply if isinstance(reply, str) else json.dumps(reply)).encode()
+            self.send_response(status)
+            self.send_header("Content-Length", str(len(data)))
+            self.end_headers()
+            self.wfile.write(data)
+
+        def log_message(self, *args):
+            pass
+
+    server = HTTPServer(("127.0.0.1", 0), Service)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    ask = runs.chat(f"http://127.0.0.1:{server.server_port}/v1/", "maker/m", "secret", max_tokens=5, extra={"reasoning": {"enabled": True}})
+    assert ask("hi") == {"http_status": 200, "response_text": "said", "finish_reason": "stop", "token_usage": '{"total_tokens": 7}'}
+    path, key, body = seen[0]
+    assert (path, key, body["model"], body["max_tokens"], body["reasoning"], body["temperature"]) == ("/v1/chat/completions", "Bearer secret", "maker/m", 5, {"enabled": True}, 0.2)
+    assert ask("busy") == {"http_status": 503, "error": "chat error (code=9): later"} and ask("plain") == {"http_status": 500, "error": "chat error : no json"} and ask("parts")["response_text"] == "ab"
+    rows = spark.createDataFrame([("t1", "hi"), ("t2", "cut"), ("t3", "busy")], "task_id string, final_prompt_text string")
+    replies = runs.logged(runs.respond(rows, "final_prompt_text", ask, runs.RetryPolicy(1, 0.0)), str(tmp_path / "run"))
+    got = runs.results(replies, "final_prompt_text").orderBy("task_id").collect()
+    assert [r.status for r in got] == ["ok", "error_truncated", "error"] and sum(b["messages"][0]["content"] == "busy" for _, _, b in seen) == 3
+    server.shutdown()
+    assert "error" in runs.chat("http://127.0.0.1:1", "m", timeout=1)("x")
+
+
 def test_projections(spark):
     row = spark.createDataFrame([("a/b/run_20260101T000000Z.jsonl", "p", "r", "j", 1)], "path string, prompt string, response_text string, raw_response_json string, k int")
     assert row.select(tasks.run_id(F.col("path"))).first()[0] == "20260101T000000Z" and tasks.summary(row).columns == ["path", "k"]
