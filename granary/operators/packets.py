@@ -118,6 +118,47 @@ def packets(resolved: DataFrame, raw: DataFrame) -> DataFrame:
     return made.unionByName(copies.withColumn("markdown", F.concat(header(alias=True), alias_body())).select(*out))
 
 
+def set_body(title: Column, payloads: Column, raw: Column, most: int = 3) -> Column:
+    """(body, notes) of a set source: leads of its first pages and the entities of all, or, where nothing was extracted, its raw text as Markdown.
+
+    ``payloads``: array of (``page_title``, ``source_file``, ``lead_paragraphs``, ``entities``). A lead counts once, cleaned.
+    """
+    empty = F.array().cast("array<string>")
+    set_ = F.lit(True)
+
+    def lead(text: Column) -> Column:
+        return F.array_join(F.filter(clean_set(text)["lines"], lambda x: x != ""), " ")
+
+    def clean_set(text: Column) -> Column:
+        return S.clean_ns(text, set_)
+
+    def page(p: Column) -> Column:
+        return T.bind(S.entities_markdown(p["entities"]), lambda md: F.when(md != "", F.array(F.lit(""), F.concat(F.lit("## "), T.truthy(p["page_title"], p["source_file"])), F.lit(""), md)).otherwise(empty))
+
+    def of(x: Column) -> Column:
+        some = F.size(x["pages"]) > 0
+        leads = F.array_distinct(F.filter(F.transform(F.flatten(F.transform(F.slice(x["pages"], 1, most), lambda p: F.coalesce(p["lead_paragraphs"], empty))), lead), lambda v: v != ""))
+        shown = T.bind(leads, lambda v: F.when(F.size(v) > 0, F.array(F.lit(""), F.lit("## Lead"), F.lit(""), F.array_join(v, "\n\n"))).otherwise(empty))
+        plain = F.when(~some & (T.strip(x["raw"]) != ""), F.array(F.lit(""), S.markdown(S.trim_tail(clean_set(x["raw"])["lines"]), x["title"]))).otherwise(empty)
+        body = F.concat(F.array(F.concat(F.lit("# "), x["title"])), shown, F.flatten(F.transform(x["pages"], page)), plain)
+        said = F.when(some, F.array(F.concat(F.lit("Preserved structured rows from "), F.size(x["pages"]).cast("string"), F.lit(" extraction JSON file(s) as Markdown tables/lists.")))).otherwise(empty)
+        return F.struct(T.strip(F.array_join(body, "\n\n")).alias("body"), F.concat(said, F.when(some, empty).otherwise(F.coalesce(clean_set(x["raw"])["notes"], empty))).alias("notes"))
+
+    return T.bind(F.struct(title.alias("title"), F.coalesce(payloads, F.array_repeat(F.get(payloads, F.lit(0)), 0)).alias("pages"), F.coalesce(raw, F.lit("")).alias("raw")), of)
+
+
+def source_map(resolved: DataFrame, files: DataFrame, extractions: DataFrame) -> DataFrame:
+    """One row a source (``MAP_COLUMNS``): what it was mapped to. ``files``: ``raw_files``; ``extractions``: ``source_id`` a page; a core source's file is its canonical's."""
+    pages = extractions.groupBy(F.col("source_id").alias("_p")).agg(F.count(F.lit(1)).alias("_pages"))
+    core = F.col("family") == "Core"
+    at = F.when(core, F.col("canonical_source_id")).otherwise(F.col("source_id"))
+    rows = resolved.join(files.select(F.col("source_id").alias("_f"), "raw_file_count", "raw_files"), at == F.col("_f"), "left").join(pages, F.col("source_id") == F.col("_p"), "left")
+    return rows.withColumns({
+        "raw_file_count": F.coalesce("raw_file_count", F.lit(0)), "raw_files": F.coalesce("raw_files", F.lit("")), "extraction_json_count": F.when(~core, F.coalesce("_pages", F.lit(0))),
+        "mapped": F.when(F.col("_f").isNotNull(), "yes").otherwise("missing"), "normalized_output": F.concat(F.lit("normalized_"), F.lower("family"), F.lit("/"), "source_id", F.lit(".normalized.md")),
+    }).select(*MAP_COLUMNS)
+
+
 def body_of(markdown: Column) -> Column:
     """A packet's text after its head, stripped."""
     at = F.instr(markdown, F.lit("---\n\n"))

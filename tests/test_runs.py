@@ -193,3 +193,22 @@ def test_alias_packet(spark):
     assert one.notes == ["Trimmed trailing Wikipedia sections (See also, References, categories).", "Applied conservative cleanup without summarization or reordering."]
     assert two.title == "Own title" and two.notes[0] == "Alias packet only; full text stored under S1." and two.notes[1:] == one.notes
     assert "- **normalized_text_ref:** normalized_core/S1.normalized.md\n- **packet_role:** alias\n\n---\n\nThis inventory row is a **duplicate variant**" in two.markdown and two.markdown.endswith("- **Title (step3):** Own title\n- **URL (step3):** u\n- **Source type (step3):** (none)\n- **Source subtype (step3):** (none)\n- **Cluster ID (step3):** (none)")
+
+
+def test_set_packets_and_source_map(spark):
+    from granary.functions import pages as P
+
+    row = lambda label: (label, [label, "1"], 0, 0, "Cap", "wikitable_row", None, None, None)
+    pages = [("P1", "f1", ["A lead  of it", "A lead of it", "edit"], [row("x"), row("y")]), (None, "f2.htm", ["Second"], []), ("P3", "f3", None, [row("z")]), ("P4", "f4", ["too late"], None)]
+    rows = spark.createDataFrame([("T", pages, "raw"), ("U", None, "Main menu\nBODY OF IT\n\nSee also\nx"), ("V", [], None)], f"t string, p array<struct<page_title:string,source_file:string,lead_paragraphs:array<string>,entities:array<{P.ENTITY}>>>, r string")
+    got = [r[0] for r in rows.select(packets.set_body(F.col("t"), F.col("p"), F.col("r"))).collect()]
+    assert got[0].body == "# T\n\n\n\n## Lead\n\n\n\nA lead of it\n\nSecond\n\n\n\n## P1\n\n\n\n### Cap\n\n| x | 1 |\n| --- | --- |\n| y | 1 |\n\n\n\n## P3\n\n\n\n### Cap\n\nz | 1"
+    assert got[0].notes == ["Preserved structured rows from 4 extraction JSON file(s) as Markdown tables/lists."]
+    assert got[1].body == "# U\n\n\n\n# U\n\n## BODY OF IT" and got[1].notes == ["Removed 1 navigation/UI lines (Set/HTML sources)."] and got[2].body == "# V"
+    resolved = spark.createDataFrame([("S1", "Core", "S1", "none"), ("S2", "Core", "S1", "text_hash_group:a"), ("S3", "Core", "S3", "none"), ("SET1", "Set", "SET1", "none")], "source_id string, family string, canonical_source_id string, duplicate_group string")
+    for c in ("title", "domain", "url", "source_type", "source_subtype", "status"):
+        resolved = resolved.withColumn(c, F.lit(None).cast("string"))
+    files = packets.raw_files(spark.createDataFrame([("S1", "S1.txt")] + [("SET1", f"b{k}.txt") for k in range(7)], "source_id string, name string"), spark.createDataFrame([("SET1", "b0.txt")], "source_id string, name string"))
+    made = packets.source_map(resolved, files, spark.createDataFrame([("SET1",), ("SET1",)], "source_id string"))
+    assert made.columns == packets.MAP_COLUMNS
+    assert [tuple(r)[10:] for r in made.orderBy("source_id").collect()] == [(1, None, "S1.txt", "yes", "normalized_core/S1.normalized.md"), (1, None, "S1.txt", "yes", "normalized_core/S2.normalized.md"), (0, None, "", "missing", "normalized_core/S3.normalized.md"), (7, 2, "b0.txt; b1.txt; b2.txt; b3.txt; b4.txt; ...", "yes", "normalized_set/SET1.normalized.md")]
