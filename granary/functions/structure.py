@@ -184,8 +184,11 @@ def escape(cell: Column) -> Column:
 
 def fence(body: Column) -> Column:
     """A text between fences that it does not hold itself."""
-    mark = F.when(body.contains("```"), "````").otherwise("```")
-    return F.concat(mark, F.lit("text\n"), body, F.lit("\n"), mark)
+    def of(b: Column) -> Column:
+        mark = F.when(b.contains("```"), "````").otherwise("```")
+        return F.concat(mark, F.lit("text\n"), b, F.lit("\n"), mark)
+
+    return _bind(body, of)
 
 
 def _rows_as_table(rows: Column) -> Column:

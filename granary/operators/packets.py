@@ -199,8 +199,9 @@ def core_section(text: Column, fields: list[tuple[str, Column]], id_: Column) ->
 
 def set_section(id_: Column, file_name: Column, fields: list[tuple[str, Column]], leads: Column, entities: Column, text: Column) -> Column:
     """A set source in the corpus: fields, lead, entities, cleaned text; parts without content are left out."""
-    lead = F.coalesce(S.clean_bc(F.array_join(leads, "\n\n")), F.lit(""))
-    rows, clean = S.entities_lines(entities), S.clean_bc(F.coalesce(text, F.lit("")))
     part = lambda title, c, shown: F.when(c != "", F.concat(F.lit(f"### {title}\n\n"), shown, F.lit("\n")))
-    return F.concat_ws("\n", F.concat(F.lit("## Set Source "), id_, F.lit(": "), file_name, F.lit("\n\n"), S.bullets_of(fields), F.lit("\n")), part("Lead / Context", lead, lead), part("Structured Rows / Entities", rows, S.fence(rows)),
-                       F.coalesce(part("Clean Text", clean, S.fence(clean)), F.lit("### Clean Text\n\n_No clean text was available for this file._\n")))
+    made = F.struct(
+        F.concat(F.lit("## Set Source "), id_, F.lit(": "), file_name, F.lit("\n\n"), S.bullets_of(fields), F.lit("\n")).alias("head"),
+        F.coalesce(S.clean_bc(F.array_join(leads, "\n\n")), F.lit("")).alias("lead"), S.entities_lines(entities).alias("rows"), S.clean_bc(F.coalesce(text, F.lit(""))).alias("clean"))
+    return T.bind(made, lambda x: F.concat_ws("\n", x["head"], part("Lead / Context", x["lead"], x["lead"]), part("Structured Rows / Entities", x["rows"], S.fence(x["rows"])),
+                                              F.coalesce(part("Clean Text", x["clean"], S.fence(x["clean"])), F.lit("### Clean Text\n\n_No clean text was available for this file._\n"))))
