@@ -33,7 +33,7 @@ def lines_of(text: Column) -> Column:
 
 def _shape(line: Column) -> Column:
     """What makes two lines the same: the line without spaces and tabs at its ends."""
-    return F.regexp_replace(line, r"^[ \t\r]+|[ \t\r]+$", "")
+    return F.trim(line, F.lit(" \t\r"))
 
 
 def line_counts(pages: DataFrame, host: Column, text: Column, min_pages: int = 1) -> DataFrame:
