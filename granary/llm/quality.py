@@ -30,6 +30,8 @@ from . import common
 
 SAMPLE, SAMPLE_BYTES, CUT = 3000, 64 << 20, 0.7
 _SEGMENT = 64
+#: Characters of text whose features are found at once in training, and line places whose chains are run at once.
+_PART, _CELLS = 1 << 18, 1 << 14
 _NAMES = ("bias", "words", "symbols", "capitals", "digits", "pipes", "bangs", "mean_word", "repeated", "blank", "punctuation")
 
 
@@ -174,25 +176,41 @@ def _adam(loss_and_gradient, x: np.ndarray, rounds: int, rate: float) -> np.ndar
     return x
 
 
+def _parts(texts: list[str | None]) -> list[tuple[int, int]]:
+    """Bounds of successive texts of about ``_PART`` characters together."""
+    ends = np.cumsum([len(t or "") for t in texts]) // _PART
+    at = [0, *(np.flatnonzero(ends[1:] != ends[:-1]) + 1).tolist(), len(texts)]
+    return list(zip(at[:-1], at[1:], strict=True))
+
+
+def _features_in_parts(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
+    """Features and offsets as ``line_features`` has them; what is held besides them grows with the longest text, not with their number."""
+    offsets = np.concatenate(([0], np.cumsum([(t or "").count("\n") + 1 for t in texts])))
+    out = np.empty((int(offsets[-1]), 3 * len(_NAMES) - 2))
+    for lo, hi in _parts(texts):
+        out[offsets[lo] : offsets[hi]] = line_features(texts[lo:hi])[0]
+    return out, offsets
+
+
 def train(texts: list[str | None], labels: list[int], ridge: float = 1e-3, rounds: int = 250) -> Model:
     """Maximum likelihood; every text counts alike, however many lines it has."""
     if not texts or len(set(labels)) < 2:
         return Model(np.zeros(0), np.zeros((2, 2)), trained=False)
-    features, _, offsets = line_features(texts)
-    rows, size, truth, worth = [], [], [], []
+    features, offsets = _features_in_parts(texts)
+    start, size, truth, worth = [], [], [], []
     for d, (lo, hi) in enumerate(zip(offsets[:-1], offsets[1:], strict=True)):
         for a in range(lo, hi, _SEGMENT):  # long texts in pieces, all of them
-            b = min(a + _SEGMENT, hi)
-            rows.append(np.minimum(np.arange(a, a + _SEGMENT), len(features) - 1))
-            size.append(b - a)
+            start.append(a)
+            size.append(min(_SEGMENT, hi - a))
             truth.append(labels[d])
             worth.append(1.0 / (hi - lo))
     truth = np.array(truth)
     share = truth.mean()
     worth = np.array(worth)
     size = np.array(size)
+    start = np.array(start)
     groups = [np.flatnonzero((size > lo) & (size <= hi)) for lo, hi in ((0, 4), (4, 16), (16, 64))]
-    rows = np.array(rows)
+    blocks = [g[at : at + _CELLS // width] for g, width in zip(groups, (4, 16, 64), strict=True) for at in range(0, len(g), _CELLS // width)]
     total = len(texts)
     k = features.shape[1]
 
@@ -200,20 +218,19 @@ def train(texts: list[str | None], labels: list[int], ridge: float = 1e-3, round
         w, pair = x[:k], x[k:].reshape(2, 2)
         score = features @ w
         g = np.zeros_like(x)
-        for chosen in groups:
-            if not len(chosen):
-                continue
-            width = int(size[chosen].max())
-            at = rows[chosen][:, :width]
-            alive = np.arange(width)[None] < size[chosen][:, None]
+        miss = np.zeros(len(features))  # each line is in one piece
+        for chosen in blocks:
+            place = np.arange(int(size[chosen].max()))
+            at = np.minimum(start[chosen][:, None] + place, len(features) - 1)
+            alive = place[None] < size[chosen][:, None]
             unary = np.stack([np.zeros(at.shape), score[at]], axis=2)
             m, both, _ = forward_backward(unary, pair, size[chosen], pairs=True)
-            miss = np.where(alive, (m[:, :, 1] - truth[chosen][:, None]) * worth[chosen][:, None], 0.0)
-            g[:k] += miss.reshape(-1) @ features[at.reshape(-1)]
+            miss[at[alive]] = ((m[:, :, 1] - truth[chosen][:, None]) * worth[chosen][:, None])[alive]
             both = (both * worth[chosen][:, None, None]).sum(axis=0)
             edges = np.maximum(size[chosen] - 1, 0) * worth[chosen]
             want = np.diag([edges[truth[chosen] == 0].sum(), edges[truth[chosen] == 1].sum()])
             g[k:] += (both - want).reshape(-1)
+        g[:k] = miss @ features
         g /= total
         g[:k] += ridge * x[:k]
         g[k:] += 20 * ridge * x[k:]
@@ -221,7 +238,7 @@ def train(texts: list[str | None], labels: list[int], ridge: float = 1e-3, round
 
     x = _adam(gradient, np.concatenate([np.zeros(k), np.zeros(4)]), rounds, 0.15)
     model = Model(x[:k], x[k:].reshape(2, 2))
-    raw, y = _logit(model.raw(texts)), np.array(labels, float)
+    raw, y = _logit(np.concatenate([model.raw(texts[lo:hi]) for lo, hi in _parts(texts)])), np.array(labels, float)
 
     def fit(x: np.ndarray) -> np.ndarray:
         p = 1 / (1 + np.exp(-(x[0] * raw + x[1])))
@@ -249,7 +266,10 @@ def training_rows(docs: DataFrame, labels: DataFrame, id_col: str, text_col: str
 
 def fit(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", label_col: str = "quality", sample: int = SAMPLE) -> Model:
     rows = training_rows(docs, labels, id_col, text_col, label_col, sample)
-    return train([r.text for r in rows], [int(r.label) for r in rows])
+    model = train([r.text for r in rows], [int(r.label) for r in rows])
+    del rows
+    common.trim()  # the driver would keep it for all that runs later
+    return model
 
 
 def _apply(model: Model):

@@ -325,6 +325,24 @@ def test_quality_score_of_whole_texts_by_brute_force():
         assert abs(model.score([text])[0] - want) < 1e-9 and abs(model.score(["x y z\n$", text, "q"])[1] - want) < 1e-9
 
 
+def test_quality_training_holds_little_besides_its_features():
+    import tracemalloc
+
+    rng = random.Random(5)
+    lines = lambda n: "\n".join(" ".join(f"w{rng.randrange(10**6)}" for _ in range(40)) for _ in range(n))
+    texts = [None, "", "\n\n", lines(1200), *(lines(10) for _ in range(1500))]
+    tracemalloc.start()
+    try:
+        quality.train(texts, [k % 2 for k in range(len(texts))], rounds=2)
+        peak = tracemalloc.get_traced_memory()[1]
+    finally:
+        tracemalloc.stop()
+    features, _, offsets = quality.line_features(texts)
+    got, at = quality._features_in_parts(texts)
+    assert np.array_equal(got, features) and np.array_equal(at, offsets) and len(quality._parts(texts)) > 10
+    assert peak < features.nbytes + (32 << 20)
+
+
 def test_rules_statistics_and_held_out_accuracy(spark):
     import re
 
