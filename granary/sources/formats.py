@@ -8,7 +8,6 @@ from __future__ import annotations
 import csv
 import io
 import zipfile
-from html.parser import HTMLParser
 from xml.etree import ElementTree
 
 import pandas as pd
@@ -35,9 +34,9 @@ def csv_text(data: bytes) -> str:
     return "\n".join("\t".join(row) for row in csv.reader(io.StringIO(plain(data), newline="")))
 
 
-class _Visible(HTMLParser):
+class _Visible(pages.Parser):
     def __init__(self):
-        super().__init__(convert_charrefs=True)
+        super().__init__()
         self.hidden, self.parts = 0, []
 
     def handle_starttag(self, tag, attrs):
@@ -48,7 +47,7 @@ class _Visible(HTMLParser):
 
     def handle_data(self, data):
         if not self.hidden:
-            self.parts.append(data)
+            self.parts.append(self.written(data))
 
 
 def html_text(data: bytes) -> str:

@@ -96,6 +96,22 @@ def test_pages(spark):
     assert got[0].page_title == "One" and got[0].table_rows == [] and got[1].page_title == "SET1_b" and got[1].links == []
 
 
+def test_only_closed_references_are_read(spark, same, tmp_path):
+    from granary.plans import catalogue
+    from granary.sources import formats
+
+    odd = ["a &amp", "b&&am", "c &quot &lt;x&gt; &amp;amp;", "d &ampx; &notit; &;", "e &#39;x&#39; &#39 f", "g &copy=1 & h &amp;lt i", "&amp", "&"]
+    rows = [(k, f"<html><head><title>{x}</title><style>p&amp{{}}</style></head><body><nav>n&amp</nav><h1>{x}</h1><p>{x}<b>{x}</b></p><ul><li>{x}</li></ul></body></html>") for k, x in enumerate(odd)]
+    at = f"{tmp_path}/pages.parquet"
+    spark.createDataFrame(rows, "page_id long, html string").write.parquet(at)
+    for name in ("html_visible_blocks", "html_visible_text"):
+        same(catalogue.QUERIES[name](spark, str(tmp_path)), catalogue.ORACLE_SQL[name].replace("FROM pages", f"FROM '{at}/*.parquet'"))
+    assert P._visible("<h1>a &amp</h1><p>&eacute;t&#xe9;&eacute &#65") == "\na &amp\nété&eacute &#65"
+    link = P.tree('<a href="?x=1&amp;y=2&copy=3" title>l</a>').children[0]
+    assert link.attributes == {"href": "?x=1&y=2&copy=3", "title": None}
+    assert formats.html_text(b"<p>a &amp</p><script>&amp</script>&amp; b &#39;c") == "a &amp\n& b 'c"
+
+
 def test_entities_by_caption(spark):
     row = lambda label, caption, cells: (label, cells, 0, 0, caption, "wikitable_row", None, None, None)
     link = lambda label, url: (label, None, None, None, None, "wiki_link", url, False, None)
