@@ -65,7 +65,8 @@ def with_header(cells: DataFrame, sheet: str = "sheet", index: str = "row_index"
     """Rows of sheets (``sheet``, ``row_index`` from 1, ``cells`` array) as maps of the sheet's first row to the cells.
 
     Null cells are empty texts; rows without any cell that is not empty are left out; the row's index stays. The header is
-    one small row a sheet, joined to the others.
+    one small row a sheet, and a workbook has few; it goes to where the rows are, as rows dealt by sheet would all be one
+    task's, which sorts them.
     """
     names = F.transform(values, lambda x: T.strip(F.coalesce(x, F.lit(""))))
     head = cells.filter(F.col(index) == 1).select(F.col(sheet).alias("_sheet"), names.alias("_names"))
@@ -74,7 +75,7 @@ def with_header(cells: DataFrame, sheet: str = "sheet", index: str = "row_index"
     head = head.filter(F.size("_names") > 0).withColumn("_at", last).withColumn("_keys", F.transform("_at", lambda i: F.get("_names", i)))
     rows = cells.filter((F.col(index) > 1) & F.exists(values, lambda x: x != ""))
     record = F.map_from_arrays("_keys", F.transform("_at", lambda i: F.coalesce(F.get(F.col(values), i), F.lit(""))))
-    return rows.join(head, F.col(sheet) == F.col("_sheet")).select(sheet, index, record.alias("record"))
+    return rows.join(F.broadcast(head), F.col(sheet) == F.col("_sheet")).select(sheet, index, record.alias("record"))
 
 
 def require(columns: list[str]) -> None:

@@ -135,6 +135,21 @@ def test_workbook_round_trip(spark, tmp_path):
     assert [(r.row_index, r.record) for r in rows.orderBy("row_index").collect()] == [(2, {"id": "1", "t": "a <b> & \"c\"\n", "a": "[1,2]", "x": ""}), (3, {"id": "2", "t": "  é", "a": "[]", "x": "1.5"})]
 
 
+def test_rows_of_a_sheet_stay_in_their_tasks(spark):
+    held = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")  # the sizes of sheets are not known beforehand
+    try:
+        rows = spark.range(1, 401, 1, 4).select(F.when(F.col("id") % 100 == 0, "B").otherwise("A").alias("sheet"), F.when(F.col("id") <= 100, F.col("id") % 99).otherwise(F.col("id")).alias("row_index"), F.col("id").cast("string").alias("x"))
+        cells = F.when(F.col("row_index") == 1, F.array(F.lit("a"), F.lit(" b "), F.lit("a"))).otherwise(F.array(F.lit("no"), F.lit(None), F.col("x")))
+        got = tasks.with_header(rows.select("sheet", "row_index", cells.alias("cells"))).withColumn("task", F.spark_partition_id()).collect()
+        assert len({r.task for r in got if r.sheet == "A"}) == 4
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", held)
+    # sheet A: its row 1 is the header, rows 2 to 98 and from 101 follow; B has the header of its own row 1
+    assert sorted((r.sheet, r.row_index) for r in got) == [("A", k) for k in [*range(2, 99), *range(101, 400)] if k % 100] + [("B", k) for k in (200, 300, 400)]
+    assert all(r.record == {"b": "", "a": str(r.row_index)} for r in got)
+
+
 def test_round_trips(spark, tmp_path):
     df = spark.createDataFrame([(1, "é, \"q\"\nx", [1, 2])], "id int, t string, a array<int>")
     sinks.append_jsonl(df, str(tmp_path / "j"))
